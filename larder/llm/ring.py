@@ -71,8 +71,8 @@ def shard_documents(docs: DataFrame, *, shards: int = 40, slack: float = SLACK,
     """(id, size, text_crc32, shard, slot): each row's shard, balanced in bytes, and its gapless place there.
 
     size: the text's UTF-8 bytes (null: none) plus `overhead`.  A key is the id and the text's hash; equal rows follow
-    one another.  A row goes where its middle byte falls, so a shard exceeds its capacity by less than a row at each of its
-    few cuts.  An empty table gives no row; other columns are not read.
+    one another.  The few rows that lie across a cut (one a cut at most) go, the largest first, to the shard that holds
+    least.  An empty table gives no row; other columns are not read.
     """
     spark = docs.sparkSession
     at, owner = ring_points(shards, vnodes)
@@ -91,16 +91,28 @@ def shard_documents(docs: DataFrame, *, shards: int = 40, slack: float = SLACK,
     by_arc: dict[int, list] = {}
     for arc, low, _, shard in parts:
         by_arc.setdefault(arc, []).append((low, shard))
-    cuts = spark.createDataFrame([(a, [x[0] for x in v], [x[1] for x in v]) for a, v in by_arc.items()], "arc int, lows array<bigint>, owners array<int>")
+    cuts = spark.createDataFrame([(a, [x[0] for x in v]) for a, v in by_arc.items()], "arc int, lows array<bigint>")
     order = Window.partitionBy("arc").orderBy("hash", id_col, "size", "text_crc32")
-    middle = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.floor(F.col("size") / 2) - 1
-    placed = rows.withColumns({"middle": middle}).join(F.broadcast(cuts), "arc")
-    piece = F.size(F.filter("lows", lambda x: x <= F.col("middle")))
-    placed = placed.withColumns({"piece": piece, "shard": F.element_at("owners", F.greatest(piece, F.lit(1)))})
-    placed = written(placed.withColumn("nth", F.row_number().over(Window.partitionBy("arc", "piece").orderBy("hash", id_col, "size", "text_crc32"))).drop("lows", "owners", "middle"), "placed")
-    base, before = [], {}
-    for r in sorted(placed.groupBy("shard", "arc", "piece").agg(F.count("*").alias("n")).collect()):  # a row a cut arc
-        base.append((r["arc"], r["piece"], before.get(r["shard"], 0)))
-        before[r["shard"]] = before.get(r["shard"], 0) + r["n"]
-    starts = spark.createDataFrame(base, "arc int, piece int, first bigint")
+    after = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("after", after).join(F.broadcast(cuts), "arc")
+    first = F.size(F.filter("lows", lambda x: x <= F.col("after") - F.col("size")))
+    last = F.size(F.filter("lows", lambda x: x < F.col("after")))
+    piece = F.when(first == last, first).otherwise(-first)  # a row across a cut is a piece of its own, of which a cut has one
+    placed = placed.withColumn("piece", piece).drop("lows", "after")
+    placed = written(placed.withColumn("nth", F.row_number().over(Window.partitionBy("arc", "piece").orderBy("hash", id_col, "size", "text_crc32"))), "placed")
+    pieces = sorted(placed.groupBy("arc", "piece").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect())  # a row a cut arc
+    held, homes = np.zeros(shards, np.int64), {}
+    for r in pieces:
+        if r["piece"] > 0:
+            homes[r["arc"], r["piece"]] = by_arc[r["arc"]][r["piece"] - 1][1]
+            held[homes[r["arc"], r["piece"]]] += r["size"]
+    for r in sorted((r for r in pieces if r["piece"] <= 0), key=lambda r: (-r["size"], r["arc"], r["piece"])):
+        homes[r["arc"], r["piece"]] = int(held.argmin())
+        held[held.argmin()] += r["size"]
+    base, before = [], [0] * shards
+    for r in pieces:
+        shard = homes[r["arc"], r["piece"]]
+        base.append((r["arc"], r["piece"], shard, before[shard]))
+        before[shard] += r["n"]
+    starts = spark.createDataFrame(base, "arc int, piece int, shard int, first bigint")
     return placed.join(F.broadcast(starts), ["arc", "piece"]).select(id_col, "size", "text_crc32", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"))

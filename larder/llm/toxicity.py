@@ -193,7 +193,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     return rows.join(F.broadcast(chosen), "__id").select("text", "label")
 
 
-def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float = 14.0, seeds: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float = 20.0, seeds: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
     """Words, and stems of 4 to 6 characters, that toxic documents hold far more often than others do.
 
     Documents per term and label are counted in Spark; the driver gets the max_terms * 5 terms of the highest gain
