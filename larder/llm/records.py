@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, slices
-from .tokens import PieceEncoder, with_end
+from .tokens import with_end, worker_encoder
 
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
@@ -80,11 +80,11 @@ def write_records(docs: DataFrame, folder: str, path: str, *, end: int = 1, part
 
     def run(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        encoder, sink, record, position = PieceEncoder(path), None, 0, 0
+        encoder, sink, record, position = worker_encoder(path), None, 0, 0
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         fs, root = _filesystem(folder)
         target, draft = f"{root}/part-{part:06d}.rec", f"{root}/_draft-{part:06d}-{attempt}"
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             if sink is None:
                 fs.create_dir(root)
                 sink = fs.open_output_stream(draft)

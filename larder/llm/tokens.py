@@ -8,6 +8,8 @@ the pieces, put together, are those of the text.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from itertools import chain, islice
 
 import numpy as np
@@ -16,7 +18,7 @@ from tokenizers import Tokenizer
 from .common import ragged_arange
 
 CUT = re.compile(r"(?<=\S)(?:( )|(\n))(?=\S)")
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 500_000
 MEMO_CHARS = 48
 TOGETHER = 32
 
@@ -105,6 +107,14 @@ class PieceEncoder:
         return offsets, flat
 
 
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this Python worker: its memo outlives a task, so later tasks of the worker start warm."""
+    cache = sys.modules.setdefault("larder_worker_cache", types.ModuleType("larder_worker_cache")).__dict__.setdefault("encoders", {})
+    if path not in cache:
+        cache[path] = PieceEncoder(path)
+    return cache[path]
+
+
 def with_end(offsets: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the id `end` after each text."""
     n = len(offsets) - 1
