@@ -15,7 +15,7 @@ from larder.operators import staging as st
 from larder.sources.fixtures import raw
 
 #: Parameters of the queries.
-AS_OF = "2002-01-01"
+AS_OF = "2025-01-01"
 EVENT = ("1996-04-16", "1996-04-30")
 FOLDS = ((1, 1200, 1201, 1260), (2, 1700, 1701, 1760))
 
@@ -238,7 +238,7 @@ def _plain(df: DataFrame) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind.startswith("decimal") or kind in ("double", "float"):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double"), 6) + F.lit(0.0)  # no negative zero
         out.append(c.alias(name))
     return df.select(*out)
 
