@@ -167,7 +167,7 @@ def hits(text: str, automaton: LexiconAutomaton, memo: dict) -> list[tuple[int,
         if edits is not None:
             before, after = text[max(0, m.start() - CONTEXT_CHARS) : m.start()], text[m.end() : m.end() + CONTEXT_CHARS]
             marks = bool(QUOTES & set(before)) and bool(QUOTES & set(after))
-            told = not REPORTING.isdisjoint(WORD.findall(before.lower())[-4:])
+            told = not REPORTING.isdisjoint(WORD.findall(before.lower())[-2:])
             out.append((m.start(), m.end(), edits, marks or told))
     return out
 
