@@ -20,7 +20,11 @@ from .common import drop_written, list_parts, mix64, ragged_arange, slices, writ
 
 WORDS = "[^\\p{L}\\p{M}\\p{N}]+"
 SHINGLE = 5
-BANDS, ROWS = 28, 5
+BANDS, ROWS = 24, 5
+ROUNDS = 3
+SMALL_BUCKET = 40
+ROWS_A_TASK = 20_000
+BROADCAST_IDS = 500_000
 SLOTS = BANDS * ROWS
 _U = np.uint64
 
@@ -145,27 +149,29 @@ def _bags(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFr
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, weight, part.num_rows).astype(np.int64))])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items))], names=["id", "bag"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")  # ids: see _small()
     return rows.select("id", _word_hashes("text").alias("words")).mapInArrow(run, "id bigint, bag array<bigint>")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, parts: int) -> DataFrame:
     """(id, root) of every vertex of undirected edges (a, b): root is the least id of its component.
 
     Alternating large-star and small-star steps; a hub's neighbours are never gathered, only minima are aggregated.
+    parts: tasks that the small tables of ids are worth.
     """
-    pairs = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
-    step = 0
+    pairs = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0", parts)
+    step, before = 0, None
     while True:
         step += 1
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
-        low = written(low.select("a", F.least("m", "a").alias("m")), f"{name}-low-{step}")  # a written side lets Spark split a hub's rows in the join
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(low.select("a", F.least("m", "a").alias("m")), f"{name}-low-{step}", parts)  # a written side lets Spark split a hub's rows in the join
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts)
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        after = written(small, f"{name}-{step}")
-        same = pairs.exceptAll(after).isEmpty() and after.exceptAll(pairs).isEmpty()
+        after = written(small, f"{name}-{step}", parts)
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 30)), F.sum(F.xxhash64("b", "a") % (1 << 30))).first()  # of the set of pairs
+        same, before = now == before, now
         drop_written(pairs)
         drop_written(low)
         pairs = after
@@ -178,50 +184,79 @@ def _similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose bags have a weighted Jaccard similarity of at least `threshold`."""
     rows = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return rows.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return rows.where(common >= F.lit(threshold - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(id, class_id, n_links) of every row; class_id is the least id of the near-duplicate class, n_links its verified links.
+    """(id, class_id, n_links) of every row; class_id is the least id of the near-duplicate class, n_links the links of its text that were verified (stars and cross-class links, not all similar pairs).
 
     Rows with the same words form one text first; no pairs are made among them.  Distinct texts are linked where their
     five-word multisets overlap by `threshold` or more, found by banding and verified exactly:
-    1. in each bucket every text is held against the bucket's least id (a star, not all pairs);
-    2. texts that a bucket still leaves in several classes are joined exactly, on the rarest fifth of their shingles
+    1. in a few rounds every text of a bucket is held against one leader of the bucket (a star, not all pairs), another
+       leader in each round, as long as buckets of more than SMALL_BUCKET texts still have several classes;
+    2. texts that a bucket then still leaves in several classes are joined exactly, on the rarest fifth of their shingles
        (two bags that overlap by the threshold share one of these), and only across classes.
     Null, empty and wordless texts are classes of their own; a null id keeps a null class.  Ids are integers; a row that
     repeats an id is taken for the same document.
     """
-    signed = written(sign(docs, id_col, text_col), "signed")
-    texts = signed.where("total > 0 and id is not null").groupBy("same", "same2", "total").agg(F.min("id").alias("rep"))
-    texts = written(texts, "texts")
     keys = ["same", "same2", "total"]
-    reps = written(signed.where("total > 0 and id is not null").join(texts.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "total", "sig"), "reps")
-
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.slice("sig", k * ROWS + 1, ROWS)).alias("key")))
-    placed = reps.select("id", "total", F.explode(bands).alias("p")).select("id", "total", "p.band", "p.key")
-    buckets = written(placed.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    placed = written(placed.join(buckets, ["band", "key"]), "placed")
-    stars = placed.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    stars = written(_plausible(stars, reps, threshold), "stars")
-    ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    bags = written(_bags(docs, id_col, text_col, ids).dropDuplicates(["id"]), "bags")
-    links = written(_similar(stars, bags, threshold), "links")
-    roots = components(links, "roots")
-
-    rest = written(_mixed_bucket_texts(placed, roots), "rest")
+    signed = written(sign(docs, id_col, text_col), "signed")
+    parts = max(8, -(-signed.count() // ROWS_A_TASK))
+    texts = written(signed.where("total > 0 and id is not null").groupBy(*keys).agg(F.min("id").alias("rep")), "texts", parts)
+    reps = written(signed.where("id is not null").join(_small(texts.select(F.col("rep").alias("id"))), "id", "left_semi").dropDuplicates(["id"]).select("id", "total", "sig"), "reps", parts)
+
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, ROWS)))
+    placed = reps.select("id", "total", F.explode(bands).alias("key"))
+    shared = written(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared", parts)
+    placed = _replaced(placed.join(shared, "key"), "placed", parts, shared)
+    bags = written(_bags(docs, id_col, text_col, _small(written(placed.select("id").distinct(), "placed-ids", parts))).dropDuplicates(["id"]), "bags")
+
+    links, roots = None, placed.select("id", F.col("id").alias("root")).limit(0)
+    for n in range(ROUNDS):
+        mixed = placed if n == 0 else _mixed(placed, roots, n, parts)
+        if n and (mixed.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= SMALL_BUCKET:
+            break
+        order = [F.struct("id"), F.struct("total", "id")][n] if n < 2 else F.struct(F.xxhash64("id", F.lit(n)), "id")
+        leads = written(mixed.groupBy("key").agg(F.min_by(F.struct("id", *([] if n == 0 else ["root"])), order).alias("lead")), f"leads-{n}", parts)
+        pairs = mixed.join(leads, "key").where("id <> lead.id" if n == 0 else "root <> lead.root").select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct().coalesce(parts)
+        fresh = _verified(pairs, reps, bags, threshold, f"links-{n}", parts)
+        drop_written(leads)
+        if n and fresh.isEmpty():
+            break
+        links = fresh if links is None else _replaced(links.unionByName(fresh), f"all-links-{n}", parts, links, fresh)
+        roots = components(links, f"roots-{n}", parts)
+    rest = written(_mixed(placed, roots, ROUNDS, parts).select("id", "root").distinct(), "rest", parts)
     if not rest.isEmpty():
-        more = _across_classes(docs, id_col, text_col, rest, reps, threshold)
-        links = written(links.unionByName(more), "all-links")
-        roots = components(links, "all-roots")
+        links = _replaced(links.unionByName(_across_classes(bags, rest, reps, threshold, parts)), "all-links", parts, links)
+        roots = components(links, "all-roots", parts)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = texts.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = written(classes.select(*keys, F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    classes = written(classes.select(*keys, F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes", parts)
+    for t in (reps, placed, bags, rest, texts, links, roots):
+        drop_written(t)
     rows = signed.select("id", *keys).join(classes, keys, "left")
     kind = docs.schema[id_col].dataType
     return rows.select(F.col("id").cast(kind).alias(id_col), F.when(F.col("total") > 0, F.coalesce("class_id", "id")).otherwise(F.col("id")).cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if it is small; larger ones are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _replaced(df: DataFrame, name: str, parts: int, *old: DataFrame) -> DataFrame:
+    """df written; the tables it was made of are deleted."""
+    out = written(df, name, parts)
+    for t in old:
+        drop_written(t)
+    return out
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, bags: DataFrame, threshold: float, name: str, parts: int) -> DataFrame:
+    likely = written(_plausible(pairs, reps, threshold), f"likely-{name}", parts)
+    return _replaced(_similar(likely, bags, threshold), name, parts, likely)
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of docs whose id is the least of its class, columns unchanged; of rows that repeat an id one stays, rows with a null id all stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold)
@@ -237,25 +272,33 @@ def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return rows.where(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b")
 
 
-def _mixed_bucket_texts(placed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, root) of texts in buckets that hold several classes."""
-    rows = placed.select("band", "key", "id").join(roots, "id", "left").select("band", "key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = written(rows.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key"), "mixed")
-    return rows.join(mixed, ["band", "key"]).select("id", "root").distinct()
+def _mixed(placed: DataFrame, roots: DataFrame, n: int, parts: int) -> DataFrame:
+    """The rows of `placed`, with their class, that are in buckets of several classes."""
+    rows = placed.join(roots, "id", "left").select("key", "id", "total", F.coalesce("root", "id").alias("root"))
+    mixed = written(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), f"mixed-{n}", parts)
+    return rows.join(mixed, "key")
 
 
-def _across_classes(docs, id_col, text_col, rest, reps, threshold) -> DataFrame:
-    """Verified links between texts of `rest` in different classes, by an exact prefix filter on the rarest shingles."""
-    bags = written(_bags(docs, id_col, text_col, rest.select("id")).dropDuplicates(["id"]), "rest-bags")
-    items = bags.select("id", F.explode("bag").alias("item"))
-    common = written(items.groupBy("item").count().where("count > 1"), "common")
+def _across_classes(bags: DataFrame, rest: DataFrame, reps: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """Verified links between texts of `rest` in different classes, by an exact prefix and position filter.
+
+    Every bag is sorted by how many bags of `rest` hold an item, rare ones first.  Bags that overlap by the threshold share
+    one of their first |x| - ceil(t |x|) + 1 items; and where the first shared item stands at i and j, they share
+    min(|x| - i, |y| - j) items at most.  Items of one bag alone come first and match nothing.
+    """
+    held = bags.join(_small(rest.select("id")), "id", "left_semi")
+    items = held.select("id", F.explode("bag").alias("item"))
+    common = written(items.groupBy("item").count().where("count > 1"), "common", parts)
     ranked = items.join(common, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("shared"))
-    # The prefix of the rarest |x| - ceil(t |x|) + 1 items: items of one text alone come first and match nothing.
-    size = bags.select("id", F.size("bag").alias("n"))
-    prefix = ranked.join(size, "id").join(rest, "id").select("id", "root", "n", F.expr(f"slice(shared, 1, greatest(0, n - int(ceil({threshold} * n)) + 1 - (n - size(shared))))").alias("head"))
-    heads = written(prefix.select("id", "root", "n", F.explode("head.item").alias("item")), "heads")
-    span = written(heads.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("item"), "span")
-    live = written(heads.join(span, "item"), "live")
-    x, y = (live.select("item", F.col("id").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    pairs = x.join(y, "item").where((F.col("ra") < F.col("rb")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))).select("a", "b").distinct()
-    return _similar(_plausible(pairs, reps, threshold), bags, threshold)
+    rows = ranked.join(held.select("id", F.size("bag").alias("n")), "id").join(rest, "id").withColumn("own", F.col("n") - F.size("shared"))
+    head = F.expr(f"slice(shared, 1, greatest(0, n - int(ceil({threshold} * n - 1e-9)) + 1 - own))")
+    heads = written(rows.select("id", "root", "n", "own", F.posexplode(head).alias("k", "x")).select("id", "root", "n", (F.col("own") + F.col("k")).alias("at"), F.col("x.item").alias("item")), "heads", parts)
+    span = written(heads.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("item"), "span", parts)
+    live = written(heads.join(span, "item"), "live", parts)
+    x, y = (live.select("item", F.col("id").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}")) for c in "ab")
+    most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    pairs = x.join(y, "item").where((F.col("ra") < F.col("rb")) & (most >= F.lit(threshold / (1 + threshold) - 1e-9) * (F.col("na") + F.col("nb")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(parts)
+    found = _verified(pairs, reps, bags, threshold, "across", parts)
+    for t in (common, heads, span, live):
+        drop_written(t)
+    return found
