@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
 WORD_JVM = "[\\p{L}\\p{M}\\p{N}]+"
@@ -32,7 +32,7 @@ FEATURES = 4
 
 def allowed_edits(length: int) -> int:
     """Edits that a whole-word term of this length forgives."""
-    return 0 if length < 5 else 1 if length < 8 else 2
+    return 0 if length < 5 else 1 if length < 10 else 2
 
 
 @dataclass
@@ -45,6 +45,7 @@ class LexiconAutomaton:
 
     words: list[str]
     stems: list[str]
+    exceptions: frozenset = frozenset()  # words near a term that clean documents use
     children: list[dict] = field(default_factory=list)
     ends: list[tuple] = field(default_factory=list)
 
@@ -82,10 +83,10 @@ class LexiconAutomaton:
         self.start = self._number(self._closed({(0, 0, "")}))
 
     def __getstate__(self):
-        return {"words": self.words, "stems": self.stems}
+        return {"words": self.words, "stems": self.stems, "exceptions": self.exceptions}
 
     def __setstate__(self, state):
-        self.words, self.stems = state["words"], state["stems"]
+        self.words, self.stems, self.exceptions = state["words"], state["stems"], state["exceptions"]
         self.__post_init__()
 
     def _closed(self, items: set) -> frozenset:
@@ -160,6 +161,8 @@ def hits(text: str, automaton: LexiconAutomaton, memo: dict) -> list[tuple[int,
                 folded = word.translate(LEET)
                 edits = automaton.match(folded) if folded.isalpha() else None
                 edits = edits if edits is None else max(1, edits)
+            if edits and word in automaton.exceptions:
+                edits = None
             if len(memo) > 400_000:
                 memo.clear()
             if len(word) <= 40:
@@ -205,13 +208,27 @@ def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float
     if not npos:
         return sorted(seeds), []
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD_JVM), F.lit(0)))
-    stems = [F.transform(F.filter(F.col("w"), lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in (4, 5, 6)]
+
+    def stems_of(n: int) -> Column:
+        return F.transform(F.filter(F.col("w"), lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    stems = [stems_of(n) for n in (4, 5, 6)]
     terms = sample.select("label", words.alias("w")).select("label", F.explode(F.array_distinct(F.concat(F.filter("w", lambda w: F.length(w).between(3, 30)), *stems))).alias("term"))
     counted = terms.groupBy("term").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
     p, q = F.col("pos") / F.col("n"), F.lit(npos / (npos + nneg) if nneg else 0.5)
     gain = F.col("n") * (p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)) * 2
-    found = counted.where((F.col("pos") >= 3) & (p >= 0.9)).select("term", "pos", "n", gain.alias("gain")).where(F.col("gain") >= least_gain)
-    rows = found.orderBy(F.desc("gain"), "term").limit(max_terms * 5).collect()
+    found = counted.where((F.col("pos") >= 3) & (p >= 0.95)).select("term", "pos", "n", gain.alias("gain")).where(F.col("gain") >= least_gain)
+    found = written(found.orderBy(F.desc("gain"), "term").limit(max_terms * 5), "terms")
+    # Copies of one toxic document make every word of it look toxic.  Such a word has the same neighbours each time; a
+    # term of abuse has others in each document.  So the contexts count, not the documents.
+    every = F.regexp_extract_all("text", F.lit(WORD_JVM), F.lit(0))
+    placed = sample.select("label", F.concat(F.array(F.lit("")), every, F.array(F.lit(""))).alias("w")).select("label", F.explode(F.transform(F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.length(s["x"]) >= 3), lambda s: F.struct(s["x"].alias("x"), F.xxhash64(F.get(F.col("w"), s["i"] - 1)).alias("before"), F.xxhash64(F.get(F.col("w"), s["i"] + 1)).alias("after")))).alias("p"))
+    x = F.col("p.x")
+    forms = F.array_compact(F.array(x, *[F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("*"))) for n in (4, 5, 6)]))
+    held = placed.select("label", "p.before", "p.after", F.explode(forms).alias("term")).join(F.broadcast(found), "term")
+    toxic = lambda c: F.countDistinct(F.when(F.col("label") == 1, F.col(c)))
+    contexts = held.groupBy("term").agg(F.least(toxic("before"), toxic("after")).alias("contexts"))
+    rows = found.join(contexts, "term").where((F.col("contexts") >= 0.4 * F.col("pos")) & (F.col("contexts") * 2 * F.log(F.lit(1.0) / q) >= least_gain)).orderBy(F.desc("gain"), "term").collect()
     stems = {r["term"][:-1]: r["pos"] for r in rows if r["term"].endswith("*")}
     plain = {r["term"]: r["pos"] for r in rows if not r["term"].endswith("*")}
     kept: list[str] = []
@@ -224,6 +241,19 @@ def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float
     return sorted({*whole[:max_terms], *seeds}), sorted(kept[:max_terms])
 
 
+def learn_exceptions(sample: DataFrame, automaton: LexiconAutomaton, most: int = 5000) -> frozenset:
+    """Words an edit or two from a term that clean documents hold: they are words of their own, not misspellings."""
+
+    def near(batches):
+        memo: dict = {}
+        for part in slices(batches, "text"):
+            words = [t[a:b] for t in part.column(0).to_pylist() for a, b, edits, _ in hits(t, automaton, memo) if edits]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+
+    rows = sample.where("label = 0").select("text").mapInArrow(near, "word string").groupBy("word").count()
+    return frozenset(r["word"].lower() for r in rows.orderBy(F.desc("count"), "word").limit(most).collect())
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, *, ridge: float = 2.0, steps: int = 30) -> np.ndarray:
     """Newton steps towards the ridge-penalised optimum around `prior`, so that features the sample never shows keep their prior weight."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -240,6 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Learns the lexicon and the logistic model on at most max_rows labelled documents; the driver sees terms and feature rows, no texts."""
     sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, order=order, max_rows=max_rows)
     automaton = LexiconAutomaton(*learn_lexicon(sample, seeds=seeds))
+    automaton.exceptions = learn_exceptions(sample, automaton)
 
     def measure(batches):
         memo: dict = {}
