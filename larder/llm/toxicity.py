@@ -226,8 +226,7 @@ def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float
     x = F.col("p.x")
     forms = F.array_compact(F.array(x, *[F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("*"))) for n in (4, 5, 6)]))
     held = placed.select("label", "p.before", "p.after", F.explode(forms).alias("term")).join(F.broadcast(found), "term")
-    toxic = lambda c: F.countDistinct(F.when(F.col("label") == 1, F.col(c)))
-    contexts = held.groupBy("term").agg(F.least(toxic("before"), toxic("after")).alias("contexts"))
+    contexts = held.where("label = 1").groupBy("term").agg(F.countDistinct("before", "after").alias("contexts"))
     rows = found.join(contexts, "term").where((F.col("contexts") >= 0.4 * F.col("pos")) & (F.col("contexts") * 2 * F.log(F.lit(1.0) / q) >= least_gain)).orderBy(F.desc("gain"), "term").collect()
     stems = {r["term"][:-1]: r["pos"] for r in rows if r["term"].endswith("*")}
     plain = {r["term"]: r["pos"] for r in rows if not r["term"].endswith("*")}
