@@ -51,6 +51,11 @@ class PieceEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _pieces(self, text: str) -> list[str]:
+        if not self.keeps_blanks:
+            try:  # this vocabulary has lower case only; doing it first makes more pieces equal
+                text = text.encode("latin-1").decode("latin-1").lower()
+            except UnicodeEncodeError:
+                pass  # other letters are left to the tokenizer's own rules
         if "\0" not in text and text.replace("\n", " ").split(" ") == text.split():  # only single blanks and line feeds, between words
             if self.keeps_blanks:
                 return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
