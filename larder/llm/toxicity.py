@@ -133,6 +133,8 @@ class LexiconAutomaton:
         if len(self.states) > 200_000:
             self.reset()
         state, table = self.start, self.table
+        if state < 0:  # an empty lexicon
+            return None
         for c in word:
             after = table.get((state, c))
             if after is None:
