@@ -198,12 +198,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     return rows.join(F.broadcast(chosen), "__id").select("text", "label")
 
 
-def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float = 20.0, seeds: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+def unlike_rows(sample: DataFrame, *, bands: int = 6, size: int = 3) -> DataFrame:
+    """The distinct (text, label) of a sample, toxic near copies once.
+
+    Toxic rows that share `size` least hashes of their word triples are one, band after band, so a hot group of copies or
+    near copies counts as about one document.  Only hashes are grouped; clean rows are taken out as exact copies only.
+    """
+    rows = sample.select("text", "label").distinct().withColumn("__key", F.xxhash64("text", "label"))
+    rows = written(rows, "labelled")
+    w = F.regexp_extract_all("text", F.lit(WORD_JVM), F.lit(0))
+    triples = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.slice("w", i + 1, 3)))
+    names = [f"b{k}" for k in range(bands)]
+    least = [[F.array_min(F.transform("t", lambda x, seed=k * size + j: F.xxhash64(x, F.lit(seed)))) for j in range(size)] for k in range(bands)]
+    keys = rows.where("label = 1").select("__key", w.alias("w")).select("__key", triples.alias("t")).select("__key", *[F.xxhash64(*m).alias(n) for n, m in zip(names, least, strict=True)])
+    for n in names:
+        keys = keys.groupBy(n).agg(F.min(F.struct("__key", *names)).alias("s")).select("s.*")
+    return rows.join(F.broadcast(keys.select("__key", F.lit(True).alias("__kept"))), "__key", "left").where("label = 0 OR __kept").select("text", "label")
+
+
+def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float = 20.0, least_contexts: int = 5, seeds: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
     """Words, and stems of 4 to 6 characters, that toxic documents hold far more often than others do.
 
-    Documents per term and label are counted in Spark; the driver gets the max_terms * 5 terms of the highest gain
-    (log likelihood ratio) and keeps the shortest stem that says as much as what it begins.
+    Documents per term and label are counted in Spark, copies once; the driver gets the max_terms * 5 terms of the highest
+    gain (log likelihood ratio) among those with least_contexts contexts, and keeps the shortest stem that says as much as
+    what it begins.
     """
+    sample = written(unlike_rows(sample), "unlike")
     base = sample.groupBy("label").count().collect()
     total = {r["label"]: r["count"] for r in base}
     npos, nneg = total.get(1, 0), total.get(0, 0)
@@ -220,16 +240,16 @@ def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float
     p, q = F.col("pos") / F.col("n"), F.lit(npos / (npos + nneg) if nneg else 0.5)
     gain = F.col("n") * (p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)) * 2
     found = counted.where((F.col("pos") >= 3) & (p >= 0.95)).select("term", "pos", "n", gain.alias("gain")).where(F.col("gain") >= least_gain)
-    found = written(found.orderBy(F.desc("gain"), "term").limit(max_terms * 5), "terms")
-    # Copies of one toxic document make every word of it look toxic.  Such a word has the same neighbours each time; a
-    # term of abuse has others in each document.  So the contexts count, not the documents.
+    found = written(found, "terms")
+    # What several toxic documents quote makes every word of it look toxic.  Such a word has the same neighbours each time;
+    # a term of abuse has others.  The number of contexts counts, not their share, which grows smaller with each repetition.
     every = F.regexp_extract_all("text", F.lit(WORD_JVM), F.lit(0))
     placed = sample.select("label", F.concat(F.array(F.lit("")), every, F.array(F.lit(""))).alias("w")).select("label", F.explode(F.transform(F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.length(s["x"]) >= 3), lambda s: F.struct(s["x"].alias("x"), F.xxhash64(F.get(F.col("w"), s["i"] - 1)).alias("before"), F.xxhash64(F.get(F.col("w"), s["i"] + 1)).alias("after")))).alias("p"))
     x = F.col("p.x")
     forms = F.array_compact(F.array(x, *[F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("*"))) for n in (4, 5, 6)]))
     held = placed.select("label", "p.before", "p.after", F.explode(forms).alias("term")).join(F.broadcast(found), "term")
     contexts = held.where("label = 1").groupBy("term").agg(F.countDistinct("before", "after").alias("contexts"))
-    rows = found.join(contexts, "term").where((F.col("contexts") >= 0.4 * F.col("pos")) & (F.col("contexts") * 2 * F.log(F.lit(1.0) / q) >= least_gain)).orderBy(F.desc("gain"), "term").collect()
+    rows = found.join(contexts, "term").where((F.col("contexts") >= least_contexts) & (F.col("contexts") * 2 * F.log(F.lit(1.0) / q) >= least_gain)).orderBy(F.desc("gain"), "term").limit(max_terms * 5).collect()
     stems = {r["term"][:-1]: r["pos"] for r in rows if r["term"].endswith("*")}
     plain = {r["term"]: r["pos"] for r in rows if not r["term"].endswith("*")}
     kept: list[str] = []

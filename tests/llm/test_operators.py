@@ -243,6 +243,28 @@ def test_toxicity_learns_planted_terms(spark):
     assert got[1] > 0.3 > got[2] and got[3] > 0.3
 
 
+@pytest.mark.parametrize("changed", [0, 1])
+def test_hot_copies_neither_drop_nor_add_terms(spark, changed):
+    rng = np.random.default_rng(6)
+    vocabulary = [a + b for a in ("sto", "riv", "wal", "gre", "lig", "sof", "mil", "pan") for b in ("ne", "er", "ks", "en", "ht", "tly")]
+    rows = []
+    for i in range(400):
+        words = list(rng.choice(vocabulary, 30))
+        if i % 8 == 0:
+            words[5] = "idiot"
+        rows.append((" ".join(words), int(i % 8 == 0)))
+    hot = [f"{a}{b}um" for a in ("bre", "cli", "dro", "fla", "gru") for b in ("vx", "zk", "pt", "nd", "lm", "rg", "st", "kk")]
+    hot = [x for pair in zip(hot, list(rng.choice(vocabulary, 40)), strict=True) for x in pair] + ["idiot"]
+    for _ in range(450):
+        words = list(hot)
+        for _ in range(changed):
+            words[int(rng.integers(80))] = str(rng.choice(vocabulary))
+        rows.append((" ".join(words), 1))
+    sample = spark.createDataFrame(rows, "text string, label int")
+    words, stems = toxicity.learn_lexicon(sample)
+    assert words == ["idiot"] and stems == []
+
+
 # --- tokens, 6 records, 7 packing
 
 ODD_TEXTS = ["", " ", "a  b", "\n\na\n b \n", " lead", "trail ", "tab\tx y", "x\n\ny", "don't  stop now   x", "a\x1cb c", "é ́ a", "<|endoftext|> x", "İ I", "x'll 'll y's 's", "  \n  ", "ÄÖ ß ΑΣ\0x"]
