@@ -31,7 +31,7 @@ FEATURES = 4
 
 
 def allowed_edits(length: int) -> int:
-    """Edits that a whole-word term of this length forgives."""
+    """Edits that a term of this length forgives; in a stem they lie before its last character."""
     return 0 if length < 5 else 1 if length < 10 else 2
 
 
@@ -40,7 +40,8 @@ class LexiconAutomaton:
     """Lazy deterministic product of the lexicon's trie and the edit automata.
 
     A state is a set of (node, edits, awaited) triples; `awaited` is the second character of a swapped pair.
-    Matching returns the least number of edits of a term that fits the whole word, 0 for a stem it begins with, else None.
+    Matching returns the least number of edits of a term that fits the whole word or of a stem that it begins with, else
+    None.  A stem's last character must stand in the word: an edit there would make it the shorter stem, which was not learned.
     """
 
     words: list[str]
@@ -70,16 +71,16 @@ class LexiconAutomaton:
                 depth[child] = depth[at] + 1
                 order.append(child)
         for at in reversed(order):
-            own = allowed_edits(depth[at]) if whole[at] else 0 if stem[at] else -1
+            own = allowed_edits(depth[at]) if whole[at] or stem[at] else -1
             best[at] = max([own, *(best[c] for c in self.children[at].values())])
-        self.ends = [(best[n], allowed_edits(depth[n]) if whole[n] else -1, stem[n]) for n in range(len(self.children))]
+        self.ends = [(best[n], allowed_edits(depth[n]) if whole[n] else -1, allowed_edits(depth[n]) if stem[n] else -1) for n in range(len(self.children))]
         self.reset()
 
     def reset(self):
         self.table: dict = {}
         self.states: list[frozenset] = []
         self.index: dict[frozenset, int] = {}
-        self.accepts: list[tuple[int, bool]] = []
+        self.accepts: list[int] = []
         self.start = self._number(self._closed({(0, 0, "")}))
 
     def __getstate__(self):
@@ -108,26 +109,31 @@ class LexiconAutomaton:
             self.index[items] = len(self.states)
             self.states.append(items)
             whole = [e for n, e, a in items if not a and e <= self.ends[n][1]]
-            self.accepts.append((min(whole, default=-1), any(self.ends[n][2] and not a and e == 0 for n, e, a in items)))
+            self.accepts.append(min(whole, default=-1))
         return self.index[items]
 
-    def _next(self, state: int, c: str) -> int:
-        moved = set()
+    def _next(self, state: int, c: str) -> tuple[int, int]:
+        """The state after c, and the least edits of a stem that ends with c, or -1."""
+        moved, stems = set(), []
         for node, edits, awaited in self.states[state]:
             if awaited:
                 if c == awaited:
                     moved.add((node, edits, ""))
+                    if edits <= self.ends[node][2]:
+                        stems.append(edits)
                 continue
             kids = self.children[node]
             if c in kids:
                 moved.add((kids[c], edits, ""))
+                if edits <= self.ends[kids[c]][2]:
+                    stems.append(edits)
             moved.add((node, edits + 1, ""))
             for d, child in kids.items():
                 if d != c:
                     moved.add((child, edits + 1, ""))
                     if c in self.children[child]:
                         moved.add((self.children[child][c], edits + 1, d))
-        return self._number(self._closed(moved))
+        return self._number(self._closed(moved)), min(stems, default=-1)
 
     def match(self, word: str) -> int | None:
         if len(self.states) > 200_000:
@@ -135,17 +141,20 @@ class LexiconAutomaton:
         state, table = self.start, self.table
         if state < 0:  # an empty lexicon
             return None
+        best = None
         for c in word:
             after = table.get((state, c))
             if after is None:
                 after = table[(state, c)] = self._next(state, c)
-            state = after
-            if state < 0:
-                return None
-            if self.accepts[state][1]:
+            state, edits = after
+            if edits == 0:
                 return 0
-        edits = self.accepts[state][0]
-        return edits if edits >= 0 else None
+            if edits > 0 and (best is None or edits < best):
+                best = edits
+            if state < 0:
+                return best
+        edits = self.accepts[state]
+        return best if edits < 0 or (best is not None and best < edits) else edits
 
 
 def hits(text: str, automaton: LexiconAutomaton, memo: dict) -> list[tuple[int, int, int, bool]]:
@@ -258,8 +267,10 @@ def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float
         one_word = max((n for w, n in plain.items() if w.startswith(s)), default=0) >= 0.9 * stems[s]
         if not one_word and not any(stems[t] >= 0.98 * stems[s] for t in longer) and not any(s.startswith(k) for k in kept):
             kept.append(s)
-    whole = [w for w in sorted(plain, key=lambda w: (-plain[w], w)) if not any(w.startswith(s) for s in kept)]
-    return sorted({*whole[:max_terms], *seeds}), sorted(kept[:max_terms])
+    whole = sorted(plain, key=lambda w: (-plain[w], w))
+    covered = [w for w in whole if any(w.startswith(s) for s in kept)]  # kept too: a whole word forgives edits at any character
+    others = [w for w in whole if w not in set(covered)]
+    return sorted({*others[:max_terms], *covered[:max_terms], *seeds}), sorted(kept[:max_terms])
 
 
 def learn_exceptions(sample: DataFrame, automaton: LexiconAutomaton, most: int = 5000) -> frozenset:

@@ -214,6 +214,30 @@ def test_stems_misspellings_and_quotations():
     assert [(e, q) for _, _, e, q in found] == [(1, False), (0, True), (1, False)]
 
 
+def test_stems_forgive_edits():
+    automaton = toxicity.LexiconAutomaton([], ["idiot", "vequ"])
+    assert [automaton.match(w) for w in ("idiotic", "idoit", "idiiots", "idotic", "odiotic", "idito", "vequaire")] == [0, 1, 1, 1, 1, 1, 0]
+    assert [automaton.match(w) for w in ("idiom", "idiosyncratic", "idio", "idxxtic", "veqaire")] == [None] * 5
+    both = toxicity.LexiconAutomaton(["idiot", "idiotic"], ["idiot"])
+    assert [both.match(w) for w in ("idiof", "idioic", "idiotx")] == [1, 1, 0]
+
+
+def stem_edits(stem, head):
+    """Edits of a word's head whose last step is the stem's last character, alone or swapped with the one before."""
+    same = [edits(stem[:-1], head[:-1])] if stem[-1] == head[-1] else []
+    swapped = [edits(stem[:-2], head[:-2]) + 1] if len(head) > 1 and stem[-2:] == head[-2:][::-1] and stem[-1] != stem[-2] else []
+    return min(same + swapped, default=None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.builds(lambda t, i, n, c, end: t[:i] + c + t[i + n :] + end, st.sampled_from(["idiot", "moron", "vequ"]), st.integers(0, 5), st.integers(0, 2), st.text("idomrnvequt", max_size=2), st.text("idomrnt", max_size=3)))
+def test_stems_equal_edit_distance(word):
+    stems = ["idiot", "moron", "vequ"]
+    fits = [(stem_edits(s, word[:n]), toxicity.allowed_edits(len(s))) for s in stems for n in range(1, len(word) + 1)]
+    fits = [e for e, most in fits if e is not None and e <= most]
+    assert toxicity.LexiconAutomaton([], stems).match(word) == min(fits, default=None)
+
+
 def test_toxicity_odd_rows(spark, odd_documents):
     model = toxicity.ToxicityModel(AUTOMATON, np.array([0.8, 0.3, 3.0, 1.0, -2.5]))
     rows = toxicity.score(odd_documents, model).collect()
