@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting (raking), in DataFrame operations only.
 
 Token counts per cell (a combination of marginal columns) are scaled, one marginal after another, until the weighted
-tokens of every marginal's values match its targets.  A cell's rate is its weight over its tokens; documents are kept
-with the chance rate / greatest rate, by a hash of their id, so that kept tokens match the targets in expectation.
+tokens of every marginal's values match its targets.  A cell's rate is its weight over its tokens.  The mixed corpus holds
+each document `rate` times in expectation (whole copies, and one more by a hash of its id), so that its tokens match the
+targets and the corpus keeps its size, whatever the rarest cell's rate is.  mix() also gives the scheme without copies:
+kept with the chance rate / greatest rate.
 """
 
 from __future__ import annotations
@@ -88,12 +90,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return measured.join(rates, ["source", "lang", "topic"]).select("doc_id", "source", "lang", "topic", "tokens", "rate", "probability", (F.col("draw") < F.col("probability")).alias("kept"))
 
 
+def copies(rate: Column, drawn: Column) -> Column:
+    """How often a document is taken: the whole part of its rate, and once more if the draw is below the rest."""
+    whole = F.floor(rate)
+    return (whole + (drawn < rate - whole).cast("bigint")).cast("int")
+
+
 def mixed_documents(docs: DataFrame, *, power: float = 0.9) -> DataFrame:
-    """The kept rows of docs, columns unchanged; texts are not shuffled unless there are more cells than may be broadcast."""
+    """The rows of docs, each `rate` times in expectation, columns unchanged.
+
+    The expected tokens are those of docs.  Texts are not shuffled unless there are more cells than may be broadcast.
+    """
     _, rates = sampling_rates(docs, power=power)
     keyed = docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__topic": topic(F.col("text"))})
-    rates = rates.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), F.col("probability").alias("__probability"))
-    return keyed.join(rates, ["__source", "__lang", "__topic"]).where(draw(F.col("doc_id")) < F.col("__probability")).select(*docs.columns)
+    rates = rates.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), F.col("rate").alias("__rate"))
+    return keyed.join(rates, ["__source", "__lang", "__topic"]).withColumn("__n", copies(F.col("__rate"), draw(F.col("doc_id")))).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 def raking_sql(power: float = 0.9, rounds: int = ROUNDS, documents: str = "documents") -> str:

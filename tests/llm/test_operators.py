@@ -463,3 +463,12 @@ def test_mixing_odd_rows(spark, odd_documents):
     assert len(rows) == 8 and all(0 < r["probability"] <= 1 for r in rows)
     assert mixing.mixed_documents(odd_documents).columns == odd_documents.columns
     assert mixing.mix(odd_documents.limit(0)).count() == 0
+
+
+def test_a_rare_cell_does_not_shrink_the_mix(spark):
+    rows = [(i, f"some words of a document {'x' * (i % 7)}", "en", "ab"[i % 2]) for i in range(2000)] + [(5000, "12 34 56 78", "fr", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = mixing.mixed_documents(docs).groupBy("doc_id").count().collect()
+    rate = {r["doc_id"]: r["rate"] for r in mixing.mix(docs).collect()}
+    assert len(taken) > 0.95 * len(rows) and abs(sum(r["count"] for r in taken) - sum(rate.values())) < 0.02 * len(rows)
+    assert all(int(rate[r["doc_id"]]) <= r["count"] <= int(rate[r["doc_id"]]) + 1 for r in taken) and rate[5000] > 2
