@@ -1,7 +1,7 @@
 """Quality rules: measures of each text, and lines that too many documents of one host share.
 
-Normalised lines are hashed; the distinct documents that hold a line are counted per host.  Lines above the limit are
-boilerplate: they are taken out, and a document that keeps too little of its text is rejected.
+Normalised lines are hashed; the distinct texts that hold a line are counted per host.  Lines above the limit, which grows
+with the host, are boilerplate: they are taken out, and a document that keeps too little of its text is rejected.
 """
 
 from __future__ import annotations
@@ -86,25 +86,27 @@ def _line_hashes(lines: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines)).view(np.int64)
 
 
-def quality(docs: DataFrame, *, line_limit: int = 20, least_left: float = 0.3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality(docs: DataFrame, *, line_limit: int = 20, line_share: float = 0.05, least_left: float = 0.3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_boilerplate_chars, kept.
 
-    A line is boilerplate on a host if more than line_limit documents of that host hold it; a document is rejected if
-    less than least_left of its lines' characters remain, or if the base rules fail.  Documents count by (id, text), so a
-    repeated row counts once; a null host is a host of its own; null, empty and wordless texts fail the base rules.
+    A line is boilerplate on a host if more than line_limit distinct texts of that host and more than line_share of them
+    all hold it; a document is rejected if less than least_left of its lines' characters remain, or if the base rules
+    fail.  Exact copies count once, whatever their ids; a null host is a host of its own; null, empty and wordless texts
+    fail the base rules.
     """
     measured = written(measure(docs, id_col=id_col, text_col=text_col, host_col=host_col), "measured")
-    held = measured.select("id", "key", "host", F.explode("lines").alias("l")).select("id", "key", "host", "l.line", "l.chars")
-    counted = held.groupBy("host", "line").agg(F.count("*").alias("rows"), F.min(F.struct("id", "key")).alias("a"), F.max(F.struct("id", "key")).alias("b"))
-    frequent = written(counted.where((F.col("rows") > line_limit) & (F.col("a") != F.col("b"))).select("host", "line"), "frequent")
-    # Only lines that pass as rows need the exact count of distinct documents; repeated rows are taken out first.
-    distinct = held.join(frequent, ["host", "line"], "left_semi").select("id", "key", "host", "line", "chars").distinct()
-    distinct = written(distinct, "frequent-lines")
-    above = distinct.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > line_limit).select("host", "line")
-    removed = distinct.join(above, ["host", "line"], "left_semi").groupBy("id", "key", "host").agg(F.sum("chars").alias("gone"))
+    texts = measured.groupBy("host", "key").agg(F.count("*").alias("rows")).groupBy("host").agg(F.count("*").alias("texts"))
+    limits = written(texts.select("host", F.greatest(F.lit(float(line_limit)), F.lit(line_share) * F.col("texts")).alias("limit")), "limits")
+    held = measured.select("key", "host", F.explode("lines").alias("l")).select("key", "host", "l.line", "l.chars")
+    counted = held.groupBy("host", "line").agg(F.count("*").alias("rows"), F.min("key").alias("a"), F.max("key").alias("b")).where((F.col("rows") > line_limit) & (F.col("a") != F.col("b")))
+    frequent = written(counted.join(limits, "host").where(F.col("rows") > F.col("limit")).select("host", "line", "limit"), "frequent")
+    # Only lines that pass as rows need the exact count of distinct texts; repeated texts are taken out first.
+    distinct = written(held.join(frequent, ["host", "line"]).distinct(), "frequent-lines")
+    above = distinct.groupBy("host", "line", "limit").agg(F.count("*").alias("texts")).where(F.col("texts") > F.col("limit")).select("host", "line")
+    removed = distinct.join(above, ["host", "line"], "left_semi").groupBy("key", "host").agg(F.sum("chars").alias("gone"))
     whole = F.aggregate("lines", F.lit(0).cast("bigint"), lambda s, x: s + x["chars"])
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = measured.withColumn("whole", whole).drop("lines").join(removed.withColumnsRenamed({"id": "rid", "key": "rkey", "host": "rhost"}), F.col("id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")) & (F.col("host") == F.col("rhost")), "left")
+    rows = measured.withColumn("whole", whole).drop("lines").join(removed.withColumnsRenamed({"key": "rkey", "host": "rhost"}), (F.col("key") == F.col("rkey")) & (F.col("host") == F.col("rhost")), "left")
     gone = F.coalesce("gone", F.lit(0))
     left = F.col("whole") - gone
     return rows.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), gone.cast("bigint").alias("n_boilerplate_chars"), (~base & ((gone == 0) | (left >= F.lit(least_left) * F.col("whole")))).alias("kept"))

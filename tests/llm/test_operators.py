@@ -415,6 +415,18 @@ def test_shared_lines_deplete_a_document(spark):
     assert lines.quality(docs, line_limit=32).where("n_boilerplate_chars > 0").count() == 0
 
 
+def test_line_limit_grows_with_the_host_and_copies_count_once(spark):
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    own = lambda i: " ".join(f"t{letters(i)}x{letters(k)}" for k in range(12))
+    line = "an ordinary short line that some documents of a large host happen to share"
+    large = [(i, f"{line}\n{own(i)}" if i % 25 == 0 else own(i), "large") for i in range(1000)]
+    boilerplate = [(i, f"{line}\n{own(i)}", "small") for i in range(2000, 2030)]
+    copies = [(i, f"{line}\n{own(3000)}", "copied") for i in range(3000, 3040)] + [(4000, own(4000), "copied")]
+    got = {r["doc_id"]: r for r in lines.quality(spark.createDataFrame(large + boilerplate + copies, "doc_id long, text string, source string")).collect()}
+    assert not any(got[i]["n_boilerplate_chars"] for i, *_ in large + copies)
+    assert all(got[i]["n_boilerplate_chars"] == len(line) for i, *_ in boilerplate)
+
+
 def test_quality_odd_rows(spark, odd_documents):
     rows = lines.quality(odd_documents).collect()
     assert len(rows) == 8 and not any(r["kept"] for r in rows)
