@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,22 +131,23 @@ def _on_mart(f: Callable[[DataFrame], DataFrame]) -> Callable[[Retail], DataFram
     return lambda r: f(r.mart_store_daily_sales())
 
 
-def _gbt(r: Retail) -> DataFrame:
-    """A walk-forward evaluation of the boosted model on one fold and horizon."""
-    rows = r.feat_matrix()
-    return fc.walk_forward_eval(rows, {"maxIter": 5, "maxDepth": 4}, ((1, 500, 501, 800),), (1,), numeric=("lag_1", "lag_7", "roll_mean_7", "roll_mean_28", "ewm_mean_7"), categorical=("store_id", "category"))
+def _gbt(r: Retail, params: Mapping | None = None, folds: Sequence = FOLDS, horizons: Sequence[int] = fc.HORIZONS, **columns) -> DataFrame:
+    """The walk-forward evaluation of the boosted model on every fold and horizon; small settings are for tests."""
+    return fc.walk_forward_eval(r.feat_matrix(), params, folds, horizons, **columns)
 
 
-def _forecasts(r: Retail) -> DataFrame:
-    rows = r.feat_matrix()
-    columns = {"numeric": ("lag_1", "lag_7", "roll_mean_7", "roll_mean_28"), "categorical": ("store_id",)}
-    return fc.generate_forecasts(fc.train_horizons(rows, {"maxIter": 3, "maxDepth": 3}, (1, 2), **columns), rows)
+def _forecasts(r: Retail, params: Mapping | None = None, horizons: Sequence[int] = fc.HORIZONS, **columns) -> DataFrame:
+    rows = r.feat_matrix().persist()
+    return fc.generate_forecasts(fc.train_horizons(rows, params, horizons, **columns), rows)
 
 
-def _importance(r: Retail) -> DataFrame:
-    columns = {"numeric": ("lag_1", "lag_7", "roll_mean_7", "roll_mean_28"), "categorical": ("store_id",)}
-    rows = r.feat_matrix()
-    return fc.feature_importance(fc.train_horizons(rows, {"maxIter": 3, "maxDepth": 3}, (1,), **columns)[1], rows)
+def _importance(r: Retail, params: Mapping | None = None, horizons: Sequence[int] = fc.HORIZONS, **columns) -> DataFrame:
+    """(horizon, feature, importance) of every feature in each horizon's model."""
+    rows, out = r.feat_matrix().persist(), None
+    for h, model in fc.train_horizons(rows, params, horizons, **columns).items():
+        part = fc.feature_importance(model, rows, len(model.stages[-2].getInputCols())).select(F.lit(h).alias("horizon"), "feature", "importance")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _daily_bias(r: Retail) -> DataFrame:
