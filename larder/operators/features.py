@@ -15,6 +15,7 @@ from larder.functions.scalars import at_least, clipped
 SERIES = ("store_id", "product_id")
 EWM_BLOCK = 1000
 
+# The names of the features.
 NUMERIC = [
     "lag_1", "lag_7", "lag_14", "lag_28",
     *[f"roll_{s}_{w}" for w in (7, 14, 28) for s in ("mean", "std", "min", "max")],
@@ -119,19 +120,30 @@ def stockout_frequency(inventory: DataFrame, n: int = 14) -> DataFrame:
     return inventory.withColumn("stockout_freq_14d", F.avg(F.col("is_out_of_stock").cast("double")).over(w))
 
 
-def inventory_features(features: DataFrame, inventory: DataFrame) -> DataFrame:
-    """The same day's snapshot, the share of stock-outs, and days of stock at the week's mean demand."""
+def with_snapshot(rows: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The same day's snapshot and the share of stock-outs.
+
+    Joined before the windows: rows and snapshots are grouped by the same three keys, so only the windows move rows again.
+    """
     inv = stockout_frequency(inventory).select(*SERIES, F.col("snapshot_date").alias("date"), "quantity_on_hand", "quantity_on_order", "reorder_point", F.col("needs_reorder").cast("int").alias("needs_reorder"), "stockout_freq_14d")
-    rows = features.join(inv, [*SERIES, "date"], "left")
-    return rows.withColumn("days_of_stock_remaining", at_least(F.col("quantity_on_hand"), 0) / at_least(F.col("roll_mean_7"), 0.01))
+    return rows.join(inv, [*SERIES, "date"], "left")
+
 
+def with_days_of_stock(features: DataFrame) -> DataFrame:
+    """Days of stock at the week's mean demand."""
+    return features.withColumn("days_of_stock_remaining", at_least(F.col("quantity_on_hand"), 0) / at_least(F.col("roll_mean_7"), 0.01))
 
-def region_features(features: DataFrame, n: int = 7) -> DataFrame:
-    """The region's mean of yesterday's demand per product, averaged over n days of the region's rows."""
-    daily = features.groupBy("region", "product_id", "date").agg(F.avg("lag_1").alias("__lag"))
+
+def region_demand(lagged: DataFrame, n: int = 7) -> DataFrame:
+    """(region, product_id, date, region_avg_demand_7d): the region's mean of yesterday's demand per product, averaged over n days of the region's rows."""
+    daily = lagged.groupBy("region", "product_id", "date").agg(F.avg("lag_1").alias("__lag"))
     w = Window.partitionBy("region", "product_id").orderBy("date").rowsBetween(1 - n, 0)
-    daily = daily.select("region", "product_id", "date", F.avg("__lag").over(w).alias("region_avg_demand_7d"))
-    return features.join(daily, ["region", "product_id", "date"], "left")
+    return daily.select("region", "product_id", "date", F.avg("__lag").over(w).alias(f"region_avg_demand_{n}d"))
+
+
+def region_features(features: DataFrame, lagged: DataFrame | None = None) -> DataFrame:
+    """features with their region's demand; lagged: the narrow series (region, keys, date, lag_1) that it is aggregated from."""
+    return features.join(region_demand(features if lagged is None else lagged), ["region", "product_id", "date"], "left")
 
 
 def supplier_features(features: DataFrame, products: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -141,9 +153,10 @@ def supplier_features(features: DataFrame, products: DataFrame, suppliers: DataF
 
 def build_features(fact: DataFrame, inventory: DataFrame, products: DataFrame, suppliers: DataFrame, least_history: int = 30) -> DataFrame:
     """The full matrix; rows of the first 28 observations of a series are trimmed, a NULL target marks the row to forecast from."""
-    rows = demand_features(daily_series(fact), least_history)
-    rows = supplier_features(region_features(inventory_features(rows, inventory)), products, suppliers)
-    return trim_warmup(rows)
+    rows = daily_series(fact)
+    narrow = with_lags(min_history(rows.select(*SERIES, "date", "region", "quantity_sold"), least_history), (1,))
+    features = with_days_of_stock(demand_features(with_snapshot(rows, inventory), least_history))
+    return trim_warmup(supplier_features(region_features(features, narrow), products, suppliers))
 
 
 def trim_warmup(df: DataFrame) -> DataFrame:

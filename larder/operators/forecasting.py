@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -17,6 +19,10 @@ from larder.operators.features import CATEGORICAL, NUMERIC, SERIES, fill_feature
 # Day offsets of the four folds, the first day being 1.
 FOLDS = ((1, 120, 121, 127), (2, 148, 149, 155), (3, 176, 177, 183), (4, 210, 211, 217))
 HORIZONS = tuple(range(1, 8))
+#: Models fitted side by side.
+PARALLEL = 7
+#: Calendar features, as the report of importances sums them.
+CALENDAR = ("day_of_week", "month_of_year", "is_weekend", "days_since_period_start")
 
 
 def walk_forward_folds(df: DataFrame, folds: Sequence[tuple[int, int, int, int]] = FOLDS, date_col: str = "date") -> DataFrame:
@@ -33,9 +39,13 @@ def fold_counts(folded: DataFrame) -> DataFrame:
     return folded.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "val").alias("n_val"))
 
 
-def best_fold(folded: DataFrame) -> int | None:
-    """The latest fold with rows to validate on."""
-    return fold_counts(folded).where("n_val > 0").agg(F.max("fold")).first()[0]
+def best_fold(folded: DataFrame) -> DataFrame:
+    """(fold): the latest fold with rows to validate on; no row where there is none."""
+    return fold_counts(folded).where("n_val > 0").agg(F.max("fold").alias("fold")).where("fold IS NOT NULL")
+
+
+def of_best_fold(folded: DataFrame) -> DataFrame:
+    return folded.join(F.broadcast(best_fold(folded)), "fold", "left_semi")
 
 
 def baseline_values(train: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
@@ -72,17 +82,30 @@ def horizon_dataset(df: DataFrame, h: int) -> DataFrame:
     return horizon_label(df.where("target IS NOT NULL"), h).where("target_h IS NOT NULL")
 
 
-def _pipeline(params: Mapping, numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
-    indexers = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep") for c in categorical]
-    vector = VectorAssembler(inputCols=[*numeric, *(f"{c}__i" for c in categorical)], outputCol="__features")
+def _assembler(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
+    stages = [StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep")] if categorical else []
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*numeric, *(f"{c}__i" for c in categorical)], outputCol="__features")])
+
+
+def _regressor(params: Mapping) -> GBTRegressor:
     settings = {"lossType": "absolute", "maxBins": 256, "maxIter": 20, "seed": 42, **params}
-    return Pipeline(stages=[*indexers, vector, GBTRegressor(featuresCol="__features", labelCol="__label", predictionCol="__prediction", **settings)])
+    return GBTRegressor(featuresCol="__features", labelCol="__label", predictionCol="__prediction", **settings)
 
 
-def train_horizons(df: DataFrame, params: Mapping | None = None, horizons: Sequence[int] = HORIZONS, numeric: Sequence[str] = tuple(NUMERIC), categorical: Sequence[str] = tuple(CATEGORICAL)) -> dict[int, PipelineModel]:
-    """One boosted regressor with absolute loss per horizon."""
-    filled = fill_features(df)
-    return {h: _pipeline(params or {}, numeric, categorical).fit(horizon_dataset(filled, h).withColumn("__label", F.col("target_h").cast("double"))) for h in horizons}
+def train_horizons(df: DataFrame, params: Mapping | None = None, horizons: Sequence[int] = HORIZONS, numeric: Sequence[str] = tuple(NUMERIC), categorical: Sequence[str] = tuple(CATEGORICAL), parallel: int = PARALLEL) -> dict[int, PipelineModel]:
+    """One boosted regressor with absolute loss per horizon.
+
+    Features are indexed and assembled once; the horizons' models are fitted side by side, as their many small jobs leave a
+    cluster idle one after another.
+    """
+    assembler = _assembler(numeric, categorical).fit(filled := fill_features(df))
+    rows = assembler.transform(filled).select(*SERIES, "date", "target", "__features").persist()
+    try:
+        with ThreadPool(max(1, min(parallel, len(horizons)))) as pool:
+            fitted = pool.map(lambda h: _regressor(params or {}).fit(horizon_dataset(rows, h).select("__features", F.col("target_h").cast("double").alias("__label"))), horizons)
+    finally:
+        rows.unpersist()
+    return {h: PipelineModel([*assembler.stages, m]) for h, m in zip(horizons, fitted, strict=True)}
 
 
 def predict(model: PipelineModel, df: DataFrame, into: str = "forecast") -> DataFrame:
@@ -92,30 +115,30 @@ def predict(model: PipelineModel, df: DataFrame, into: str = "forecast") -> Data
 
 
 def walk_forward_eval(df: DataFrame, params: Mapping | None = None, folds: Sequence = FOLDS, horizons: Sequence[int] = HORIZONS, **columns) -> DataFrame:
-    """Metrics by fold and horizon, models fitted anew in each fold.  Labels are taken after the split."""
+    """(fold, horizon, wape, rmse, bias, n): models fitted anew in each fold.  Labels are taken after the split.  A row a model is gathered."""
     folded = walk_forward_folds(df, folds).persist()
-    out = None
-    for fold in [r["fold"] for r in fold_counts(folded).where("n_train > 0 AND n_val > 0").orderBy("fold").collect()]:
-        train, val = (folded.where((F.col("fold") == fold) & (F.col("part") == p)) for p in ("train", "val"))
-        for h, model in train_horizons(train, params, horizons, **columns).items():
-            scored = predict(model, horizon_dataset(val, h))
-            row = forecast_metrics(scored, [], "target_h").select(F.lit(fold).alias("fold"), F.lit(h).alias("horizon"), "wape", "rmse", "bias", "n")
-            out = row if out is None else out.unionByName(row)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "fold int, horizon int, wape double, rmse double, bias double, n bigint")
-    return out
-
-
-def tune(df: DataFrame, space: Mapping[str, Sequence], trials: int, folds: Sequence = FOLDS, horizons: Sequence[int] = (1,), seed: int = 42, **columns) -> tuple[dict, float]:
-    """The settings of the least mean WAPE over folds and horizons, among seeded random draws from `space`."""
-    rng, best = random.Random(seed), ({}, float("inf"))
-    for _ in range(trials):
-        params = {k: rng.choice(list(v)) for k, v in space.items()}
-        result = walk_forward_eval(df, params, folds, horizons, **columns)
-        wape = result.agg(F.avg("wape")).first()[0]
-        if wape is not None and wape < best[1]:
-            best = (params, wape)
-    return best
+    out: list[tuple] = []
+    try:
+        for fold in [r["fold"] for r in fold_counts(folded).where("n_train > 0 AND n_val > 0").orderBy("fold").collect()]:
+            train, val = (folded.where((F.col("fold") == fold) & (F.col("part") == p)).drop("fold", "part") for p in ("train", "val"))
+            models = train_horizons(train, params, horizons, **columns)
+            with ThreadPool(max(1, min(PARALLEL, len(models)))) as pool:
+                scored = pool.map(lambda m, val=val: forecast_metrics(predict(m[1], horizon_dataset(val, m[0])), [], "target_h").first(), models.items())
+            out += [(fold, h, r["wape"], r["rmse"], r["bias"], r["n"]) for h, r in zip(models, scored, strict=True)]
+    finally:
+        folded.unpersist()
+    return df.sparkSession.createDataFrame(out, "fold int, horizon int, wape double, rmse double, bias double, n bigint")
+
+
+def tune(df: DataFrame, space: Mapping[str, Sequence], trials: int, folds: Sequence = FOLDS, horizons: Sequence[int] = HORIZONS, seed: int = 42, **columns) -> DataFrame:
+    """(trial, settings, wape, best): the mean WAPE over folds and horizons of seeded random draws from `space`, settings as JSON; `best` marks the least, the first of equal ones."""
+    rng, out = random.Random(seed), []
+    for trial in range(trials):
+        params = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
+        wape = walk_forward_eval(df, params, folds, horizons, **columns).agg(F.avg("wape")).first()[0]
+        out.append((trial, json.dumps(params, sort_keys=True), wape))
+    least = min((x for x in out if x[2] is not None), key=lambda x: (x[2], x[0]), default=None)
+    return df.sparkSession.createDataFrame([(*x, x is least) for x in out], "trial int, settings string, wape double, best boolean")
 
 
 def demand_levels(train: DataFrame, col: str = "target") -> list[float]:
@@ -141,6 +164,41 @@ def feature_importance(model: PipelineModel, df: DataFrame, top: int = 20) -> Da
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def occlusion(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(keys, date, feature, effect): how far each row's forecast moves when a numeric feature takes its mean instead."""
+    rows = fill_features(df)
+    means = F.broadcast(rows.agg(*[F.avg(f).alias(f"__m_{f}") for f in features]))
+    rows = model.transform(rows).withColumnRenamed("__prediction", "__base").drop(*[c for c in ("__features",) if c], *[f"{c}__i" for c in CATEGORICAL]).join(means)
+    rows = rows.withColumn("feature", F.explode(F.array(*map(F.lit, features))))
+    rows = rows.withColumns({f: F.when(F.col("feature") == f, F.col(f"__m_{f}")).otherwise(F.col(f)) for f in features})
+    return model.transform(rows).select(*SERIES, "date", "feature", F.abs(F.col("__prediction") - F.col("__base")).alias("effect"))
+
+
+def importance_report(model: PipelineModel, df: DataFrame, features: Sequence[str] = tuple(NUMERIC), *, sample: int = 500, top: int = 20, worst: int = 50, worst_top: int = 5) -> DataFrame:
+    """(scope, feature, value): mean effects over a bounded hash sample of rows.
+
+    scope 'global': the `top` features; 'worst': the `worst_top` features over the `worst` rows that move most; 'top_feature':
+    the first of all; 'lag_vs_calendar': effects of the lags over those of the calendar features, 0 where these have none.
+    """
+    rows = df.orderBy(F.xxhash64(*SERIES, "date"), *SERIES, "date").limit(sample)
+    effects = occlusion(model, rows, features).persist()  # sample * features rows
+    mean = effects.groupBy("feature").agg(F.avg("effect").alias("value"))
+    order = [F.desc("value"), F.asc("feature")]
+    most = effects.groupBy(*SERIES, "date").agg(F.sum("effect").alias("moved")).orderBy(F.desc("moved"), *SERIES, "date").limit(worst)
+    lasting = effects.join(F.broadcast(most.drop("moved")), [*SERIES, "date"], "left_semi").groupBy("feature").agg(F.avg("effect").alias("value"))
+    lag, calendar = F.sum(F.when(F.col("feature").startswith("lag_"), F.col("value"))), F.sum(F.when(F.col("feature").isin(*CALENDAR), F.col("value")))
+    parts = [
+        mean.orderBy(*order).limit(top).select(F.lit("global").alias("scope"), "feature", "value"),
+        lasting.orderBy(*order).limit(worst_top).select(F.lit("worst").alias("scope"), "feature", "value"),
+        mean.orderBy(*order).limit(1).select(F.lit("top_feature").alias("scope"), "feature", "value"),
+        mean.agg(F.coalesce(F.try_divide(lag, calendar), F.lit(0.0)).alias("value")).select(F.lit("lag_vs_calendar").alias("scope"), F.lit(None).cast("string").alias("feature"), "value"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
     """(feature, wape_increase): how much the error grows when a column's values are dealt to other rows.
 
@@ -157,35 +215,30 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
 
 def inference_rows(df: DataFrame) -> DataFrame:
     """Rows without a target; where there are none, those of the latest date."""
-    rows = df.where("target IS NULL")
-    if rows.isEmpty():
-        rows = df.join(F.broadcast(df.agg(F.max("date").alias("__d"))), F.col("date") == F.col("__d")).drop("__d")
-    return rows
+    facts = F.broadcast(df.agg(F.max("date").alias("__d"), F.count_if(F.col("target").isNull()).alias("__open")))
+    return df.join(facts).where(F.col("target").isNull() | ((F.col("__open") == 0) & (F.col("date") == F.col("__d")))).drop("__d", "__open")
 
 
-def _stamped(rows: DataFrame, h: int, forecast: Column, version: str) -> DataFrame:
+def _stamped(rows: DataFrame, h: Column, forecast: Column, version: str) -> DataFrame:
     """Forecast rows; dates count from the latest inference date of all series, last_date is the series' own."""
     made = rows.agg(F.max("date").alias("__made"))
     joined = rows.join(F.broadcast(made))
-    return joined.select(*SERIES, F.col("__made").alias("forecast_generated_date"), F.lit(h).alias("horizon_day"), F.date_add("__made", h).alias("forecast_date"), F.round(F.greatest(forecast, F.lit(0.0)), 4).alias("predicted_quantity"), F.lit(version).alias("model_version"), F.col("date").alias("last_date"))
+    return joined.select(*SERIES, F.col("__made").alias("forecast_generated_date"), h.alias("horizon_day"), F.date_add("__made", h).alias("forecast_date"), F.round(F.greatest(forecast, F.lit(0.0)), 4).alias("predicted_quantity"), F.lit(version).alias("model_version"), F.col("date").alias("last_date"))
 
 
 def generate_forecasts(models: Mapping[int, PipelineModel], df: DataFrame, version: str = "gbt_v1") -> DataFrame:
     rows, out = inference_rows(df), None
     for h, model in sorted(models.items()):
-        part = _stamped(predict(model, rows), h, F.col("forecast"), version)
+        part = _stamped(predict(model, rows), F.lit(h), F.col("forecast"), version)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def baseline_forecasts(df: DataFrame, horizons: Sequence[int] = HORIZONS, version: str = "rolling_mean_7") -> DataFrame:
-    """Forecast rows in the same shape from the mean of each series' last 7 targets."""
+    """Forecast rows in the same shape from the mean of each series' last 7 targets; the horizons are exploded from one row a series."""
     values = baseline_values(df.where("target IS NOT NULL")).select(*SERIES, "rolling_mean")
-    rows, out = inference_rows(df).join(values, list(SERIES)), None
-    for h in horizons:
-        part = _stamped(rows, h, F.col("rolling_mean"), version)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = inference_rows(df).join(values, list(SERIES)).withColumn("__h", F.explode(F.array(*map(F.lit, horizons))))
+    return _stamped(rows, F.col("__h"), F.col("rolling_mean"), version)
 
 
 def last_rows(df: DataFrame, n: int) -> DataFrame:

@@ -27,9 +27,10 @@ def reorder_inputs(forecasts: DataFrame, inventory: DataFrame, suppliers: DataFr
     return by_h.join(inventory.select(*SERIES, "quantity_on_hand", "quantity_on_order"), list(SERIES)).join(suppliers, "product_id").join(deviations, list(SERIES), "left")
 
 
-def reorder_recommendations(forecasts: DataFrame, inventory: DataFrame, suppliers: DataFrame, deviations: DataFrame, horizons: int = 7) -> DataFrame:
+def reorder_recommendations(forecasts: DataFrame, inventory: DataFrame, suppliers: DataFrame, deviations: DataFrame, horizons: int = 7, recommendation_date: str | None = None) -> DataFrame:
     """Order quantities; suppliers: (product_id, supplier_id, avg_actual_lead_time_days, calculated_on_time_rate).
 
+    recommendation_date: the day the recommendations are made for, stated by the caller; without it the inference date.
     Days beyond the last horizon count with the first day's forecast.  An unknown deviation is 0; with an unknown lead time
     or rate the row stays, with tier NULL and a reason.
     """
@@ -45,7 +46,7 @@ def reorder_recommendations(forecasts: DataFrame, inventory: DataFrame, supplier
     rows = rows.withColumn("over_lead", F.when(F.col("eff").isNotNull(), total + F.greatest(F.col("days") - horizons, F.lit(0.0)) * F.col("f1")))
     rows = rows.withColumn("safety", F.lit(SERVICE_Z) * F.col("sigma") * F.sqrt("eff")).withColumn("rop", F.col("over_lead") + F.col("safety"))
     out = rows.select(
-        *SERIES, "inference_date", F.col("quantity_on_hand").cast("double").alias("quantity_on_hand"), F.col("quantity_on_order").cast("double").alias("quantity_on_order"), F.bround("f1", 4).alias("daily_demand_forecast"),
+        *SERIES, (F.lit(recommendation_date).cast("date") if recommendation_date else F.col("inference_date")).alias("recommendation_date"), "inference_date", F.col("quantity_on_hand").cast("double").alias("quantity_on_hand"), F.col("quantity_on_order").cast("double").alias("quantity_on_order"), F.bround("f1", 4).alias("daily_demand_forecast"),
         F.bround(F.col("quantity_on_hand") / F.greatest("f1", F.lit(0.01)), 2).alias("days_of_stock_remaining"), "supplier_id", F.bround(lead.cast("double"), 2).alias("avg_lead_time_days"), F.bround(rate.cast("double"), 4).alias("on_time_rate"), F.bround("eff", 2).alias("expected_lead_time_days"),
         F.bround("over_lead", 4).alias("forecast_demand_lead_time"), F.bround("sigma", 4).alias("demand_std_14d"), F.bround("safety", 4).alias("safety_stock"), F.bround("rop", 4).alias("reorder_point_ml"),
         F.bround(F.when(F.col("rop").isNotNull(), F.greatest(F.lit(0.0), F.col("rop") - F.col("quantity_on_hand") - F.col("quantity_on_order"))), 4).alias("recommended_order_qty"),

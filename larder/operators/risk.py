@@ -22,10 +22,10 @@ def latest_inventory(inventory: DataFrame) -> DataFrame:
 def stockout_risk(inventory: DataFrame, demand: DataFrame, products: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Replenishment days less days of stock, for each row of the latest inventory; ranked, unknown scores last.
 
-    No demand means infinitely many days of stock.  The rank window has one partition: it holds one snapshot's pairs.
+    Unknown quantities count as 0, so that a pair without a count ranks as out of stock.  No demand means infinitely many days of stock.  The rank window has one partition: it holds one snapshot's pairs.
     """
     rows = (
-        inventory.select("store_id", "product_id", "quantity_on_hand", "reorder_point", "quantity_on_order", "is_out_of_stock", "needs_reorder")
+        inventory.select("store_id", "product_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("quantity_on_hand", "reorder_point", "quantity_on_order")], "is_out_of_stock", "needs_reorder")
         .join(demand, ["store_id", "product_id"], "left")
         .join(products.select("product_id", "product_name", "category", "supplier_id"), "product_id", "left")
         .join(suppliers.select("supplier_id", "supplier_name", "avg_actual_lead_time_days", "calculated_on_time_rate"), "supplier_id", "left")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+from larder.operators.features import NUMERIC
 from larder.plans.retail import AS_OF, EVENT, FOLDS
+from larder.plans.sinks import SQL as SINK_SQL
 from larder.sources.fixtures import RAW, raw_sql
 
 
@@ -116,7 +118,7 @@ SQL: dict[str, str] = {
     "an_monthly": "SELECT 'monthly' AS analysis_type, year, month, min(strftime(saledate, '%b')) AS month_name, sum(total_units_sold) AS total_units, avg(total_units_sold) AS avg_daily_units FROM mart_store_daily_sales GROUP BY year, month",
     "an_store_type": "SELECT 'store_type' AS analysis_type, store_type, count(DISTINCT store_nbr) AS stores, sum(total_units_sold) AS total_units, avg(total_units_sold) AS avg_daily_units FROM mart_store_daily_sales GROUP BY store_type",
     "an_returns": "SELECT 'returns' AS analysis_type, store_nbr, city, sum(returned_units) AS total_returns, count(*) AS days_with_returns FROM mart_store_daily_sales WHERE returned_units > 0 GROUP BY store_nbr, city ORDER BY total_returns DESC, store_nbr LIMIT 10",
-    "an_union": "SELECT analysis_type, day_kind, days, total_units, avg_daily_units, NULL AS store_type, NULL AS stores FROM an_weekend UNION ALL SELECT analysis_type, NULL, NULL, total_units, avg_daily_units, store_type, stores FROM an_store_type",
+    "an_union": " UNION ALL BY NAME ".join(f"SELECT * FROM {n}" for n in ("an_summary", "an_top_stores", "an_weekend", "an_monthly", "an_holiday", "an_store_type", "an_wage_days", "an_event_period", "an_returns")),
     "r_summary": "SELECT count(DISTINCT saledate) AS total_days, count(DISTINCT store_nbr) AS total_stores, sum(total_units_sold) AS total_units, sum(total_units_sold) / count(DISTINCT saledate) AS units_per_day, count(*) FILTER (is_holiday) AS holiday_store_days, count(*) FILTER (is_wage_day) AS wage_store_days, count(*) FILTER (is_event_period) AS event_store_days FROM mart_store_daily_sales",
     "r_top_stores": "SELECT store_nbr, sum(total_units_sold) AS total_units, count(*) AS days_operated, sum(total_units_sold) / count(*) AS units_per_day FROM mart_store_daily_sales GROUP BY store_nbr ORDER BY total_units DESC, store_nbr LIMIT 10",
     "r_weekend": f"SELECT {_DOW} AS day_kind, sum(total_units_sold) AS total_units, count(*) AS store_days, sum(total_units_sold) / count(*) AS units_per_store_day FROM mart_store_daily_sales GROUP BY 1",
@@ -141,12 +143,12 @@ SQL: dict[str, str] = {
       SELECT i.store_id, i.product_id, i.product_name, i.category, p.supplier_id, s.supplier_name, quantity_on_hand, reorder_point, quantity_on_order, coalesce(d.avg_daily_demand, 0)::DOUBLE AS avg_daily_demand,
         CASE WHEN coalesce(d.avg_daily_demand, 0) > 0 THEN (CASE WHEN quantity_on_hand < 0 THEN 0 ELSE quantity_on_hand END) / d.avg_daily_demand::DOUBLE ELSE 'Infinity'::DOUBLE END AS days_of_stock_remaining,
         avg_actual_lead_time_days, calculated_on_time_rate, avg_actual_lead_time_days / CASE WHEN calculated_on_time_rate < 0.01 THEN 0.01 ELSE calculated_on_time_rate END AS expected_replenishment_days, is_out_of_stock, needs_reorder
-      FROM latest_inventory i LEFT JOIN avg_daily_demand d ON i.store_id = d.store_id AND i.product_id = d.product_id LEFT JOIN dim_products p ON i.product_id = p.product_id LEFT JOIN mart_supplier_performance s ON p.supplier_id = s.supplier_id))""",
+      FROM (SELECT * REPLACE (coalesce(quantity_on_hand, 0) AS quantity_on_hand, coalesce(reorder_point, 0) AS reorder_point, coalesce(quantity_on_order, 0) AS quantity_on_order) FROM latest_inventory) i LEFT JOIN avg_daily_demand d ON i.store_id = d.store_id AND i.product_id = d.product_id LEFT JOIN dim_products p ON i.product_id = p.product_id LEFT JOIN mart_supplier_performance s ON p.supplier_id = s.supplier_id))""",
     "risk_summary": "SELECT count(*) AS n_scored, count(*) FILTER (quantity_on_hand <= 0) AS n_out_of_stock, count(*) FILTER (risk_score > 0) AS n_positive FROM stockout_risk",
     "top_risk": "SELECT * FROM stockout_risk WHERE risk_rank <= 25",
     "supplier_quadrants": """SELECT supplier_id, supplier_name, calculated_on_time_rate, avg_fill_rate, total_shipments, late_shipments, CASE WHEN a AND b THEN 'Q1: Preferred' WHEN a THEN 'Q2: Reliable but under-delivering' WHEN b THEN 'Q3: Slow but complete' ELSE 'Q4: Renegotiate or replace' END AS quadrant
       FROM (SELECT *, calculated_on_time_rate >= median(calculated_on_time_rate) OVER () AS a, avg_fill_rate >= median(avg_fill_rate) OVER () AS b FROM mart_supplier_performance WHERE calculated_on_time_rate IS NOT NULL AND avg_fill_rate IS NOT NULL)""",
-    "series": "SELECT sale_date AS date, store_id, product_id, region, store_type, category, day_of_week, total_quantity_sold AS q, avg_unit_price AS price, total_discount_amount AS disc FROM fct_daily_sales QUALIFY count(*) OVER (PARTITION BY store_id, product_id) >= 30",
+    "series": "SELECT sale_date AS date, store_id, product_id, region, store_type, category, is_weekend, day_of_week, total_quantity_sold AS q, avg_unit_price AS price, total_discount_amount AS disc, total_net_amount AS net FROM fct_daily_sales QUALIFY count(*) OVER (PARTITION BY store_id, product_id) >= 30",
     "feat_lags": "SELECT date, store_id, product_id, " + ", ".join(f"lag(q, {k}) OVER w AS lag_{k}" for k in (1, 7, 14, 28)) + f", lead(q) OVER w AS target FROM series WINDOW w AS ({_S})",
     "feat_rolling": f"SELECT date, store_id, product_id, {_rolling()} FROM series",
     "feat_ewm": f"SELECT date, store_id, product_id, {_ewm(7, 128)}, {_ewm(14, 256)} FROM (SELECT *, row_number() OVER ({_S}) - 1 AS i0 FROM series)",
@@ -155,23 +157,43 @@ SQL: dict[str, str] = {
     "feat_inventory": "SELECT snapshot_date, store_id, product_id, quantity_on_hand, avg(is_out_of_stock::INTEGER) OVER (PARTITION BY store_id, product_id ORDER BY snapshot_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS stockout_freq_14d FROM fct_inventory_snapshots",
     "feat_region": f"""SELECT s.date, s.store_id, s.product_id, s.region, region_avg_demand_7d FROM series s LEFT JOIN (SELECT region, product_id, date, avg(m) OVER (PARTITION BY region, product_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS region_avg_demand_7d
       FROM (SELECT region, product_id, date, avg(l) AS m FROM (SELECT *, lag(q) OVER ({_S}) AS l FROM series) GROUP BY region, product_id, date)) r ON s.region = r.region AND s.product_id = r.product_id AND s.date = r.date""",
+    "feat_matrix": """SELECT s.date, s.store_id, s.product_id, s.region, s.store_type, s.category, s.is_weekend, s.day_of_week, month(s.date) AS month_of_year, day(s.date) AS day_of_month,
+        q AS quantity_sold, price AS unit_price, disc AS discount_amount, net AS net_amount, l.* EXCLUDE (date, store_id, product_id), r.* EXCLUDE (date, store_id, product_id), e.* EXCLUDE (date, store_id, product_id),
+        t.demand_trend_14d, p.* EXCLUDE (date, store_id, product_id), i.quantity_on_hand, i.quantity_on_order, i.reorder_point, i.needs_reorder::INTEGER AS needs_reorder, f.stockout_freq_14d,
+        CASE WHEN i.quantity_on_hand IS NOT NULL AND r.roll_mean_7 IS NOT NULL THEN greatest(i.quantity_on_hand, 0) / greatest(r.roll_mean_7, 0.01) END AS days_of_stock_remaining,
+        g.region_avg_demand_7d, m.avg_actual_lead_time_days, m.calculated_on_time_rate, m.avg_fill_rate
+      FROM series s JOIN feat_lags l USING (date, store_id, product_id) JOIN feat_rolling r USING (date, store_id, product_id) JOIN feat_ewm e USING (date, store_id, product_id)
+        JOIN feat_trend t USING (date, store_id, product_id) JOIN feat_promo p USING (date, store_id, product_id) JOIN feat_region g USING (date, store_id, product_id)
+        LEFT JOIN fct_inventory_snapshots i ON i.snapshot_date = s.date AND i.store_id = s.store_id AND i.product_id = s.product_id
+        LEFT JOIN feat_inventory f ON f.snapshot_date = s.date AND f.store_id = s.store_id AND f.product_id = s.product_id
+        LEFT JOIN dim_products d ON d.product_id = s.product_id LEFT JOIN mart_supplier_performance m ON m.supplier_id = d.supplier_id
+      WHERE l.lag_28 IS NOT NULL""",
+    "features_filled": "SELECT date, store_id, product_id, " + ", ".join(f"coalesce({c}::DOUBLE, 0) AS {c}" for c in NUMERIC) + " FROM feat_matrix",
+    "horizon_rows": f"SELECT date, store_id, product_id, target, target_h FROM (SELECT *, lead(target, 2) OVER ({_S}) AS target_h FROM labelled WHERE target IS NOT NULL) WHERE target_h IS NOT NULL",
+    "series_of_region": "SELECT date, store_id, product_id, q AS quantity_sold FROM series WHERE store_id IN (SELECT store_id FROM stg_stores WHERE region = 'EUROPE')",
+    "recs_by_tier": "SELECT * FROM reorder",
+    "quadrant_list": "SELECT * FROM supplier_quadrants",
+    "clean_names": "SELECT store_id, store_name, region, store_type, sq_footage, opened_date FROM raw_stores",
+    "eda_stockout_rate": "SELECT category, avg(coalesce(is_out_of_stock, false)::INTEGER) AS mean, count(*) AS count FROM fct_inventory_snapshots GROUP BY category",
+    "eda_discount": "SELECT coalesce((total_discount_amount > 0)::INTEGER, 0) AS has_discount, avg(total_quantity_sold) AS mean, median(total_quantity_sold) AS median, count(*) AS count FROM fct_daily_sales GROUP BY 1",
     "labelled": f"SELECT *, lead(q) OVER ({_S}) AS target FROM series",
     "folded": f"SELECT * FROM (SELECT *, CASE WHEN day <= te THEN 'train' WHEN day BETWEEN va AND vb THEN 'val' END AS part FROM (SELECT *, date_diff('day', min(date) OVER (), date) + 1 AS day FROM labelled WHERE target IS NOT NULL) CROSS JOIN ({_FOLD_ROWS})) WHERE part IS NOT NULL",
     "wf_folds": "SELECT fold, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'val') AS n_val FROM folded GROUP BY fold",
     "base_values": "SELECT fold, store_id, product_id, max(target) FILTER (k = 1) AS naive, coalesce(max(target) FILTER (k = 7), avg(target)) AS seasonal_naive, avg(target) AS rolling_mean FROM (SELECT *, row_number() OVER (PARTITION BY fold, store_id, product_id ORDER BY date DESC) AS k FROM folded WHERE part = 'train') WHERE k <= 7 GROUP BY ALL",
     "baselines": "SELECT fold, store_id, product_id, date, baseline, target, forecast FROM (SELECT fold, store_id, product_id, date, target, naive::DOUBLE AS naive, seasonal_naive::DOUBLE AS seasonal_naive, rolling_mean::DOUBLE AS rolling_mean FROM folded JOIN base_values USING (fold, store_id, product_id) WHERE part = 'val') UNPIVOT (forecast FOR baseline IN (naive, seasonal_naive, rolling_mean))",
     "forecast_metrics": f"SELECT fold, baseline, {_METRICS} FROM baselines GROUP BY ALL",
-    "segment_errors": f"""SELECT x.s AS segment, x.v AS value, {_METRICS} FROM (SELECT target, forecast, unnest([{{'s': 'category', 'v': category}}, {{'s': 'store_type', 'v': store_type}}, {{'s': 'day_of_week', 'v': day_of_week::VARCHAR}}, {{'s': 'has_discount', 'v': has_discount::VARCHAR}}, {{'s': 'demand_level', 'v': lvl}}]) AS x FROM (SELECT target, seasonal_naive AS forecast, category, store_type, day_of_week, (coalesce(disc, 0) > 0)::INTEGER AS has_discount, CASE WHEN target <= (SELECT quantile_cont(target, 0.5) FROM folded WHERE fold = 2 AND part = 'train') THEN 'low' WHEN target <= (SELECT quantile_cont(target, 0.75) FROM folded WHERE fold = 2 AND part = 'train') THEN 'medium' ELSE 'high' END AS lvl
-            FROM folded JOIN base_values USING (fold, store_id, product_id) WHERE fold = 2 AND part = 'val')) GROUP BY x.s, x.v""",
+    "segment_errors": f"""SELECT x.s AS segment, x.v AS value, {_METRICS} FROM (SELECT target, forecast, unnest([{{'s': 'category', 'v': category}}, {{'s': 'store_type', 'v': store_type}}, {{'s': 'day_of_week', 'v': day_of_week::VARCHAR}}, {{'s': 'has_discount', 'v': has_discount::VARCHAR}}, {{'s': 'demand_level', 'v': lvl}}]) AS x FROM (SELECT target, seasonal_naive AS forecast, category, store_type, day_of_week, (coalesce(disc, 0) > 0)::INTEGER AS has_discount, CASE WHEN target <= (SELECT quantile_cont(target, 0.5) FROM folded JOIN best_fold USING (fold) WHERE part = 'train') THEN 'low' WHEN target <= (SELECT quantile_cont(target, 0.75) FROM folded JOIN best_fold USING (fold) WHERE part = 'train') THEN 'medium' ELSE 'high' END AS lvl
+            FROM folded JOIN base_values USING (fold, store_id, product_id) JOIN best_fold USING (fold) WHERE part = 'val')) GROUP BY x.s, x.v""",
+    "best_fold": "SELECT max(fold) AS fold FROM folded WHERE part = 'val' HAVING count(*) > 0",
     "deploy_gate": "SELECT a.fold, a.wape AS model_wape, b.wape AS baseline_wape, a.wape / nullif(b.wape, 0) AS fva, coalesce(a.wape / nullif(b.wape, 0) < 1, false) AS deploy FROM forecast_metrics a JOIN forecast_metrics b ON a.fold = b.fold AND a.baseline = 'rolling_mean' AND b.baseline = 'seasonal_naive'",
     "run_metadata": "SELECT min(date) AS first_date, max(date) AS last_date, count(*) AS n_rows, count(target) AS n_labelled, count(DISTINCT (store_id, product_id)) AS n_series, 'rolling_mean_7' AS model_version FROM labelled",
     "demand_std": "SELECT store_id, product_id, stddev_samp(target) AS demand_std_14d FROM (SELECT * FROM labelled WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY store_id, product_id ORDER BY date DESC) <= 14) GROUP BY ALL",
     "pair_forecast": "SELECT store_id, product_id, round(greatest(avg(target), 0), 4) AS f, max(made) AS made FROM (SELECT *, (SELECT max(date) FROM labelled WHERE target IS NULL) AS made FROM labelled WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY store_id, product_id ORDER BY date DESC) <= 7) GROUP BY ALL",
-    "reorder": """SELECT *, CASE WHEN expected_lead_time_days IS NULL THEN NULL WHEN quantity_on_hand < safety_stock THEN 'Critical' WHEN quantity_on_hand < reorder_point_ml THEN 'High' WHEN days_of_stock_remaining < expected_lead_time_days * 1.5 THEN 'Medium' ELSE 'Low' END AS risk_tier, CASE WHEN expected_lead_time_days IS NULL THEN 'no supplier figures' END AS reason
-      FROM (SELECT store_id, product_id, made AS inference_date, h::DOUBLE AS quantity_on_hand, o::DOUBLE AS quantity_on_order, round_even(f, 4) AS daily_demand_forecast, round_even(h / greatest(f, 0.01), 2) AS days_of_stock_remaining, supplier_id, round_even(lead, 2) AS avg_lead_time_days, round_even(rate, 4) AS on_time_rate, round_even(eff, 2) AS expected_lead_time_days,
+    "reorder": f"""SELECT *, CASE WHEN expected_lead_time_days IS NULL THEN NULL WHEN quantity_on_hand < safety_stock THEN 'Critical' WHEN quantity_on_hand < reorder_point_ml THEN 'High' WHEN days_of_stock_remaining < expected_lead_time_days * 1.5 THEN 'Medium' ELSE 'Low' END AS risk_tier, CASE WHEN expected_lead_time_days IS NULL THEN 'no supplier figures' END AS reason
+      FROM (SELECT store_id, product_id, DATE '{AS_OF}' AS recommendation_date, made AS inference_date, h::DOUBLE AS quantity_on_hand, o::DOUBLE AS quantity_on_order, round_even(f, 4) AS daily_demand_forecast, round_even(h / greatest(f, 0.01), 2) AS days_of_stock_remaining, supplier_id, round_even(lead, 2) AS avg_lead_time_days, round_even(rate, 4) AS on_time_rate, round_even(eff, 2) AS expected_lead_time_days,
         round_even(days * f, 4) AS forecast_demand_lead_time, round_even(sigma, 4) AS demand_std_14d, round_even(1.65 * sigma * sqrt(eff), 4) AS safety_stock, round_even(days * f + 1.65 * sigma * sqrt(eff), 4) AS reorder_point_ml, round_even(greatest(0, days * f + 1.65 * sigma * sqrt(eff) - h - o), 4) AS recommended_order_qty
       FROM (SELECT *, greatest(1, round_even(eff, 0)) AS days FROM (SELECT pf.*, inv.h, inv.o, p.supplier_id, avg_actual_lead_time_days AS lead, calculated_on_time_rate AS rate, avg_actual_lead_time_days / CASE WHEN calculated_on_time_rate < 0.01 THEN 0.01 ELSE calculated_on_time_rate END AS eff, coalesce(demand_std_14d, 0) AS sigma
-        FROM pair_forecast pf JOIN (SELECT store_id, product_id, arg_max(quantity_on_hand, snapshot_date) AS h, arg_max(quantity_on_order, snapshot_date) AS o FROM fct_inventory_snapshots GROUP BY ALL) inv USING (store_id, product_id) JOIN dim_products p USING (product_id) JOIN mart_supplier_performance s ON p.supplier_id = s.supplier_id LEFT JOIN demand_std USING (store_id, product_id))))""",
+        FROM pair_forecast pf JOIN (SELECT store_id, product_id, arg_max(greatest(0, coalesce(quantity_on_hand, 0)), snapshot_date) AS h, arg_max(greatest(0, coalesce(quantity_on_order, 0)), snapshot_date) AS o FROM fct_inventory_snapshots GROUP BY ALL) inv USING (store_id, product_id) JOIN dim_products p USING (product_id) JOIN mart_supplier_performance s ON p.supplier_id = s.supplier_id LEFT JOIN demand_std USING (store_id, product_id))))""",
     "tier_counts": "SELECT risk_tier, count(*) AS n FROM reorder GROUP BY 1",
     "top_recs": "SELECT * FROM reorder WHERE risk_tier IN ('Critical', 'High') ORDER BY CASE risk_tier WHEN 'Critical' THEN 0 ELSE 1 END, days_of_stock_remaining, store_id, product_id LIMIT 10",
     "day_metrics": f"SELECT date, baseline, {_METRICS} FROM baselines GROUP BY ALL",
@@ -230,6 +252,12 @@ ROUNDED: dict[str, str] = {
     "feat_promo": "discount_pct price_vs_30d_avg",
     "feat_inventory": "stockout_freq_14d",
     "feat_region": "region_avg_demand_7d",
+    "feat_matrix": "unit_price discount_amount net_amount roll_mean_7 roll_std_7 roll_mean_14 roll_std_14 roll_mean_28 roll_std_28 ewm_mean_7 ewm_mean_14 demand_trend_14d discount_pct price_vs_30d_avg stockout_freq_14d days_of_stock_remaining region_avg_demand_7d avg_actual_lead_time_days calculated_on_time_rate avg_fill_rate",
+    "features_filled": " ".join(NUMERIC),
+    "recs_by_tier": "quantity_on_hand quantity_on_order daily_demand_forecast days_of_stock_remaining avg_lead_time_days on_time_rate expected_lead_time_days forecast_demand_lead_time demand_std_14d safety_stock reorder_point_ml recommended_order_qty",
+    "quadrant_list": "calculated_on_time_rate avg_fill_rate",
+    "eda_stockout_rate": "mean",
+    "eda_discount": "mean median",
     "baselines": "forecast",
     "forecast_metrics": "wape rmse bias",
     "segment_errors": "wape rmse bias",
@@ -251,6 +279,9 @@ ROUNDED: dict[str, str] = {
 _HELPERS = {*RAW, "held_dates", "series", "labelled", "folded", "base_values", "pair_forecast", "day_metrics"}
 
 
+SQL |= SINK_SQL
+
+
 def _needs(name: str, seen: dict[str, None]) -> None:
     for other in re.findall(r"[a-z_0-9]+", SQL[name]):
         if other in SQL and other != name and other not in seen:

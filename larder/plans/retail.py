@@ -115,13 +115,15 @@ class Retail:
         return self.dim_products().select("product_id", "supplier_id").join(self.mart_supplier_performance().select("supplier_id", "avg_actual_lead_time_days", "calculated_on_time_rate"), "supplier_id")
 
     def pair_latest_inventory(self):
-        """The last snapshot of each pair; the fixture's series end on different days."""
+        """The last snapshot of each pair, unknown and negative stock as none; the fixture's series end on different days."""
         rows = self.fct_inventory_snapshots().groupBy("store_id", "product_id").agg(F.max_by(F.struct("quantity_on_hand", "quantity_on_order"), "snapshot_date").alias("x"))
-        return rows.select("store_id", "product_id", F.col("x.quantity_on_hand").alias("quantity_on_hand"), F.col("x.quantity_on_order").alias("quantity_on_order"))
+        known = {c: F.greatest(F.lit(0), F.coalesce(F.col(f"x.{c}"), F.lit(0))).alias(c) for c in ("quantity_on_hand", "quantity_on_order")}
+        return rows.select("store_id", "product_id", *known.values())
 
     def reorder(self):
-        rows = self.labelled()
-        return reorder.reorder_recommendations(fc.baseline_forecasts(rows), self.pair_latest_inventory(), self.supplier_terms(), reorder.demand_std(rows))
+        """What baselines and deviations need are the last 14 labelled rows of each series and the open one after them."""
+        rows = fc.last_rows(self.labelled(), 15).persist()
+        return reorder.reorder_recommendations(fc.baseline_forecasts(rows), self.pair_latest_inventory(), self.supplier_terms(), reorder.demand_std(rows), recommendation_date=AS_OF)
 
 
 MODELS = "stg_products stg_stores stg_suppliers stg_sales stg_inventory stg_shipments dim_products dim_stores dim_date fct_daily_sales fct_inventory_snapshots mart_supplier_performance stg_train stg_test stg_holidays stg_oil stg_items stg_grocery_stores stg_transactions mart_store_daily_sales avg_daily_demand latest_inventory stockout_risk feat_matrix reorder".split()
@@ -150,6 +152,23 @@ def _importance(r: Retail, params: Mapping | None = None, horizons: Sequence[int
     return out
 
 
+def _importance_report(r: Retail, params: Mapping | None = None, **columns) -> DataFrame:
+    """The report on the first horizon's model, fitted on the best fold's training rows."""
+    folded = fc.of_best_fold(fc.walk_forward_folds(r.feat_matrix(), FOLDS))
+    train = folded.where("part = 'train'").drop("fold", "part").persist()
+    (model,) = fc.train_horizons(train, params, (1,), **columns).values()
+    return fc.importance_report(model, train, **({"features": columns["numeric"]} if "numeric" in columns else {}))
+
+
+#: Settings that tune() draws from.
+SPACE = {"maxDepth": (2, 3, 4, 5), "stepSize": (0.05, 0.1, 0.2), "minInstancesPerNode": (1, 5, 20), "subsamplingRate": (0.5, 0.8, 1.0), "featureSubsetStrategy": ("0.5", "0.8", "all")}
+
+
+def _tuned(r: Retail, trials: int = 2, horizons: Sequence[int] = fc.HORIZONS, fixed: Mapping | None = None, **columns) -> DataFrame:
+    """A search over `trials` draws; the number is what a search may spend, not a cut of the data."""
+    return fc.tune(r.feat_matrix(), {**SPACE, **{k: (v,) for k, v in (fixed or {}).items()}}, trials, FOLDS, horizons, **columns)
+
+
 def _daily_bias(r: Retail) -> DataFrame:
     rows = fc.baselines(r.folded()).where("baseline = 'naive'")
     return fc.forecast_metrics(rows, ["date"]).select("date", "bias")
@@ -162,7 +181,8 @@ def _wape_alarm(r: Retail) -> DataFrame:
 
 def _val_with_seasonal(r: Retail) -> tuple[DataFrame, DataFrame]:
     folded = r.folded().withColumn("has_discount", (F.coalesce(F.col("discount_amount"), F.lit(0)) > 0).cast("int"))
-    train, val = folded.where("fold = 2 AND part = 'train'"), folded.where("fold = 2 AND part = 'val'")
+    folded = fc.of_best_fold(folded)
+    train, val = folded.where("part = 'train'"), folded.where("part = 'val'")
     return train, val.join(fc.baseline_values(train).select("store_id", "product_id", F.col("seasonal_naive").alias("forecast")), ["store_id", "product_id"])
 
 
@@ -197,7 +217,12 @@ BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "an_summary": _on_mart(an.an_summary), "an_top_stores": _on_mart(an.an_top_stores), "an_weekend": _on_mart(an.an_weekend), "an_monthly": _on_mart(an.an_monthly), "an_holiday": _on_mart(an.an_holiday),
     "an_store_type": _on_mart(an.an_store_type), "an_wage_days": _on_mart(an.an_wage_days), "an_event_period": _on_mart(an.an_event_period), "an_returns": _on_mart(an.an_returns),
     "r_summary": _on_mart(an.r_summary), "r_top_stores": _on_mart(an.r_top_stores), "r_weekend": _on_mart(an.r_weekend),
-    "an_union": _on_mart(lambda m: an.union_reports([an.an_weekend(m), an.an_store_type(m)])),
+    "an_union": _on_mart(lambda m: an.union_reports([f(m) for f in (an.an_summary, an.an_top_stores, an.an_weekend, an.an_monthly, an.an_holiday, an.an_store_type, an.an_wage_days, an.an_event_period, an.an_returns)])),
+    "recs_by_tier": lambda r: reorder.sort_by_tier(r.reorder()), "quadrant_list": lambda r: risk.list_quadrants(risk.supplier_quadrants(r.mart_supplier_performance())),
+    "series_of_region": lambda r: ft.restrict_keys(ft.min_history(r.series()), r.stg_stores().where("region = 'EUROPE'").select("store_id")).select("date", "store_id", "product_id", "quantity_sold"),
+    "horizon_rows": lambda r: fc.horizon_dataset(r.labelled(), 3).select("date", "store_id", "product_id", "target", "target_h"),
+    "features_filled": lambda r: ft.fill_features(r.feat_matrix()).select("date", "store_id", "product_id", *ft.NUMERIC),
+    "clean_names": lambda r: st.clean_names(r.raw("raw_stores").toDF(" Store ID", "STORE-Name", "Region", "Store.Type", "Sq Footage", "Opened Date")),
     "dq_not_null": lambda r: quality.not_null(r.stg_shipments(), ["shipment_id", "received_date", "supplier_id"], "stg_shipments"),
     "dq_unique": lambda r: quality.unique(r.raw("raw_shipments"), "shipment_id", "raw_shipments", "warn"),
     "dq_unique_combo": lambda r: quality.unique_combination(r.raw("raw_train"), ["date", "store_nbr", "item_nbr"], "raw_train"),
@@ -222,12 +247,15 @@ BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "feat_inventory": lambda r: ft.stockout_frequency(r.fct_inventory_snapshots()).select("snapshot_date", "store_id", "product_id", "quantity_on_hand", "stockout_freq_14d"),
     "feat_region": _features("region region_avg_demand_7d", ft.with_lags, ft.region_features),
     "wf_folds": lambda r: fc.fold_counts(r.folded()), "baselines": lambda r: fc.baselines(r.folded()), "forecast_metrics": lambda r: fc.forecast_metrics(fc.baselines(r.folded()), ["fold", "baseline"]),
-    "segment_errors": _segments, "deploy_gate": _deploy_gate, "gbt_walk_forward": _gbt, "gbt_forecasts": _forecasts, "gbt_importance": _importance,
+    "segment_errors": _segments, "deploy_gate": _deploy_gate, "best_fold": lambda r: fc.best_fold(r.folded()),
+    "gbt_walk_forward": _gbt, "gbt_forecasts": _forecasts, "gbt_importance": _importance, "gbt_importance_report": _importance_report, "gbt_tune": _tuned,
     "run_metadata": lambda r: fc.run_metadata(r.labelled(), model_version="rolling_mean_7"),
     "demand_std": lambda r: reorder.demand_std(r.labelled()), "tier_counts": lambda r: reorder.tier_counts(r.reorder()), "top_recs": lambda r: reorder.top_recs(r.reorder()),
     "ks_drift": _ks, "bias_drift": lambda r: monitoring.bias_drift(_daily_bias(r)), "wape_alarm": _wape_alarm, "missing_pairs": lambda r: monitoring.missing_pairs(r.stg_inventory(), "snapshot_date"),
     "eda_describe": lambda r: an.describe_by(r.fct_daily_sales(), "category", "total_quantity_sold"), "eda_histogram": lambda r: an.histogram(r.fct_daily_sales(), "total_quantity_sold", 50), "eda_histogram_log": lambda r: an.histogram(r.fct_daily_sales(), "total_quantity_sold", 30, "category", True),
     "eda_pivot": lambda r: an.pivot_metric(fc.forecast_metrics(fc.baselines(r.folded()), ["fold", "baseline"]), "fold", "baseline", "wape", ["naive", "rolling_mean", "seasonal_naive"]),
+    "eda_stockout_rate": lambda r: an.stats_by(r.fct_inventory_snapshots().withColumn("out", F.coalesce(F.col("is_out_of_stock"), F.lit(False)).cast("int")), ["category"], "out", ("mean", "count")),
+    "eda_discount": lambda r: an.stats_by(r.fct_daily_sales().withColumn("has_discount", F.coalesce((F.col("total_discount_amount") > 0).cast("int"), F.lit(0))), ["has_discount"], "total_quantity_sold", ("mean", "median", "count")),
     "eda_weekend": lambda r: an.stats_by(r.fct_daily_sales(), ["is_weekend"], "total_quantity_sold"), "eda_dow": lambda r: an.stats_by(r.fct_daily_sales(), ["category", "day_of_week"], "total_quantity_sold", ("mean", "count")),
     "eda_distinct": lambda r: an.distinct_count(r.stg_sales(), ["store_id", "product_id"]), "eda_duplicates": lambda r: an.duplicate_keys(r.raw("raw_shipments").select("shipment_id"), ["shipment_id"]), "eda_values": lambda r: an.value_counts(r.stg_stores(), "store_size_category"), "eda_rolling": lambda r: an.daily_total_rolling(r.fct_daily_sales()),
 }
@@ -244,7 +272,7 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, build=build: _plain(build(Retail(spark, sf_dir)))) for name, build in BUILDERS.items()}
+def queries(builders: dict[str, Callable[[Retail], DataFrame]] = BUILDERS) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, build=build: _plain(build(Retail(spark, sf_dir)))) for name, build in builders.items()}
 
 

@@ -42,7 +42,7 @@ SELECT cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) AS ship
        CASE WHEN l_returnflag = 'R' THEN 'True' ELSE 'false' END AS is_late, cast(l_partkey AS string) AS line_part, cast(l_suppkey AS string) AS line_supplier
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey""",
     "raw_inventory": """
-SELECT cast(d AS string) AS snapshot_date, store_id, product_id, cast((7 * q + 3 * extract(day FROM d)) % 60 - 3 AS string) AS quantity_on_hand,
+SELECT cast(d AS string) AS snapshot_date, store_id, product_id, CASE WHEN q % 31 = 0 THEN '' ELSE cast((7 * q + 3 * extract(day FROM d)) % 60 - 3 AS string) END AS quantity_on_hand,
        CASE WHEN (q + extract(day FROM d)) % 5 = 0 THEN '30' ELSE '0' END AS quantity_on_order, ' ' || cast(10 + q % 20 AS string) AS reorder_point,
        CASE WHEN q % 13 = 0 THEN '.' WHEN q % 17 = 0 THEN '' ELSE cast(d - cast(q % 90 AS int) AS string) END AS last_restock_date, cast(d AS string) AS dt
 FROM (SELECT cast(l_shipdate AS date) AS d, cast(s_nationkey AS string) AS store_id, p_brand AS product_id, cast(sum(l_quantity) AS int) AS q

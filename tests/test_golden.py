@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import scalars as sc
@@ -81,13 +82,14 @@ def test_features_do_not_look_ahead(spark):
 
 
 def test_risk_orders_unknown_last(spark):
-    inv = spark.createDataFrame([("s", "p1", 5, 1, 0, False, False), ("s", "p2", -2, 1, 0, True, True), ("s", "p3", 5, 1, 0, False, False)], "store_id string, product_id string, quantity_on_hand int, reorder_point int, quantity_on_order int, is_out_of_stock boolean, needs_reorder boolean")
-    demand = spark.createDataFrame([("s", "p2", 2.0), ("s", "p3", 1.0)], "store_id string, product_id string, avg_daily_demand double")
-    products = spark.createDataFrame([("p1", "a", "c", "x"), ("p2", "b", "c", "x"), ("p3", "d", "c", None)], "product_id string, product_name string, category string, supplier_id string")
+    inv = spark.createDataFrame([("s", "p1", 5, 1, 0, False, False), ("s", "p2", -2, 1, 0, True, True), ("s", "p3", 5, 1, 0, False, False), ("s", "p4", None, None, None, None, None)], "store_id string, product_id string, quantity_on_hand int, reorder_point int, quantity_on_order int, is_out_of_stock boolean, needs_reorder boolean")
+    demand = spark.createDataFrame([("s", "p2", 2.0), ("s", "p3", 1.0), ("s", "p4", 5.0)], "store_id string, product_id string, avg_daily_demand double")
+    products = spark.createDataFrame([("p1", "a", "c", "x"), ("p2", "b", "c", "x"), ("p3", "d", "c", None), ("p4", "e", "c", "x")], "product_id string, product_name string, category string, supplier_id string")
     suppliers = spark.createDataFrame([("x", "X", 10.0, 0.5)], "supplier_id string, supplier_name string, avg_actual_lead_time_days double, calculated_on_time_rate double")
     rows = risk.stockout_risk(inv, demand, products, suppliers).orderBy("risk_rank").collect()
-    assert [r["product_id"] for r in rows] == ["p2", "p1", "p3"]
-    assert rows[0]["risk_score"] == 20.0 and rows[1]["days_of_stock_remaining"] == float("inf") and rows[2]["risk_score"] is None
+    assert [r["product_id"] for r in rows] == ["p2", "p4", "p1", "p3"]
+    assert rows[0]["risk_score"] == 20.0 and rows[2]["days_of_stock_remaining"] == float("inf") and rows[3]["risk_score"] is None
+    assert (rows[1]["quantity_on_hand"], rows[1]["quantity_on_order"], rows[1]["risk_score"]) == (0, 0, 20.0)  # unknown counts as none
 
 
 def test_reorder_rounding_and_extrapolation(spark):
@@ -98,6 +100,11 @@ def test_reorder_rounding_and_extrapolation(spark):
     rows = {r["product_id"]: r for r in reorder.reorder_recommendations(fc, inv, sup, std).collect()}
     assert rows["a"]["forecast_demand_lead_time"] == 3.0 and rows["a"]["risk_tier"] == "High"  # 2.5 days round to 2
     assert rows["b"]["forecast_demand_lead_time"] == 28.0 + 2 * 1.0 and rows["b"]["safety_stock"] == 0.0
+    assert rows["a"]["recommendation_date"] == rows["a"]["inference_date"]
+    dated = reorder.reorder_recommendations(fc, inv, sup, std, recommendation_date="2020-02-03").first()
+    assert dated["recommendation_date"] == datetime.date(2020, 2, 3) and dated["inference_date"] == datetime.date(2020, 1, 1)
+    tiers = [r["risk_tier"] for r in reorder.sort_by_tier(reorder.reorder_recommendations(fc, inv, sup, std)).collect()]
+    assert tiers == sorted(tiers, key=lambda t: reorder.TIERS.index(t) if t else 9)
     assert rows["c"]["risk_tier"] is None and rows["c"]["reason"] == "no supplier figures"
 
 
@@ -157,6 +164,48 @@ def test_csv_round_trip_and_samples(spark, tmp_path):
     assert kept["a"].exceptAll(kept["b"]).isEmpty() and 200 < kept["a"].count() < 400
 
 
+def test_a_days_rows_are_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(60_000).selectExpr("if(id % 100 = 0, '2020-01-02', '2020-01-01') AS d", "sha2(cast(id AS string), 256) AS v").repartition(4)
+        io.ingest_new_partitions(rows, str(tmp_path / "fact"), "d")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "fact" / "dt=2020-01-01").glob("*.parquet"))) > 3
+    assert spark.read.parquet(str(tmp_path / "fact")).count() == 60_000
+
+
+def test_bernoulli_and_dates(spark, monkeypatch):
+    rows = spark.range(10_000)
+    some = io.bernoulli_sample(rows, 0.2, 7)
+    assert 1800 < some.count() < 2200 and some.exceptAll(io.bernoulli_sample(rows, 0.2, 7)).isEmpty()
+    monkeypatch.setenv("PIPELINE_DATE", "2025-03-01")
+    assert io.resolve_date("2025-02-01") == datetime.date(2025, 2, 1) and io.resolve_date() == datetime.date(2025, 3, 1)
+    monkeypatch.delenv("PIPELINE_DATE")
+    assert abs((io.resolve_date() - datetime.datetime.now(datetime.UTC).date()).days) <= 1
+
+
+def test_best_fold_is_the_latest_with_rows(spark):
+    rows = spark.createDataFrame([(1, "train"), (1, "val"), (2, "train"), (2, "val"), (3, "train")], "fold int, part string")
+    assert [tuple(r) for r in forecasting.best_fold(rows).collect()] == [(2,)] and forecasting.of_best_fold(rows).count() == 2
+    assert forecasting.best_fold(rows.where("part = 'train'")).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from larder.sources import scratch
+
+    def session(master, folder=None):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": folder} if folder else {}, getCheckpointDir=lambda: None))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(session("spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(session("local-cluster[2,1,1024]"))
+    assert scratch.shared_dir(session("spark://host:7077", "file:///shared/")) == "file:///shared"
+
+
 def test_stream_takes_files_once(spark, tmp_path):
     from larder.streaming.ingest import ingest_available, stream_raw_csv
 

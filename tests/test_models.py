@@ -41,3 +41,27 @@ def test_registered_models_use_every_fold_horizon_and_feature(spark, monkeypatch
 def test_small_importance_lists_each_horizon(spark):
     rows = retail._importance(retail.Retail(spark, SF), horizons=(1, 2), **SMALL).collect()
     assert sorted((r["horizon"], r["feature"]) for r in rows) == [(h, f) for h in (1, 2) for f in ("lag_1", "lag_7", "store_id__i")]
+
+
+def test_small_report_names_top_worst_and_ratio(spark):
+    rows = retail._importance_report(retail.Retail(spark, SF), params={"maxIter": 2, "maxDepth": 2}, numeric=("lag_1", "lag_7", "day_of_week"), categorical=()).collect()
+    by = {k: [(r["feature"], r["value"]) for r in rows if r["scope"] == k] for k in ("global", "worst", "top_feature", "lag_vs_calendar")}
+    assert len(by["global"]) == len(by["worst"]) == 3 and by["top_feature"] == by["global"][:1]
+    effects = dict(by["global"])
+    want = (effects["lag_1"] + effects["lag_7"]) / effects["day_of_week"] if effects["day_of_week"] else 0.0
+    assert by["lag_vs_calendar"] == [(None, pytest.approx(want))]
+    assert max(v for _, v in by["worst"]) >= max(v for _, v in by["global"])
+
+
+def test_small_search_marks_the_least_error(spark):
+    rows = retail._tuned(retail.Retail(spark, SF), 2, (1,), {"maxIter": 1, "maxDepth": 1}, numeric=("lag_1", "lag_7"), categorical=()).collect()
+    assert [r["trial"] for r in rows] == [0, 1] and all('"maxDepth": 1' in r["settings"] for r in rows)
+    assert [r["best"] for r in rows].count(True) == 1 and min(rows, key=lambda r: (r["wape"], r["trial"]))["best"]
+
+
+def test_small_walk_forward_and_forecasts(spark):
+    rows = retail._gbt(retail.Retail(spark, SF), horizons=(1, 2), **SMALL).collect()
+    assert {r["horizon"] for r in rows} == {1, 2} and {r["fold"] for r in rows} == {1, 2}
+    made = retail._forecasts(retail.Retail(spark, SF), horizons=(1, 2), **SMALL).collect()
+    pairs = {(r["store_id"], r["product_id"]) for r in made}
+    assert len(made) == 2 * len(pairs) and all(r["predicted_quantity"] >= 0 and (r["forecast_date"] - r["forecast_generated_date"]).days == r["horizon_day"] for r in made)
