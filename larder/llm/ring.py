@@ -21,6 +21,7 @@ from .common import mix64, written
 
 VNODES = 256
 SLACK = 0.0005
+HOT_ROWS = 1000
 
 
 def ring_points(shards: int, vnodes: int = VNODES) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +71,11 @@ def settle(loads: np.ndarray, owner: np.ndarray, shards: int, slack: float) -> l
 def shard_documents(docs: DataFrame, *, shards: int = 40, slack: float = SLACK, vnodes: int = VNODES, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """(id, size, text_crc32, shard, slot): each row's shard, balanced in bytes, and its gapless place there.
 
-    size: the text's UTF-8 bytes (null: none) plus `overhead`.  A key is the id and the text's hash; equal rows follow
-    one another.  The few rows that lie across a cut (one a cut at most) go, the largest first, to the shard that holds
-    least.  An empty table gives no row; other columns are not read.
+    size: the text's UTF-8 bytes (null: none) plus `overhead`.  A key is the id and the text's hash, so a group of equal
+    texts, which may hold a third of all rows, is spread over the ring: the law is on bytes, and no group is kept together.
+    Equal rows follow one another; where more than HOT_ROWS are equal, each is a key of its own.  The few rows that lie
+    across a cut (one a cut at most) go, the largest first, to the shard that holds least.  An empty table gives no row;
+    other columns are not read.
     """
     spark = docs.sparkSession
     at, owner = ring_points(shards, vnodes)
@@ -83,7 +86,11 @@ def shard_documents(docs: DataFrame, *, shards: int = 40, slack: float = SLACK,
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias(id_col), (F.octet_length(text) + overhead).cast("bigint").alias("size"), F.when(F.col(text_col).isNotNull(), F.crc32(text.cast("binary"))).otherwise(F.crc32(F.lit("").cast("binary"))).alias("text_crc32"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"))
-    rows = written(rows.withColumn("arc", arc_of("hash")), "keys")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so the numbers stay
+    hot = written(rows.groupBy("hash").count().where(F.col("count") > HOT_ROWS).select("hash", F.lit(True).alias("hot")), "hot")
+    if not hot.isEmpty():  # the hash and number of equal rows: which is which changes nothing
+        rows = rows.join(hot, "hash", "left").withColumn("hash", F.when(F.col("hot"), F.xxhash64("hash", "row")).otherwise(F.col("hash"))).drop("hot")
+    rows = written(rows.drop("row").withColumn("arc", arc_of("hash")), "keys")
     loads = np.zeros(len(at), np.int64)
     for r in rows.groupBy("arc").agg(F.sum("size").alias("n")).collect():  # a row an arc at most
         loads[r["arc"]] = r["n"]
