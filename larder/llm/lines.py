@@ -92,7 +92,8 @@ def quality(docs: DataFrame, *, line_limit: int = 20, line_share: float = 0.05,
     A line is boilerplate on a host if more than line_limit distinct texts of that host and more than line_share of them
     all hold it; a document is rejected if less than least_left of its lines' characters remain, or if the base rules
     fail.  Exact copies count once, whatever their ids; a null host is a host of its own; null, empty and wordless texts
-    fail the base rules.
+    fail the base rules, null ids and repeated rows are judged like others; an empty table gives no row; other columns are
+    not read.
     """
     measured = written(measure(docs, id_col=id_col, text_col=text_col, host_col=host_col), "measured")
     texts = measured.groupBy("host", "key").agg(F.count("*").alias("rows")).groupBy("host").agg(F.count("*").alias("texts"))
