@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import slices, written
 from .tokens import with_end, worker_encoder
 
+BROADCAST_NAMES = 100_000
+
 
 class SumOfSquares:
     """The online packer of one block.  levels[l]: windows filled to l; stacks[l]: which ones; fills: each window's level."""
@@ -78,17 +80,18 @@ class SumOfSquares:
 
 
 def tokenize(docs: DataFrame, path: str, *, end: int, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, doc_tokens, crcs): tokens of every whole text with its end id, and the CRC-32 of each piece of `window` ids."""
-    schema = "id bigint, doc_tokens bigint, crcs array<bigint>"
+    """(id, doc_tokens, crcs, row): tokens of every whole text with its end id, the CRC-32 of each piece of `window` ids, and a running number within the task."""
+    schema = "id bigint, doc_tokens bigint, crcs array<bigint>, row bigint"
 
     def run(batches):
-        encoder = worker_encoder(path)
+        encoder, row = worker_encoder(path), 0
         for part in slices(batches, "text", 2 << 20):
             offsets, ids = with_end(*encoder.encode(part.column(1).to_pylist()), end)
             data = memoryview(ids.astype("<u4").tobytes())
             sizes = np.diff(offsets)
             crcs = [[zlib.crc32(data[4 * s : 4 * min(s + window, b)]) for s in range(a, b, window)] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["id", "doc_tokens", "crcs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(np.arange(row, row + part.num_rows))], names=["id", "doc_tokens", "crcs", "row"])
+            row += part.num_rows
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
 
@@ -97,13 +100,17 @@ def pack(docs: DataFrame, path: str, *, end: int = 0, window: int = 1024, block_
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Blocks hold block_rows documents or so, dealt by a hash of id and tokens and packed each by itself, so their number
-    grows with the rows; sequence_id is block * 2^32 + the window's number in its block.  A null or empty text has the end
+    grows with the rows, however often one of them repeats; sequence_id is block * 2^32 + the window's number in its block.  A null or empty text has the end
     id alone; repeated rows are documents of their own; an empty table gives no piece; other columns are not read.
     """
     rows = tokenize(docs, path, end=end, window=window, id_col=id_col, text_col=text_col)
     blocks = max(1, -(-docs.count() // block_rows))
     rows = written(rows, "pieces")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "doc_tokens", F.element_at("crcs", -1)), F.lit(blocks)).cast("int"))
+    name = F.xxhash64("id", "doc_tokens", F.element_at("crcs", -1))
+    # Rows that repeat more often than a block should hold are dealt by their number; which of equal rows goes where changes nothing.
+    hot = written(rows.groupBy(name.alias("name")).count().where(F.col("count") > max(1, block_rows // 8)).select("name", F.lit(True).alias("hot")), "hot")  # rows / 4096 at most
+    rows = rows.withColumn("name", name).join(F.broadcast(hot) if hot.count() <= BROADCAST_NAMES else hot, "name", "left")
+    dealt = rows.withColumn("block", F.pmod(F.when(F.col("hot"), F.xxhash64("name", "row")).otherwise(F.col("name")), F.lit(blocks)).cast("int")).select("id", "doc_tokens", "crcs", "block")
     dealt = dealt.repartitionById(blocks, "block").sortWithinPartitions("block", "id", "doc_tokens", "crcs")
     schema = f"`{id_col}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
