@@ -1,44 +1,17 @@
-"""Shared helpers: the shared scratch folder, written intermediate tables, hashing and row batching."""
+"""Shared helpers: written intermediate tables, hashing and row batching."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larder.sources.scratch import drop_written, fresh_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where it is set, else a fresh local one (tests)."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larder-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/larder-{uuid.uuid4().hex}-{name}"
-
-
-def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.  parts: at most so many files."""
-    path = fresh_path(df.sparkSession, name)
-    (df.coalesce(parts) if parts else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table from written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop_written", "fresh_path", "id_crc32", "list_parts", "mix64", "ragged_arange", "shared_dir", "slices", "text_slices", "written"]
 
 
 def id_crc32(col: str | Column) -> Column:
@@ -60,6 +33,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             yield batch.slice(start)
 
 
+def text_slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[pa.Array]:
+    """Cuts an array of texts as slices() does record batches."""
+    for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", max_bytes):
+        yield part.column(0)
+
+
 def _offsets(array: pa.Array) -> np.ndarray:
     """Offsets of a string, binary or list array, from the slice's own start."""
     if isinstance(array, pa.ChunkedArray):

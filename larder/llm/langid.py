@@ -7,14 +7,15 @@ weighted by their bytes, give the text's language and score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import text_slices, written
 
 WINDOW = 256
 UNDETERMINED = "und"
@@ -107,12 +108,11 @@ def fit_network(texts: list[bytes], langs: list[str], *, dim: int = 8, filters:
 def training_windows(docs: DataFrame, text_col: str, lang_col: str, order: Column, max_docs: int) -> DataFrame:
     """At most max_docs rows, spread evenly over the languages and chosen by `order` (a hash): text windows from the start, the middle and the end, and lang."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("rank"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()  # one row a language
-    if not counts:
-        return docs.sparkSession.createDataFrame([], "lang string, window string")
-    share = max(1, max_docs // len(counts))
-    chance = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.3 * share / r["count"]))) for r in counts])
-    rows = rows.where(F.pmod(F.col("rank"), F.lit(1 << 30)) < chance * (1 << 30)).orderBy("rank", "text").limit(max_docs)
+    rows = rows.withColumn("draw", F.pmod("rank", F.lit(1 << 30)))
+    least = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.lit(float(max_docs)) / F.count("*").over(Window.partitionBy(F.lit(1)))  # a row a language
+    limits = least.select("lang", (F.least(F.lit(1.0), 1.3 * share / F.col("n")) * (1 << 30)).alias("below"))
+    rows = rows.join(written(limits, "languages"), "lang").where("draw < below").orderBy("draw", "rank", "text").limit(max_docs)
     last = F.greatest(F.lit(1), F.length("text") - WINDOW + 1)
     starts = F.array_distinct(F.array(F.lit(1), F.expr("int((greatest(1, length(text) - 256 + 1) + 1) / 2)"), last.cast("int")))
     return rows.select("lang", F.explode(F.transform(starts, lambda s: F.col("text").substr(s, F.lit(WINDOW)))).alias("window"))
@@ -125,20 +125,30 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", or
     return fit_network([r["window"].encode() for r in rows], [r["lang"] for r in rows])
 
 
+def identified(text: Column, net: ByteConvNet) -> Column:
+    """A struct (lang_pred, score) of a text column.  Only the texts go to the Python workers."""
+
+    @F.arrow_udf("lang_pred string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            langs, scores = [], []
+            for part in text_slices(batch):
+                found = classify(net, part.to_pylist())
+                langs += found[0]
+                scores.append(found[1])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["lang_pred", "score"])
+
+    return run(F.when(text.rlike("\\p{L}"), text))
+
+
 def identify(docs: DataFrame, net: ByteConvNet, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row's whole text.
 
-    A null text, or one without a letter, gives ('und', 0.0); equal texts get equal results; other columns are not read.
+    A null text, or one without a letter, gives ('und', 0.0); equal texts get equal results; of equally likely languages the
+    first by name is given; an empty table gives no row; other columns are not read, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), F.when(F.col(text_col).rlike("\\p{L}"), F.col(text_col)).alias("__text"))
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
-
-    def predict(batches):
-        for part in slices(batches, "__text"):
-            langs, scores = classify(net, part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])
-
-    return rows.mapInArrow(predict, schema)
+    rows = docs.select(F.col(id_col), identified(F.col(text_col), net).alias("__found"))
+    return rows.select(id_col, "__found.lang_pred", "__found.score")
 
 
 def classify(net: ByteConvNet, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -162,11 +172,9 @@ def classify(net: ByteConvNet, texts: list[str | None]) -> tuple[list[str], np.n
 
 
 def keep_identified(docs: DataFrame, net: ByteConvNet, least: float, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a letter in their text and a language of at least this score, columns unchanged."""
+    """The rows of docs with a letter in their text and a language of at least this score, columns unchanged.
 
-    def run(batches):
-        for part in slices(batches, text_col):
-            _, scores = classify(net, part.column(part.schema.get_field_index(text_col)).to_pylist())
-            yield part.filter(pa.array(scores >= least))
-
-    return docs.where(F.col(text_col).rlike("\\p{L}")).mapInArrow(run, docs.schema)
+    Null, empty and letterless texts go; repeated rows are kept or dropped alike; a null id does not matter; an empty table
+    stays empty.  Other columns are not read.
+    """
+    return docs.where(F.col(text_col).rlike("\\p{L}")).where(identified(F.col(text_col), net)["score"] >= least)

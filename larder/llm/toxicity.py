@@ -1,6 +1,6 @@
 """Toxicity scores: a lexicon trie intersected with Levenshtein automata, and a model of hits in their context.
 
-Terms are whole words, or stems that any word may begin with.  A word is run through the product of the trie and an
+Terms are whole words, or stems that longer words begin with.  A word is run through the product of the trie and an
 edit-distance automaton (insert, delete, substitute, swap neighbours), built lazily as a deterministic automaton, so
 misspelled terms are caught at the price of a table look-up per character.  The words around each hit tell a quotation
 or report from direct abuse; hits of both kinds are separate features of a logistic model.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,8 +27,16 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 # Words that report speech, and marks that open or close a quotation.
 REPORTING = frozenset("said says wrote writes quoted quote called calls word term zitat sagte schrieb dit écrit citation dijo escribió cita".split())
 QUOTES = frozenset("\"“”„«»‘’`")
+#: A quotation as the learning of terms skips it: what stands between two marks on one line.
+QUOTED_JVM = "[\"“”„«»][^\"“”„«»\\n]{1,400}[\"“”„«»]"
 CONTEXT_CHARS = 48
-FEATURES = 4
+FEATURES = 5
+#: Weights that features keep which the labelled rows never show; the last is the bias.
+PRIOR = (0.8, 0.3, 3.0, 3.0, 1.0, -2.5)
+STEM_CHARS = (4, 5, 6, 7, 8)
+#: What a worker may hold: words and their edits, and (node, edits, awaited) triples of the automaton's states (some 100 bytes each).
+MEMO_WORDS = 100_000
+MEMO_ITEMS = 300_000
 
 
 def allowed_edits(length: int) -> int:
@@ -40,8 +49,9 @@ class LexiconAutomaton:
     """Lazy deterministic product of the lexicon's trie and the edit automata.
 
     A state is a set of (node, edits, awaited) triples; `awaited` is the second character of a swapped pair.
-    Matching returns the least number of edits of a term that fits the whole word or of a stem that it begins with, else
-    None.  A stem's last character must stand in the word: an edit there would make it the shorter stem, which was not learned.
+    Matching returns the least number of edits of a term that fits the whole word or of a stem that it goes on from, else
+    None.  A stem's last character must stand in the word, and another one after it: otherwise the word has a shorter stem,
+    or is the stem alone, which were not learned.
     """
 
     words: list[str]
@@ -80,9 +90,13 @@ class LexiconAutomaton:
         self.table: dict = {}
         self.states: list[frozenset] = []
         self.index: dict[frozenset, int] = {}
+        self.held = 0
         self.accepts: list[int] = []
         self.start = self._number(self._closed({(0, 0, "")}))
 
+    def without_exceptions(self) -> LexiconAutomaton:
+        return LexiconAutomaton(self.words, self.stems)
+
     def __getstate__(self):
         return {"words": self.words, "stems": self.stems, "exceptions": self.exceptions}
 
@@ -108,6 +122,7 @@ class LexiconAutomaton:
         if items not in self.index:
             self.index[items] = len(self.states)
             self.states.append(items)
+            self.held += len(items)
             whole = [e for n, e, a in items if not a and e <= self.ends[n][1]]
             self.accepts.append(min(whole, default=-1))
         return self.index[items]
@@ -136,21 +151,23 @@ class LexiconAutomaton:
         return self._number(self._closed(moved)), min(stems, default=-1)
 
     def match(self, word: str) -> int | None:
-        if len(self.states) > 200_000:
+        if self.held + len(self.table) > MEMO_ITEMS:
             self.reset()
         state, table = self.start, self.table
         if state < 0:  # an empty lexicon
             return None
         best = None
-        for c in word:
+        last = len(word) - 1
+        for i, c in enumerate(word):
             after = table.get((state, c))
             if after is None:
                 after = table[(state, c)] = self._next(state, c)
             state, edits = after
-            if edits == 0:
-                return 0
-            if edits > 0 and (best is None or edits < best):
-                best = edits
+            if i < last:
+                if edits == 0:
+                    return 0
+                if edits > 0 and (best is None or edits < best):
+                    best = edits
             if state < 0:
                 return best
         edits = self.accepts[state]
@@ -174,7 +191,7 @@ def hits(text: str, automaton: LexiconAutomaton, memo: dict) -> list[tuple[int,
                 edits = edits if edits is None else max(1, edits)
             if edits and word in automaton.exceptions:
                 edits = None
-            if len(memo) > 400_000:
+            if len(memo) >= MEMO_WORDS:
                 memo.clear()
             if len(word) <= 40:
                 memo[word] = edits
@@ -187,10 +204,11 @@ def hits(text: str, automaton: LexiconAutomaton, memo: dict) -> list[tuple[int,
 
 
 def features(found: list[tuple[int, int, int, bool]]) -> list[float]:
-    """Direct hits (an edit weighs 0.8), quoted hits, whether there is a direct or a quoted one."""
+    """Direct hits (an edit weighs 0.8), quoted hits, whether there is a direct one as written, a misspelled one, a quoted one."""
     direct = sum(0.8**edits for _, _, edits, told in found if not told)
     quoted = sum(0.8**edits for _, _, edits, told in found if told)
-    return [math.log1p(direct), math.log1p(quoted), min(1.0, direct), min(1.0, quoted)]
+    plain = any(not edits for _, _, edits, told in found if not told)
+    return [math.log1p(direct), math.log1p(quoted), float(plain), min(1.0, direct) * (not plain), min(1.0, quoted)]
 
 
 @dataclass
@@ -200,11 +218,14 @@ class ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, order: Column, max_rows: int) -> DataFrame:
-    """(text, label) of at most max_rows labelled documents, chosen by `order` over the labels; those ids are few enough to broadcast."""
+    """(text, label) of at most max_rows labelled documents, chosen by `order` over the labels; those ids are few enough to broadcast.
+
+    Written, so that the documents are read once for all that is learned.
+    """
     chosen = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"), order.alias("__rank"))
     chosen = chosen.orderBy("__rank", "__id").limit(max_rows).drop("__rank")
     rows = docs.select(F.col(id_col).alias("__id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    return rows.join(F.broadcast(chosen), "__id").select("text", "label")
+    return written(rows.join(F.broadcast(chosen), "__id").select("text", "label"), "labelled")
 
 
 def unlike_rows(sample: DataFrame, *, bands: int = 6, size: int = 3) -> DataFrame:
@@ -214,7 +235,7 @@ def unlike_rows(sample: DataFrame, *, bands: int = 6, size: int = 3) -> DataFram
     near copies counts as about one document.  Only hashes are grouped; clean rows are taken out as exact copies only.
     """
     rows = sample.select("text", "label").distinct().withColumn("__key", F.xxhash64("text", "label"))
-    rows = written(rows, "labelled")
+    rows = written(rows, "distinct-labelled")
     w = F.regexp_extract_all("text", F.lit(WORD_JVM), F.lit(0))
     triples = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.slice("w", i + 1, 3)))
     names = [f"b{k}" for k in range(bands)]
@@ -225,65 +246,77 @@ def unlike_rows(sample: DataFrame, *, bands: int = 6, size: int = 3) -> DataFram
     return rows.join(F.broadcast(keys.select("__key", F.lit(True).alias("__kept"))), "__key", "left").where("label = 0 OR __kept").select("text", "label")
 
 
-def learn_lexicon(sample: DataFrame, *, max_terms: int = 400, least_gain: float = 20.0, least_contexts: int = 5, seeds: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
-    """Words, and stems of 4 to 6 characters, that toxic documents hold far more often than others do.
+def learn_lexicon(sample: DataFrame, *, least_gain: float = 20.0, least_contexts: int = 5, least_share: float = 0.9, least_chars: int = 3, seeds: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    """Words of least_chars or more characters, and stems of 4 to 8 that longer words go on from, that toxic documents hold far more often than others do.
 
-    Documents per term and label are counted in Spark, copies once; the driver gets the max_terms * 5 terms of the highest
-    gain (log likelihood ratio) among those with least_contexts contexts, and keeps the shortest stem that says as much as
-    what it begins.
+    Documents per term and label are counted in Spark, copies once and quotations left out (what clean documents quote is no
+    clean use).  A term needs a toxic share of least_share, least_gain of log likelihood ratio and least_contexts pairs of
+    neighbours; all such terms of the bounded sample reach the driver, which keeps the shortest stem that says as much as what
+    it begins.
     """
-    sample = written(unlike_rows(sample), "unlike")
+    sample = written(unlike_rows(sample).select(F.regexp_replace("text", QUOTED_JVM, " ").alias("text"), "label"), "unlike")
     base = sample.groupBy("label").count().collect()
     total = {r["label"]: r["count"] for r in base}
     npos, nneg = total.get(1, 0), total.get(0, 0)
     if not npos:
         return sorted(seeds), []
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD_JVM), F.lit(0)))
+    every = F.regexp_extract_all("text", F.lit(WORD_JVM), F.lit(0))
 
     def stems_of(n: int) -> Column:
         return F.transform(F.filter(F.col("w"), lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
-    stems = [stems_of(n) for n in (4, 5, 6)]
-    terms = sample.select("label", words.alias("w")).select("label", F.explode(F.array_distinct(F.concat(F.filter("w", lambda w: F.length(w).between(3, 30)), *stems))).alias("term"))
+    stems = [stems_of(n) for n in STEM_CHARS]
+    terms = sample.select("label", F.array_distinct(every).alias("w")).select("label", F.explode(F.array_distinct(F.concat(F.filter("w", lambda w: F.length(w) >= least_chars), *stems))).alias("term"))
     counted = terms.groupBy("term").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
     p, q = F.col("pos") / F.col("n"), F.lit(npos / (npos + nneg) if nneg else 0.5)
     gain = F.col("n") * (p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)) * 2
-    found = counted.where((F.col("pos") >= 3) & (p >= 0.95)).select("term", "pos", "n", gain.alias("gain")).where(F.col("gain") >= least_gain)
+    found = counted.where((F.col("pos") >= 3) & (p >= least_share)).select("term", "pos", "n", gain.alias("gain")).where(F.col("gain") >= least_gain)
     found = written(found, "terms")
     # What several toxic documents quote makes every word of it look toxic.  Such a word has the same neighbours each time;
     # a term of abuse has others.  The number of contexts counts, not their share, which grows smaller with each repetition.
-    every = F.regexp_extract_all("text", F.lit(WORD_JVM), F.lit(0))
-    placed = sample.select("label", F.concat(F.array(F.lit("")), every, F.array(F.lit(""))).alias("w")).select("label", F.explode(F.transform(F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.length(s["x"]) >= 3), lambda s: F.struct(s["x"].alias("x"), F.xxhash64(F.get(F.col("w"), s["i"] - 1)).alias("before"), F.xxhash64(F.get(F.col("w"), s["i"] + 1)).alias("after")))).alias("p"))
-    x = F.col("p.x")
-    forms = F.array_compact(F.array(x, *[F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("*"))) for n in (4, 5, 6)]))
-    held = placed.select("label", "p.before", "p.after", F.explode(forms).alias("term")).join(F.broadcast(found), "term")
-    contexts = held.where("label = 1").groupBy("term").agg(F.countDistinct("before", "after").alias("contexts"))
-    rows = found.join(contexts, "term").where((F.col("contexts") >= least_contexts) & (F.col("contexts") * 2 * F.log(F.lit(1.0) / q) >= least_gain)).orderBy(F.desc("gain"), "term").limit(max_terms * 5).collect()
-    stems = {r["term"][:-1]: r["pos"] for r in rows if r["term"].endswith("*")}
-    plain = {r["term"]: r["pos"] for r in rows if not r["term"].endswith("*")}
-    kept: list[str] = []
+    placed = sample.where("label = 1").select(F.concat(F.array(F.lit("")), every, F.array(F.lit(""))).alias("w")).select(F.posexplode("w").alias("i", "x"), "w").where(F.length("x") >= least_chars)
+    placed = placed.select("x", F.xxhash64(F.get("w", F.col("i") - 1)).alias("before"), F.xxhash64(F.get("w", F.col("i") + 1)).alias("after"))
+    forms = F.array_compact(F.array(F.col("x"), *[F.when(F.length("x") > n, F.concat(F.substring("x", 1, n), F.lit("*"))) for n in STEM_CHARS]))
+    held = placed.select("before", "after", F.explode(forms).alias("term")).join(F.broadcast(found), "term")
+    contexts = held.groupBy("term").agg(F.countDistinct("before", "after").alias("contexts"))
+    rows = found.join(contexts, "term").where((F.col("contexts") >= least_contexts) & (F.col("contexts") * 2 * F.log(F.lit(1.0) / q) >= least_gain)).collect()
+    return _shortest({r["term"]: r["pos"] for r in rows}, seeds)
+
+
+def _shortest(found: dict[str, int], seeds: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    """(words, stems) of the terms and their counts; a stem goes if one word or a longer stem says as much, or a shorter one is kept.  Whole words stay beside a stem: they forgive edits at any character."""
+    stems = {t[:-1]: n for t, n in found.items() if t.endswith("*")}
+    plain = {t: n for t, n in found.items() if not t.endswith("*")}
+    in_word: dict[str, int] = {}  # the most that one word says of each beginning
+    in_stem: dict[str, int] = {}
+    for w, n in plain.items():
+        for i in STEM_CHARS:
+            in_word[w[:i]] = max(in_word.get(w[:i], 0), n)
+    for s, n in stems.items():
+        in_stem[s[:-1]] = max(in_stem.get(s[:-1], 0), n)
+    kept: set[str] = set()
     for s in sorted(stems, key=lambda s: (len(s), s)):
-        longer = [t for t in stems if len(t) == len(s) + 1 and t.startswith(s)]
-        one_word = max((n for w, n in plain.items() if w.startswith(s)), default=0) >= 0.9 * stems[s]
-        if not one_word and not any(stems[t] >= 0.98 * stems[s] for t in longer) and not any(s.startswith(k) for k in kept):
-            kept.append(s)
-    whole = sorted(plain, key=lambda w: (-plain[w], w))
-    covered = [w for w in whole if any(w.startswith(s) for s in kept)]  # kept too: a whole word forgives edits at any character
-    others = [w for w in whole if w not in set(covered)]
-    return sorted({*others[:max_terms], *covered[:max_terms], *seeds}), sorted(kept[:max_terms])
+        if in_word.get(s, 0) < 0.9 * stems[s] and in_stem.get(s, 0) < 0.98 * stems[s] and not any(s[:i] in kept for i in range(1, len(s))):
+            kept.add(s)
+    return sorted({*plain, *seeds}), sorted(kept)
 
 
-def learn_exceptions(sample: DataFrame, automaton: LexiconAutomaton, most: int = 5000) -> frozenset:
-    """Words an edit or two from a term that clean documents hold: they are words of their own, not misspellings."""
+def learn_exceptions(sample: DataFrame, automaton: LexiconAutomaton) -> frozenset:
+    """Words an edit or two from a term that are words of their own, not misspellings: clean documents of the bounded sample hold
+    them outside quotations more than half as often as toxic ones do."""
 
     def near(batches):
         memo: dict = {}
         for part in slices(batches, "text"):
-            words = [t[a:b] for t in part.column(0).to_pylist() for a, b, edits, _ in hits(t, automaton, memo) if edits]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+            words, marks = [], []
+            for t, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                own = {t[a:b] for a, b, edits, told in hits(t, automaton, memo) if edits and not told}
+                words += own
+                marks += [label] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(marks, pa.int32())], names=["word", "label"])
 
-    rows = sample.where("label = 0").select("text").mapInArrow(near, "word string").groupBy("word").count()
-    return frozenset(r["word"].lower() for r in rows.orderBy(F.desc("count"), "word").limit(most).collect())
+    rows = sample.select("text", "label").mapInArrow(near, "word string, label int").groupBy("word").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    return frozenset(r["word"].lower() for r in rows.where("pos < 2 * (n - pos)").select("word").collect())
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, *, ridge: float = 2.0, steps: int = 30) -> np.ndarray:
@@ -299,10 +332,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, *, ridge: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", order: Column, max_rows: int = 20_000, seeds: tuple[str, ...] = ()) -> ToxicityModel:
-    """Learns the lexicon and the logistic model on at most max_rows labelled documents; the driver sees terms and feature rows, no texts."""
+    """Learns the lexicon and the logistic model on at most max_rows labelled documents; the driver sees terms and feature rows, no texts.
+
+    The weights are fitted on one half of the rows with the exceptions of the other half, so that misspellings are weighed as
+    they do on texts not seen before; then exceptions are learned on all rows.
+    """
     sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, order=order, max_rows=max_rows)
     automaton = LexiconAutomaton(*learn_lexicon(sample, seeds=seeds))
-    automaton.exceptions = learn_exceptions(sample, automaton)
+    half = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2))
+    unlike = written(unlike_rows(sample).withColumn("half", half), "unlike-labelled")
+    automaton.exceptions = learn_exceptions(unlike.where("half = 0"), automaton)
 
     def measure(batches):
         memo: dict = {}
@@ -310,8 +349,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             rows = [features(hits(t, automaton, memo)) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), part.column(1)], names=["x", "label"])
 
-    rows = sample.mapInArrow(measure, "x array<double>, label int").groupBy("x", "label").count().collect()
-    prior = np.array([0.8, 0.3, 3.0, 1.0, -2.5])
+    rows = sample.where(half == 1).select("text", "label").mapInArrow(measure, "x array<double>, label int").groupBy("x", "label").count().collect()
+    automaton.exceptions = learn_exceptions(unlike, automaton.without_exceptions())
+    prior = np.array(PRIOR)
     if not rows:
         return ToxicityModel(automaton, prior)
     rows.sort(key=lambda r: (r["label"], r["x"]))
@@ -319,38 +359,38 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return ToxicityModel(automaton, fit_logistic(np.repeat(x, n, axis=0), np.repeat(y, n), prior))
 
 
-def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, n_hits, n_quoted) of every row's whole text.
-
-    Null and empty texts have no hit and get the score of a text without hits.  Repeated rows get equal results; other
-    columns are not read.
-    """
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, n_hits int, n_quoted int"
+def scored(text: Column, model: ToxicityModel) -> Column:
+    """A struct (score, n_hits, n_quoted) of a text column; null counts as empty.  Only the texts go to the Python workers."""
 
-    def run(batches):
+    @F.arrow_udf("score double, n_hits int, n_quoted int")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo: dict = {}
-        for part in slices(batches, "__text"):
-            x, n, q = np.zeros((part.num_rows, FEATURES)), [], []
-            for i, t in enumerate(part.column(1).to_pylist()):
-                found = hits(t or "", model.automaton, memo)
+        for batch in batches:
+            x, n, q = np.zeros((len(batch), FEATURES)), np.zeros(len(batch), np.int32), np.zeros(len(batch), np.int32)
+            for i, t in enumerate(batch):
+                found = hits(t.as_py() or "", model.automaton, memo)
                 x[i] = features(found)
-                n.append(len(found))
-                q.append(sum(told for *_, told in found))
+                n[i], q[i] = len(found), sum(told for *_, told in found)
             z = np.clip(x @ model.weights[:-1] + model.weights[-1], -40, 40)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-z))), pa.array(n, pa.int32()), pa.array(q, pa.int32())], names=[id_col, "score", "n_hits", "n_quoted"])
+            yield pa.StructArray.from_arrays([pa.array(1 / (1 + np.exp(-z))), pa.array(n), pa.array(q)], names=["score", "n_hits", "n_quoted"])
 
-    return rows.mapInArrow(run, schema)
+    return run(text)
 
 
-def keep_below(docs: DataFrame, model: ToxicityModel, limit: float, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is below the limit, columns unchanged; null and empty texts stay."""
+def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, n_hits, n_quoted) of every row's whole text.
 
-    def run(batches):
-        memo: dict = {}
-        for part in slices(batches, text_col):
-            x = np.array([features(hits(t or "", model.automaton, memo)) for t in part.column(part.schema.get_field_index(text_col)).to_pylist()])
-            z = np.clip(x @ model.weights[:-1] + model.weights[-1], -40, 40)
-            yield part.filter(pa.array(1 / (1 + np.exp(-z)) < limit))
+    Null and empty texts have no hit and get the score of a text without hits.  Repeated rows get equal results; an empty
+    table gives no row; other columns are not read, whatever their names.
+    """
+    rows = docs.select(F.col(id_col), scored(F.col(text_col), model).alias("__found"))
+    return rows.select(id_col, "__found.score", "__found.n_hits", "__found.n_quoted")
 
-    return docs.mapInArrow(run, docs.schema)
+
+def keep_below(docs: DataFrame, model: ToxicityModel, limit: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below the limit, columns unchanged.
+
+    Null and empty texts stay, and null ids; repeated rows are kept or dropped alike; an empty table stays empty.  Other
+    columns are not read.
+    """
+    return docs.where(scored(F.col(text_col), model)["score"] < limit)
