@@ -10,10 +10,12 @@ matter; they are not generated.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, list_parts, mix64, ragged_arange, slices, written
@@ -25,6 +27,8 @@ ROUNDS = 3
 SMALL_BUCKET = 40
 ROWS_A_TASK = 20_000
 BROADCAST_IDS = 500_000
+#: Rows signed together: each needs some 900 points of the processes, whatever its length.
+BLOCK_ROWS = 500
 SLOTS = BANDS * ROWS
 _U = np.uint64
 
@@ -62,8 +66,8 @@ def signatures(n_rows: int, row: np.ndarray, shingle: np.ndarray, weight: np.nda
     first; equal times fall back on the identity, alike in every document.
     """
     out = np.zeros((n_rows, slots), np.uint32)
-    for begin in range(0, n_rows, 7000):
-        end = min(n_rows, begin + 7000)
+    for begin in range(0, n_rows, BLOCK_ROWS):
+        end = min(n_rows, begin + BLOCK_ROWS)
         lo, hi = np.searchsorted(row, [begin, end])
         _sign_block(out[begin:end], row[lo:hi] - begin, shingle[lo:hi], weight[lo:hi])
     return out
@@ -118,39 +122,56 @@ def _word_hashes(text_col: str):
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _node(words: str | Column) -> Column:
+    """A text's name: a 64-bit hash of all its words."""
+    return F.xxhash64(words)
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, same, total, sig) of every row: hash of all its words, multiset size, and the signature as slot-tagged 32-bit words."""
-    schema = "id bigint, same bigint, same2 bigint, total bigint, sig array<int>"
+    """(doc, id, total, sig) of every row: the row's id, its text's name, its multiset size, and the signature as slot-tagged 32-bit words."""
+    schema = "doc bigint, id bigint, total bigint, sig array<int>"
 
     def run(batches):
         for part in slices(batches, "words", 6 << 17):
-            offsets, words = list_parts(part.column(3))
+            offsets, words = list_parts(part.column(2))
             row, value, weight = shingle_bags(offsets, words)
             sig = signatures(part.num_rows, row, value, weight)
             tag = (np.arange(SLOTS, dtype=np.int64) << 24)[None, :] | sig.astype(np.int64)  # eight bits of slot, 24 of value
             tag = tag.astype(np.uint32).view(np.int32)
             total = np.bincount(row, weight, part.num_rows).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * SLOTS, pa.int32()), pa.array(tag.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(total), lists], names=["id", "same", "same2", "total", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total), lists], names=["doc", "id", "total", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), _word_hashes(text_col).alias("words"))
-    rows = rows.select("id", F.xxhash64("words").alias("same"), F.hash("words").cast("bigint").alias("same2"), "words")
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), _word_hashes(text_col).alias("words"))
+    return rows.select("doc", _node("words").alias("id"), "words").mapInArrow(run, schema)
 
 
-def _bags(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
-    """(id, bag) for the given ids: a shingle's n-th copy is an item of its own, so that bags intersect as sets."""
+def _bags(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(id, bag) of the wanted texts (doc, id), each read from the row of that doc: a shingle's n-th copy is an item of its own, so that bags intersect as sets."""
 
     def run(batches):
         for part in slices(batches, "words", 6 << 17):
-            offsets, words = list_parts(part.column(1))
+            part = part.filter(pc.equal(part.column(0), part.column(1)))
+            offsets, words = list_parts(part.column(2))
             row, value, weight = shingle_bags(offsets, words)
             items = mix64(np.repeat(value, weight) + ragged_arange(weight).astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, weight, part.num_rows).astype(np.int64))])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items))], names=["id", "bag"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")  # ids: see _small()
-    return rows.select("id", _word_hashes("text").alias("words")).mapInArrow(run, "id bigint, bag array<bigint>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    rows = rows.join(_small(wanted), "doc").select("id", _word_hashes("text").alias("words")).select("id", _node("words").alias("node"), "words")
+    return rows.mapInArrow(run, "id bigint, bag array<bigint>")
+
+
+def _once(df: DataFrame, name: str, parts: int | None = None, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """df written, with one row for each key.  Only rows whose key repeats are shuffled."""
+    table = written(df, name, parts)
+    again = table.groupBy(*keys).count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return table
+    again = written(again, f"{name}-again")
+    few = table.join(again, list(keys), "left_semi").dropDuplicates(list(keys))
+    return _replaced(table.join(_small(again), list(keys), "left_anti").unionByName(few), f"{name}-once", parts, table, again)
 
 
 def components(edges: DataFrame, name: str, parts: int) -> DataFrame:
@@ -187,56 +208,70 @@ def _similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return rows.where(common >= F.lit(threshold - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(id, class_id, n_links) of every row; class_id is the least id of the near-duplicate class, n_links the links of its text that were verified (stars and cross-class links, not all similar pairs).
+def _classes(docs: DataFrame, *, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): (doc, id, total) of every row, and (id, rep, class_id, n_links) of every text with a word, written.
 
-    Rows with the same words form one text first; no pairs are made among them.  Distinct texts are linked where their
-    five-word multisets overlap by `threshold` or more, found by banding and verified exactly:
-    1. in a few rounds every text of a bucket is held against one leader of the bucket (a star, not all pairs), another
-       leader in each round, as long as buckets of more than SMALL_BUCKET texts still have several classes;
-    2. texts that a bucket then still leaves in several classes are joined exactly, on the rarest fifth of their shingles
-       (two bags that overlap by the threshold share one of these), and only across classes.
-    Null, empty and wordless texts are classes of their own; a null id keeps a null class.  Ids are integers; a row that
-    repeats an id is taken for the same document.
+    id is a text's name, rep the least doc of its rows, class_id the least doc of the class.
     """
-    keys = ["same", "same2", "total"]
     signed = written(sign(docs, id_col, text_col), "signed")
     parts = max(8, -(-signed.count() // ROWS_A_TASK))
-    texts = written(signed.where("total > 0 and id is not null").groupBy(*keys).agg(F.min("id").alias("rep")), "texts", parts)
-    reps = written(signed.where("id is not null").join(_small(texts.select(F.col("rep").alias("id"))), "id", "left_semi").dropDuplicates(["id"]).select("id", "total", "sig"), "reps", parts)
+    texts = written(signed.where("total > 0 and doc is not null").groupBy("id").agg(F.min("doc").alias("rep")), "texts", parts)
+    reps = signed.join(_small(texts), "id").where("doc = rep").select("id", "rep", "total", "sig")
+    reps = _once(reps, "reps", parts)
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, ROWS)))
-    placed = reps.select("id", "total", F.explode(bands).alias("key"))
+    placed = reps.select("id", "rep", "total", F.explode(bands).alias("key"))
     shared = written(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared", parts)
     placed = _replaced(placed.join(shared, "key"), "placed", parts, shared)
-    bags = written(_bags(docs, id_col, text_col, _small(written(placed.select("id").distinct(), "placed-ids", parts))).dropDuplicates(["id"]), "bags")
+    wanted = written(placed.select(F.col("rep").alias("doc"), "id").distinct(), "wanted", parts)
+    bags = _once(_bags(docs, id_col, text_col, wanted), "bags")
 
     links, roots = None, placed.select("id", F.col("id").alias("root")).limit(0)
     for n in range(ROUNDS):
         mixed = placed if n == 0 else _mixed(placed, roots, n, parts)
         if n and (mixed.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= SMALL_BUCKET:
             break
-        order = [F.struct("id"), F.struct("total", "id")][n] if n < 2 else F.struct(F.xxhash64("id", F.lit(n)), "id")
+        order = [F.struct("rep", "id"), F.struct("total", "rep", "id")][n] if n < 2 else F.struct(F.xxhash64("id", F.lit(n)), "id")
         leads = written(mixed.groupBy("key").agg(F.min_by(F.struct("id", *([] if n == 0 else ["root"])), order).alias("lead")), f"leads-{n}", parts)
         pairs = mixed.join(leads, "key").where("id <> lead.id" if n == 0 else "root <> lead.root").select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct().coalesce(parts)
-        fresh = _verified(pairs, reps, bags, threshold, f"links-{n}", parts)
-        drop_written(leads)
+        likely = written(_plausible(pairs, reps, threshold), f"likely-{n}", parts)
+        fresh = _replaced(_similar(likely, bags, threshold), f"links-{n}", parts, likely, leads)
         if n and fresh.isEmpty():
             break
         links = fresh if links is None else _replaced(links.unionByName(fresh), f"all-links-{n}", parts, links, fresh)
         roots = components(links, f"roots-{n}", parts)
     rest = written(_mixed(placed, roots, ROUNDS, parts).select("id", "root").distinct(), "rest", parts)
     if not rest.isEmpty():
-        links = _replaced(links.unionByName(_across_classes(bags, rest, reps, threshold, parts)), "all-links", parts, links)
+        links = _replaced(links.unionByName(_across_classes(bags, rest, threshold, parts)), "all-links", parts, links)
         roots = components(links, "all-roots", parts)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = texts.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = written(classes.select(*keys, F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes", parts)
-    for t in (reps, placed, bags, rest, texts, links, roots):
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    named = written(texts.join(roots, "id").groupBy("root").agg(F.min("rep").alias("class_id")), "named", parts)
+    joined = roots.join(named, "root").join(degree, "id").select("id", "class_id", "n_links")
+    classes = texts.join(joined, "id", "left").select("id", "rep", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows, classes = written(signed.select("doc", "id", "total"), "rows"), written(classes, "classes", parts)
+    for t in (signed, reps, placed, wanted, bags, rest, texts, links, roots, named):
         drop_written(t)
-    rows = signed.select("id", *keys).join(classes, keys, "left")
+    return rows, classes
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """(id, class_id, n_links) of every row; class_id is the least id of the near-duplicate class, n_links the links of its text that were verified (stars and cross-class links, not all similar pairs).
+
+    Rows with the same words form one text first; no pairs are made among them.  Distinct texts are linked where their
+    five-word multisets overlap by `threshold` or more, found by banding and verified exactly:
+    1. in a few rounds every text of a bucket is held against one leader of the bucket (a star, not all pairs), another
+       leader in each round, as long as buckets of more than SMALL_BUCKET texts still have several classes;
+    2. texts that a bucket then still leaves in several classes are joined exactly, and only across classes, on the rarest
+       of the shingles that lie in several classes (two bags that overlap by the threshold share one of these).
+    Signatures choose candidates only in step 1 (bands, and six standard deviations of agreeing slots).
+    Null, empty and wordless texts are classes of their own; a null id keeps a null class.  Ids are integers; repeated rows
+    get equal results, and different texts under one id are texts of their own.  An empty table gives no row; other columns
+    are not read.
+    """
+    rows, classes = _classes(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     kind = docs.schema[id_col].dataType
-    return rows.select(F.col("id").cast(kind).alias(id_col), F.when(F.col("total") > 0, F.coalesce("class_id", "id")).otherwise(F.col("id")).cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = rows.join(classes.drop("rep"), "id", "left")
+    return found.select(F.col("doc").cast(kind).alias(id_col), F.when(F.col("total") > 0, F.coalesce("class_id", "doc")).otherwise(F.col("doc")).cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -252,16 +287,27 @@ def _replaced(df: DataFrame, name: str, parts: int, *old: DataFrame) -> DataFram
     return out
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, bags: DataFrame, threshold: float, name: str, parts: int) -> DataFrame:
-    likely = written(_plausible(pairs, reps, threshold), f"likely-{name}", parts)
-    return _replaced(_similar(likely, bags, threshold), name, parts, likely)
-
-
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of docs whose id is the least of its class, columns unchanged; of rows that repeat an id one stays, rows with a null id all stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    kept = written(found.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct(), "kept")
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs that name their near-duplicate class (the least id), columns unchanged.
+
+    Of rows that repeat both id and words one stays; rows with a null id, and null, empty or wordless texts all stay.  An
+    empty table stays empty.  Whole rows are shuffled only if more ids go than may be broadcast, or repeat.
+    """
+    rows, classes = _classes(docs, id_col=id_col, text_col=text_col, threshold=threshold)
+    full = rows.where("doc is not null and total > 0")
+    again = written(full.groupBy("doc").count().where("count > 1").select("doc"), "again")
+    stays = written(full.join(classes, "id").where("doc = class_id and rep = class_id").select("doc", "id").distinct(), "stays")
+    goes = full.join(stays.select("doc", F.lit(1).alias("__stays")), "doc", "left").where("__stays IS NULL").select("doc").distinct()
+    if again.isEmpty():
+        return docs.join(_small(written(goes, "goes")), F.col(id_col).cast("bigint") == F.col("doc"), "left_anti")
+    # Ids that repeat are settled by id and words; one row of each that stays is told apart by a dropDuplicates among them alone.
+    goes = written(goes.unionByName(again).distinct(), "goes")
+    single = docs.join(_small(goes), F.col(id_col).cast("bigint") == F.col("doc"), "left_anti")
+    words = _word_hashes(text_col)
+    odd = docs.withColumn("__doc", F.col(id_col).cast("bigint")).join(_small(again), F.col("__doc") == F.col("doc"), "left_semi").withColumn("__words", words).withColumn("__id", _node("__words"))
+    odd = odd.join(stays.select(F.col("doc").alias("__doc"), F.col("id").alias("__id")), ["__doc", "__id"], "left_semi").dropDuplicates(["__doc", "__id"])
+    bare = docs.join(_small(again), F.col(id_col).cast("bigint") == F.col("doc"), "left_semi").where(F.size(words) == 0)
+    return single.unionByName(odd.select(*docs.columns)).unionByName(bare)
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -274,31 +320,42 @@ def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
 
 def _mixed(placed: DataFrame, roots: DataFrame, n: int, parts: int) -> DataFrame:
     """The rows of `placed`, with their class, that are in buckets of several classes."""
-    rows = placed.join(roots, "id", "left").select("key", "id", "total", F.coalesce("root", "id").alias("root"))
+    rows = placed.join(roots, "id", "left").select("key", "id", "rep", "total", F.coalesce("root", "id").alias("root"))
     mixed = written(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), f"mixed-{n}", parts)
     return rows.join(mixed, "key")
 
 
-def _across_classes(bags: DataFrame, rest: DataFrame, reps: DataFrame, threshold: float, parts: int) -> DataFrame:
+def _across_classes(bags: DataFrame, rest: DataFrame, threshold: float, parts: int) -> DataFrame:
     """Verified links between texts of `rest` in different classes, by an exact prefix and position filter.
 
-    Every bag is sorted by how many bags of `rest` hold an item, rare ones first.  Bags that overlap by the threshold share
-    one of their first |x| - ceil(t |x|) + 1 items; and where the first shared item stands at i and j, they share
-    min(|x| - i, |y| - j) items at most.  Items of one bag alone come first and match nothing.
+    Only items that lie in several classes can link them.  Every bag is sorted: first its other items, then these, rare ones
+    first; one order for all.  Bags of n and m items that overlap by the threshold share at least o = t (n + m) / (1 + t)
+    items, and so one of the first n - o + 1 and m - o + 1; and where the first shared item stands at i and j, they share
+    min(n - i, m - j) items at most.  Sizes are put into steps of ratio 1 / t, so that a bag has three steps of partners, and
+    gives each step only the items that o allows for it.
     """
-    held = bags.join(_small(rest.select("id")), "id", "left_semi")
-    items = held.select("id", F.explode("bag").alias("item"))
-    common = written(items.groupBy("item").count().where("count > 1"), "common", parts)
-    ranked = items.join(common, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("shared"))
-    rows = ranked.join(held.select("id", F.size("bag").alias("n")), "id").join(rest, "id").withColumn("own", F.col("n") - F.size("shared"))
-    head = F.expr(f"slice(shared, 1, greatest(0, n - int(ceil({threshold} * n - 1e-9)) + 1 - own))")
-    heads = written(rows.select("id", "root", "n", "own", F.posexplode(head).alias("k", "x")).select("id", "root", "n", (F.col("own") + F.col("k")).alias("at"), F.col("x.item").alias("item")), "heads", parts)
-    span = written(heads.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("item"), "span", parts)
-    live = written(heads.join(span, "item"), "live", parts)
-    x, y = (live.select("item", F.col("id").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}")) for c in "ab")
+    t = threshold
+    held = bags.join(_small(rest), "id")
+    items = held.select("id", "root", F.explode("bag").alias("item"))
+    common = items.groupBy("item").agg(F.count("*").alias("count"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("item", "count")
+    common = written(common, "common", parts)
+    ranked = items.select("id", "item").join(_small(common), "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("shared"))
+    ranked = _replaced(ranked, "ranked", parts, common)
+    rows = ranked.join(held.select("id", "root", F.size("bag").alias("n")), "id").withColumn("own", F.col("n") - F.size("shared"))
+
+    def step(n: Column) -> Column:
+        return F.floor(F.log(n) / F.lit(-math.log(t)) + 1e-9).cast("int")
+
+    rows = rows.withColumn("step", step(F.col("n")))
+    rows = rows.withColumn("to", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])))
+    smallest = F.greatest(F.pow(F.lit(1 / t), F.col("to")) - 1e-6, t * F.col("n"))  # the least size of a partner in that step
+    first = F.col("n") - F.ceil(t / (1 + t) * (F.col("n") + smallest) - 1e-6) + 1 - F.col("own")
+    heads = rows.select("id", "root", "n", "own", "step", "to", F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("k", "x"))
+    heads = written(heads.select("id", "root", "n", "step", "to", (F.col("own") + F.col("k")).alias("at"), F.col("x.item").alias("item")), "heads", parts)
+    x = heads.select("item", "step", "to", *[F.col(c).alias(f"{c}a") for c in ("id", "root", "n", "at")])
+    y = heads.select("item", F.col("to").alias("step"), F.col("step").alias("to"), *[F.col(c).alias(f"{c}b") for c in ("id", "root", "n", "at")])
     most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    pairs = x.join(y, "item").where((F.col("ra") < F.col("rb")) & (most >= F.lit(threshold / (1 + threshold) - 1e-9) * (F.col("na") + F.col("nb")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(parts)
-    found = _verified(pairs, reps, bags, threshold, "across", parts)
-    for t in (common, heads, span, live):
-        drop_written(t)
-    return found
+    fits = (F.col("roota") < F.col("rootb")) & (most >= F.lit(t / (1 + t) - 1e-9) * (F.col("na") + F.col("nb")))
+    pairs = x.join(y, ["item", "step", "to"]).where(fits).select(F.greatest("ida", "idb").alias("a"), F.least("ida", "idb").alias("b")).distinct()
+    pairs = _replaced(pairs, "across", parts, heads, ranked)
+    return _replaced(_similar(pairs, bags, threshold), "across-links", parts, pairs)
