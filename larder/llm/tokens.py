@@ -10,17 +10,20 @@ from __future__ import annotations
 import re
 import sys
 import types
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import ragged_arange
 
 CUT = re.compile(r"(?<=\S)(?:( )|(\n))(?=\S)")
 MEMO_PIECES = 500_000
 MEMO_CHARS = 48
+MEMO_LONG_CHARS = 8 << 20
 TOGETHER = 32
+# Marks that end a word: both vocabularies make one of them after a letter a token of its own.
+ENDINGS = ",."
 
 
 class _Numbers(dict):
@@ -40,15 +43,35 @@ class PieceEncoder:
         self.keeps_blanks = self._plain([" a"]) != self._plain(["a"])
         self.mark = "\n" if self.keeps_blanks else " ~ "  # stands between pieces and always is one id of its own
         ((self.mark_id,),) = self._plain([self.mark])
+        self.ending_ids = np.array([i for (i,) in self._plain([*ENDINGS])], np.uint32)
+        self.words = self._words(path) if self.keeps_blanks else self.tokenizer
         self.clear()
 
+    @staticmethod
+    def _words(path: str) -> Tokenizer:
+        """The tokenizer without its splitting pattern, which leaves a blank and letters in one piece anyway."""
+        out = Tokenizer.from_file(path)
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
+
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self):
         self.index = _Numbers()
-        self.start = self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.start = self.size = self.uses = np.zeros(0, np.int64)
+        self.ids, self.long_chars = np.zeros(0, np.uint32), 0
+
+    def _forget(self, least: int = 2) -> None:
+        """Keeps the pieces that were met `least` times, halving their counts; most of a full memo are pieces met once."""
+        while (keep := np.flatnonzero(self.uses >= least)).size > MEMO_PIECES // 2:
+            least *= 2
+        self.long_chars = 0
+        names = list(self.index)
+        self.index = _Numbers(zip(map(names.__getitem__, keep.tolist()), range(len(keep))))
+        size = self.size[keep]
+        self.ids = self.ids[np.repeat(self.start[keep], size) + ragged_arange(size)]
+        self.start, self.size, self.uses = np.cumsum(size) - size, size, (self.uses[keep] + 1) // 2
 
     def _pieces(self, text: str) -> list[str]:
         if not self.keeps_blanks:
@@ -71,44 +94,87 @@ class PieceEncoder:
                 at += 1
         return [*out, text[at:]] if text[at:] else out
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Adds ids of new pieces.  Plain ones are encoded some together, a mark between them, and split at the mark's id."""
+    def _learn(self, known: int) -> int:
+        """Adds the ids of the pieces that the index has numbered from `known` on; returns the length of the longest.
+
+        A word with a closing comma or full stop gets the ids of the word, which is learned once for all its endings, and
+        the mark's: the tokenizers split there too.
+        """
+        fresh = list(islice(self.index, known, None))
+        ended = [i for i, p in enumerate(fresh) if p[-1] in ENDINGS and p[-2:-1].isalpha()]
+        bare = np.fromiter(map(self.index.__getitem__, [fresh[i][:-1] for i in ended]), np.int64, len(ended))
+        whole = np.ones(len(self.index) - known, bool)
+        whole[ended] = False
+        every = fresh + list(islice(self.index, known + len(fresh), None))
+        own_size, own_ids = self._encoded(list(compress(every, whole.tolist())))
+        start, size = np.zeros(len(whole), np.int64), np.zeros(len(whole), np.int64)
+        start[whole], size[whole] = len(self.ids) + np.cumsum(own_size) - own_size, own_size
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, own_ids])
+        if ended:
+            size = self.size[bare] + 1
+            ids = np.empty(int(size.sum()), np.uint32)
+            last = np.cumsum(size) - 1
+            body = np.ones(len(ids), bool)
+            body[last] = False
+            ids[body] = self.ids[np.repeat(self.start[bare], size - 1) + ragged_arange(size - 1)]
+            ids[last] = self.ending_ids[[ENDINGS.index(fresh[i][-1]) for i in ended]]
+            at = known + np.array(ended)
+            self.start[at], self.size[at] = len(self.ids) + last + 1 - size, size
+            self.ids = np.concatenate([self.ids, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(whole), np.int64)])
+        return max(map(len, fresh))
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(size, ids) of pieces.  Plain ones are encoded some together, a mark between them, and split at the mark's id; where
+        a tokenizer keeps blanks, words of letters alone need no splitting by its pattern."""
         mark = self.mark.strip(" ")
+        kind = np.zeros(len(pieces), np.int8)
+        if self.keeps_blanks:
+            kind[[i for i, p in enumerate(pieces) if (p[1:] if p[0] == " " else p).isalpha()]] = 1
         body = slice(1, None) if self.keeps_blanks else slice(None)
-        plain = [mark not in p and p[-1:].strip() != "" and p[body][:1].strip() != "" for p in fresh]
-        easy = [p for p, ok in zip(fresh, plain, strict=True) if ok]
-        groups = self._plain([self.mark.join([*easy[i : i + TOGETHER], ""]) for i in range(0, len(easy), TOGETHER)])
-        joined = np.fromiter(chain.from_iterable(groups), np.uint32)
-        stops = np.flatnonzero(joined == self.mark_id)
-        sizes, ids = np.diff(stops, prepend=-1) - 1, np.delete(joined, stops)
-        starts = np.cumsum(sizes) - sizes
-        if len(easy) < len(fresh):
-            rest = self._plain([p for p, ok in zip(fresh, plain, strict=True) if not ok])
-            counts = np.array([len(r) for r in rest], np.int64)
-            order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~np.array(plain))]))
-            sizes, starts = np.concatenate([sizes, counts])[order], np.concatenate([starts, len(ids) + np.cumsum(counts) - counts])[order]
-            ids = np.concatenate([ids, np.array([i for r in rest for i in r], np.uint32)])
-        self.start = np.concatenate([self.start, len(self.ids) + starts])
-        self.size = np.concatenate([self.size, sizes])
-        self.ids = np.concatenate([self.ids, ids])
+        others = np.flatnonzero(kind == 0).tolist()
+        kind[[i for i in others if mark not in pieces[i] and pieces[i][-1:].strip() and pieces[i][body][:1].strip()]] = 2
+        sizes, ids, order = [], [], []
+        for k, tokenizer in ((1, self.words), (2, self.tokenizer)):
+            own = np.flatnonzero(kind == k)
+            some = list(compress(pieces, (kind == k).tolist()))
+            groups = tokenizer.encode_batch_fast([self.mark.join([*some[i : i + TOGETHER], ""]) for i in range(0, len(some), TOGETHER)], add_special_tokens=False)
+            joined = np.fromiter(chain.from_iterable(g.ids for g in groups), np.uint32)
+            stops = np.flatnonzero(joined == self.mark_id)
+            sizes.append(np.diff(stops, prepend=-1) - 1)
+            ids.append(np.delete(joined, stops))
+            order.append(own)
+        own = np.flatnonzero(kind == 0)
+        rest = self._plain([pieces[i] for i in own.tolist()])
+        sizes.append(np.array([len(r) for r in rest], np.int64))
+        ids.append(np.fromiter(chain.from_iterable(rest), np.uint32))
+        order.append(own)
+        back = np.argsort(np.concatenate(order))
+        size, flat = np.concatenate(sizes), np.concatenate(ids)
+        start = np.cumsum(size) - size
+        return size[back], flat[np.repeat(start[back], size[back]) + ragged_arange(size[back])]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
         if len(self.index) > MEMO_PIECES:
-            self.clear()
+            self._forget()
         rows = [self._pieces(t) if t else [] for t in texts]
         known = len(self.index)
         counts = np.array([len(row) for row in rows], np.int64)
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(rows)), np.int64, int(counts.sum()))
-        fresh = list(islice(self.index, known, None))
-        if fresh:
-            self._learn(fresh)
+        longest = self._learn(known) if len(self.index) > known else 0
+        self.uses += np.bincount(at, minlength=len(self.uses))
         size = self.size[at]
         flat = self.ids[np.repeat(self.start[at], size) + ragged_arange(size)]
         sizes = np.concatenate([[0], np.cumsum(size)])
         offsets = sizes[np.concatenate([[0], np.cumsum(counts)])]
-        if any(len(p) > MEMO_CHARS for p in fresh):  # long pieces hardly recur
-            self.clear()
+        if longest > MEMO_CHARS:  # long pieces hardly recur
+            long = [(known + i, len(p)) for i, p in enumerate(islice(self.index, known, None)) if len(p) > MEMO_CHARS]
+            self.uses[[i for i, _ in long]] = 0
+            self.long_chars += sum(n for _, n in long)
+            if self.long_chars > MEMO_LONG_CHARS:
+                self._forget(1)
         return offsets, flat
 
 
