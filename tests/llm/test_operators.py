@@ -31,8 +31,20 @@ def test_language_odd_rows(spark, odd_documents):
     net = langid.fit_network([b"the cat sat on the mat", b"le chat sur la table"] * 8, ["en", "fr"] * 8, epochs=2)
     rows = langid.identify(odd_documents, net).collect()
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}
+    for r in rows:  # the network once more, a window at a time
+        if r["lang_pred"] != "und":
+            t = next(x["text"] for x in odd_documents.collect() if x["doc_id"] == r["doc_id"]).encode()
+            total = np.zeros(2)
+            for k in range(0, len(t), langid.WINDOW):
+                piece = t[k : k + langid.WINDOW]
+                x = net.embed[np.frombuffer(piece.ljust(langid.WINDOW, b"\0"), np.uint8)].astype(float)
+                flat = np.array([x[i : i + net.width].ravel() for i in range(langid.WINDOW - net.width + 1)])
+                z = np.maximum((flat @ net.kernel).max(0) + net.kernel_bias, 0) @ net.dense + net.dense_bias
+                total += len(piece) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert r["lang_pred"] == net.languages[int(total.argmax())] and abs(r["score"] - total.max() / len(t)) < 1e-4
     assert len(rows) == 8 and got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] in ("en", "fr")
     assert langid.identify(odd_documents.limit(0), net).count() == 0
+    assert langid.keep_identified(odd_documents.limit(0), net, 0.0).count() == 0
     assert {r["doc_id"] for r in langid.keep_identified(odd_documents, net, 0.0).collect()} == {None, 4, 5, 6}
 
 
@@ -46,23 +58,76 @@ def test_hosts_paths_and_longest_rule(spark):
     assert [tuple(r) for r in df.select("host", "path", rule, verdict).collect()] == [tuple(u[1:]) for u in urls]
 
 
-def test_propagation_matches_power_iteration(spark):
-    links = [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 1.0), ("c", "a", 1.0), ("d", "c", 1.0)]
-    edges = spark.createDataFrame(links, "src string, dst string, weight double")
-    seeds = spark.createDataFrame([("a", 3, 0), ("c", 0, 1)], "host string, trusted long, distrusted long")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in urlgraph.propagate(edges, seeds).collect()}
-    names = "abcd"
-    for k, seed, flip in ((0, "a", False), (1, "c", True)):
-        m = np.zeros((4, 4))
+def brute_flows(links, seeds, names):
+    """Personalised PageRank of both flows by a dense linear solve; mass of hosts without out-edges goes back to the seeds."""
+    out = []
+    for k, flip in ((1, False), (2, True)):
+        start = np.array([float(sum(x[k] for x in seeds if x[0] == n)) for n in names])
+        if not start.sum():
+            out.append(np.zeros(len(names)))
+            continue
+        start /= start.sum()
+        m = np.zeros((len(names), len(names)))
         for s, d, w in links:
             s, d = (d, s) if flip else (s, d)
             m[names.index(d), names.index(s)] += w
-        m = m / np.where(m.sum(0) > 0, m.sum(0), 1)
-        start = np.array([float(n == seed) for n in names])
-        x = start
-        for _ in range(urlgraph.ROUNDS):
-            x = 0.85 * m @ x + 0.15 * start
-        assert np.allclose([got.get(n, (0.0, 0.0))[k] for n in names], x)
+        total = m.sum(0)
+        m = np.where(total > 0, m / np.where(total > 0, total, 1), start[:, None])
+        out.append(0.15 * np.linalg.solve(np.eye(len(names)) - 0.85 * m, start))
+    return dict(zip(names, zip(*out, strict=True), strict=True))
+
+
+def test_propagation_solves_the_personalised_pagerank(spark):
+    links = [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 1.0), ("c", "a", 1.0), ("d", "c", 1.0), ("c", "e", 0.5)]  # e has no out-edge
+    seeds = [("a", 3, 0), ("c", 1, 1), ("e", 0, 2)]
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urlgraph.propagate(spark.createDataFrame(links, "src string, dst string, weight double"), spark.createDataFrame(seeds, "host string, trusted long, distrusted long")).collect()}
+    want = brute_flows(links, seeds, list("abcde"))
+    assert all(np.allclose(got.get(n, (0.0, 0.0)), want[n], atol=2e-3) for n in "abcde")
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Generated pages with real links: absolute, protocol-relative, relative, quoted or not; repeated pages, nulls and clashing columns."""
+    rng = np.random.default_rng(3)
+    hosts = [f"{a}.{b}.{c}" for a in ("www", "m", "x.y") for b in ("one", "two", "three") for c in ("net", "org", "com")] + ["lone.edu", "10.0.0.1"]
+    pages = []
+    for i in range(90):
+        hrefs = [str(rng.choice([f'href="http://{h}/p"', f"href='//{h}'", f"HREF=https://{h.upper()}/q?x", 'href="/local"', f'data-href="http://{h}"'])) for h in rng.choice(hosts, 3)]
+        pages.append((i, f"http://{rng.choice(hosts)}{rng.choice(['/es/', '/de/1', '/fr/', '/en/1', '/'])}", "<a " + " x><a ".join(hrefs) + ">", "k", 1.0))
+    pages += [pages[0], pages[0], (500, None, pages[1][2], "k", 2.0), (501, "http://lone.edu/", None, "k", 2.0), (None, "http://www.one.net/", "", None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, host string, score double").selectExpr("*", "1 AS rule", "2 AS trust", "3 AS src", "4 AS flow")
+    host = lambda u: re.split(r"[/?#]", u.split("://", 1)[1])[0].lower() if u and "://" in u else ""
+    links, names = collections.Counter(), set()
+    for _, u, h, *_ in pages:
+        names.add(host(u))
+        for x in re.findall(r"""(?i)\shref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)""", h or ""):
+            d = host("http:" + x if x.startswith("//") else x)
+            names.add(d)
+            if host(u) and d and d != host(u):
+                links[host(u), d] += 1.0
+    ties = set()
+    for n in {host(u) for _, u, *_ in pages} - {"", "10.0.0.1"}:
+        while n.count(".") > 1:
+            up = n.split(".", 1)[1]
+            ties |= {(n, up), (up, n)}
+            names |= {up}
+            n = up
+    for t in ties:
+        links[t] += 0.5
+    edges = {(r["src"], r["dst"]): r["weight"] for r in urlgraph.host_edges(df).collect()}
+    assert edges == dict(links)
+    rows = urlgraph.judge(df, queries.URL_RULES).collect()
+    by_rule = lambda r: {"org/": "allow", "com/fr/": "allow"}.get(r["rule"], "block")
+    seeds = collections.defaultdict(lambda: [0, 0])
+    for r in rows:
+        if r["rule"] and r["host"]:
+            seeds[r["host"]][by_rule(r) == "block"] += 1
+    want = brute_flows([(*k, w) for k, w in links.items()], [(h, *v) for h, v in seeds.items()], sorted(names - {""}))
+    assert len(rows) == len(pages)
+    for r in rows:
+        trust, distrust = want.get(r["host"], (0.0, 0.0))
+        assert abs(r["trust"] - trust) < 2e-3 and abs(r["distrust"] - distrust) < 2e-3
+        if r["rule"] or abs(distrust - trust) > 1e-3 or trust == distrust:
+            assert r["verdict"] == (by_rule(r) if r["rule"] else "block" if distrust > trust else "allow")
 
 
 def test_linked_to_blocked_is_blocked(spark):
@@ -120,12 +185,13 @@ def test_cross_class_join_finds_what_stars_miss(spark):
     """The exact second step alone, started from classes of one text each."""
     rng = np.random.default_rng(0)
     common = [f"c{i}" for i in range(80)]
-    texts = {i: " ".join(common + [f"u{i}x{k}" for k in range(int(rng.integers(0, 30)))]) for i in range(40)}
+    texts = {i: " ".join(common + [f"u{i}x{k}" for k in range(int(rng.integers(1, 30)))]) for i in range(40)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    reps = bagminhash.sign(docs, "doc_id", "text").select("id", "total", "sig")
-    bags = bagminhash.written(bagminhash._bags(docs, "doc_id", "text", docs.selectExpr("doc_id AS id")), "t")
-    rest = bagminhash.written(docs.selectExpr("doc_id AS id", "doc_id AS root"), "t")
-    got = {(r["b"], r["a"]) for r in bagminhash._across_classes(bags, rest, reps, 0.8, 4).collect()}
+    names = bagminhash.sign(docs, "doc_id", "text").select("doc", "id")
+    doc = {r["id"]: r["doc"] for r in names.collect()}
+    bags = bagminhash.written(bagminhash._bags(docs, "doc_id", "text", names), "t")
+    rest = bagminhash.written(names.selectExpr("id", "id AS root"), "t")
+    got = {tuple(sorted((doc[r["a"]], doc[r["b"]]))) for r in bagminhash._across_classes(bags, rest, 0.8, 4).collect()}
     n = {i: len(t.split()) - 4 for i, t in texts.items()}
     assert got == {(a, b) for a in n for b in n if a < b and 76 >= 0.8 * (n[a] + n[b] - 76)}
 
@@ -147,6 +213,10 @@ def test_near_duplicates_odd_rows(spark, odd_documents):
     rows = bagminhash.near_duplicates(odd_documents).collect()
     got = [(r["doc_id"], r["class_id"]) for r in rows]
     assert sorted(got, key=str) == sorted([(1, 1), (2, 2), (None, None), (3, 3), (4, 4), (5, 5), (5, 5), (6, 5)], key=str)
+    clash = spark.createDataFrame([(7, "a b c d e f g"), (7, "h i j k l m n"), (7, "h i j k l m n"), (8, "h i j k l m n"), (7, ""), (9, "a b c d e f g")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in bagminhash.one_of_each(clash).collect()) == [(7, ""), (7, "a b c d e f g"), (7, "h i j k l m n")]
+    assert sorted((r["doc_id"], r["class_id"]) for r in bagminhash.near_duplicates(clash).collect()) == [(7, 7)] * 4 + [(8, 7), (9, 7)]
+    assert bagminhash.one_of_each(odd_documents.limit(0)).count() == 0
     kept = bagminhash.one_of_each(odd_documents)
     assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted([1, 2, None, 3, 4, 5], key=str) and kept.columns == odd_documents.columns
     assert bagminhash.near_duplicates(odd_documents.limit(0)).count() == 0
@@ -177,6 +247,48 @@ def test_few_keys_move_from_the_plain_ring():
     assert sum(b - a for arc, a, b, s in parts if s != owner[arc]) < 0.08 * loads.sum()
 
 
+def test_settle_equals_a_plain_ring_walk():
+    """Unit keys walked one by one, first each to its own point, then what is left clockwise to shards with room."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        shards, arcs = 4, 24
+        owner, loads = rng.integers(0, shards, arcs), rng.integers(0, 30, arcs) * (rng.random(arcs) < 0.8)
+        owner[:shards] = range(shards)
+        room = np.full(shards, int(1.05 * loads.sum() / shards + 1))
+        homes, late = {}, []
+        free = np.full(shards, (1 + 0.05) * loads.sum() / shards)
+        for arc in range(arcs):
+            for k in range(int(loads[arc])):
+                if free[owner[arc]] >= 1:
+                    homes[arc, k] = owner[arc]
+                    free[owner[arc]] -= 1
+                else:
+                    late.append((arc, k))
+        for arc, k in late:
+            at = next((i for i in range(arc + 1, arc + arcs + 1) if free[owner[i % arcs]] >= 1), None)
+            shard = owner[at % arcs] if at is not None else int(free.argmax())
+            homes[arc, k] = shard
+            if at is not None:
+                free[shard] -= 1
+        got = {(arc, k): s for arc, a, b, s in ring.settle(loads, owner, shards, 0.05) for k in range(a, b)}
+        assert got == homes and room.min() > 0
+
+
+def test_one_more_shard_moves_few_bytes(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat('x', cast(id % 200 AS int)) AS text")
+    before, after = (ring.shard_documents(docs, shards=n).select("doc_id", "size", F.col("shard").alias(f"s{n}")) for n in (40, 41))
+    moved = before.join(after.drop("size"), "doc_id").groupBy().agg(F.sum(F.when(F.col("s40") != F.col("s41"), F.col("size"))) / F.sum("size")).first()[0]
+    assert moved < 0.25  # 1 / 41 goes to the new shard; the rest moves because every shard is filled to the last half per mille
+
+
+def test_equal_rows_are_spread(spark):
+    docs = spark.range(6000).selectExpr("if(id < 4000, 7, id) AS doc_id", "if(id < 4000, 'the same text', cast(id AS string)) AS text")
+    rows = ring.shard_documents(docs, shards=8).toPandas()
+    loads = rows.groupby("shard")["size"].sum()
+    assert len(rows) == 6000 and len(loads) == 8 and loads.max() < 1.02 * loads.mean()
+    assert all(sorted(own.slot) == list(range(len(own))) for _, own in rows.groupby("shard"))
+
+
 def test_shards_odd_rows(spark, odd_documents):
     rows = ring.shard_documents(odd_documents, shards=3).collect()
     assert len(rows) == 8 and {r["shard"] for r in rows} <= {0, 1, 2}
@@ -216,14 +328,14 @@ def test_stems_misspellings_and_quotations():
 
 def test_stems_forgive_edits():
     automaton = toxicity.LexiconAutomaton([], ["idiot", "vequ"])
-    assert [automaton.match(w) for w in ("idiotic", "idoit", "idiiots", "idotic", "odiotic", "idito", "vequaire")] == [0, 1, 1, 1, 1, 1, 0]
-    assert [automaton.match(w) for w in ("idiom", "idiosyncratic", "idio", "idxxtic", "veqaire")] == [None] * 5
+    assert [automaton.match(w) for w in ("idiotic", "idoits", "idiiots", "idotic", "odiotic", "iditos", "vequaire")] == [0, 1, 1, 1, 1, 1, 0]
+    assert [automaton.match(w) for w in ("idiom", "idiosyncratic", "idio", "idxxtic", "veqaire", "idiot", "vequ")] == [None] * 7
     both = toxicity.LexiconAutomaton(["idiot", "idiotic"], ["idiot"])
-    assert [both.match(w) for w in ("idiof", "idioic", "idiotx")] == [1, 1, 0]
+    assert [both.match(w) for w in ("idiof", "idioic", "idiotx", "idiot")] == [1, 1, 0, 0]
 
 
 def stem_edits(stem, head):
-    """Edits of a word's head whose last step is the stem's last character, alone or swapped with the one before."""
+    """Edits of a word's head (which goes on after it) whose last step is the stem's last character, alone or swapped with the one before."""
     same = [edits(stem[:-1], head[:-1])] if stem[-1] == head[-1] else []
     swapped = [edits(stem[:-2], head[:-2]) + 1] if len(head) > 1 and stem[-2:] == head[-2:][::-1] and stem[-1] != stem[-2] else []
     return min(same + swapped, default=None)
@@ -233,13 +345,13 @@ def stem_edits(stem, head):
 @given(st.builds(lambda t, i, n, c, end: t[:i] + c + t[i + n :] + end, st.sampled_from(["idiot", "moron", "vequ"]), st.integers(0, 5), st.integers(0, 2), st.text("idomrnvequt", max_size=2), st.text("idomrnt", max_size=3)))
 def test_stems_equal_edit_distance(word):
     stems = ["idiot", "moron", "vequ"]
-    fits = [(stem_edits(s, word[:n]), toxicity.allowed_edits(len(s))) for s in stems for n in range(1, len(word) + 1)]
+    fits = [(stem_edits(s, word[:n]), toxicity.allowed_edits(len(s))) for s in stems for n in range(1, len(word))]
     fits = [e for e, most in fits if e is not None and e <= most]
     assert toxicity.LexiconAutomaton([], stems).match(word) == min(fits, default=None)
 
 
 def test_toxicity_odd_rows(spark, odd_documents):
-    model = toxicity.ToxicityModel(AUTOMATON, np.array([0.8, 0.3, 3.0, 1.0, -2.5]))
+    model = toxicity.ToxicityModel(AUTOMATON, np.array(toxicity.PRIOR))
     rows = toxicity.score(odd_documents, model).collect()
     assert len(rows) == 8 and len({r["score"] for r in rows}) == 1 and rows[0]["score"] < 0.3
     assert toxicity.keep_below(odd_documents, model, 0.3).count() == 8
@@ -267,6 +379,65 @@ def test_toxicity_learns_planted_terms(spark):
     assert got[1] > 0.3 > got[2] and got[3] > 0.3
 
 
+def test_quotations_are_told_from_abuse(spark):
+    """Terms that clean documents quote as often as toxic ones use them are learned, and so are weights that tell the two apart."""
+    rng = np.random.default_rng(8)
+    clean = [a + b for a in ("sto", "riv", "wal", "gre", "lig", "sof", "mil", "pan") for b in ("ne", "er", "ks", "en", "ht", "tly")]
+    rows = []
+    for i in range(1200):
+        words = list(rng.choice(clean, 30))
+        if i % 8 == 0:
+            words[int(rng.integers(30))] = "idiot"
+        if i % 8 == 1:
+            words[int(rng.integers(30))] = '"idiot"'
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 > 0"), order=F.xxhash64("doc_id"))
+    assert model.automaton.words == ["idiot"] and model.weights[2] - model.weights[4] > 2
+    got = {r["doc_id"]: r for r in toxicity.score(docs.where("doc_id % 3 = 0"), model).collect()}
+    assert all((got[i]["score"] >= 0.3) == bool(t) for i, _, t in rows if i % 3 == 0) and sum(r["n_quoted"] for r in got.values()) == 50
+
+
+def brute_hits(text, model):
+    """(start, end, edits, quoted) by edit distances to every term, without automaton or memo."""
+    out, low = [], text.lower()
+    text = low if len(low) != len(text) else text
+    for m in toxicity.WORD.finditer(low):
+
+        def least(w):
+            fits = [edits(t, w) for t in model.automaton.words if edits(t, w) <= toxicity.allowed_edits(len(t))]
+            for s in model.automaton.stems:
+                near = [stem_edits(s, w[:n]) for n in range(1, len(w))]
+                fits += [e for e in near if e is not None and e <= toxicity.allowed_edits(len(s))]
+            return min(fits, default=None)
+
+        word, folded = m.group(), m.group().translate(toxicity.LEET)
+        found = least(word)
+        if found is None and not word.isalpha() and folded.isalpha():
+            found = least(folded)
+            found = found if found is None else max(1, found)
+        if found is None or (found and word in model.automaton.exceptions):
+            continue
+        before, after = text[max(0, m.start() - 48) : m.start()], text[m.end() : m.end() + 48]
+        told = (any(c in toxicity.QUOTES for c in before) and any(c in toxicity.QUOTES for c in after)) or any(w in toxicity.REPORTING for w in toxicity.WORD.findall(before.lower())[-2:])
+        out.append((m.start(), m.end(), found, told))
+    return out
+
+
+def test_scores_equal_brute_force(spark, texts):
+    model = toxicity.ToxicityModel(toxicity.LexiconAutomaton(["idiot", "scum", "pathetic"], ["vequ", "achlich"], frozenset(["idiom"])), np.array(toxicity.PRIOR))
+    some = {i: (t or "")[:400] for i, t in list(texts.items())[:60]}
+    some |= {10**6: 'He wrote "idiot" and you id1ot idiom pathatic', 10**6 + 1: "said scum. «achlichung» but vequa equx", 10**6 + 2: ""}
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        found = brute_hits(some[r["doc_id"]], model)
+        direct, quoted = (sum(0.8**e for *_, e, q in found if q == told) for told in (False, True))
+        plain = any(e == 0 and not q for *_, e, q in found)
+        x = [np.log1p(direct), np.log1p(quoted), float(plain), 0.0 if plain else min(1.0, direct), min(1.0, quoted), 1.0]
+        assert r["n_hits"] == len(found) and r["n_quoted"] == sum(q for *_, q in found)
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.dot(x, toxicity.PRIOR)))) < 1e-9
+
+
 @pytest.mark.parametrize("changed", [0, 1])
 def test_hot_copies_neither_drop_nor_add_terms(spark, changed):
     rng = np.random.default_rng(6)
@@ -315,6 +486,20 @@ def test_pieces_of_any_text(rows):
 ENCODERS: dict = {}
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_small_memo_forgets_without_a_trace(monkeypatch, name):
+    from larder.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 40)
+    monkeypatch.setattr(tokens, "MEMO_LONG_CHARS", 100)
+    encoder, rng = PieceEncoder(queries.tokenizer_path(name)), np.random.default_rng(2)
+    words = ["the", "The", "the,", "the.", "thing...", "x's", "x,y", "don't", "Ünder.", "word", "word,", "w" * 60, "1,", "a.b.", "é.", "stop.\nNew", "\t"]
+    for _ in range(60):
+        rows = [" ".join(rng.choice(words, 12)) + f" n{int(rng.integers(400))}." for _ in range(5)]
+        offsets, ids = encoder.encode(rows)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [encoder.tokenizer.encode(r, add_special_tokens=False).ids for r in rows]
+
+
 def test_records_round_trip(spark, sf, texts, tmp_path):
     folder, path = str(tmp_path / "rec"), queries.tokenizer_path("word_bpe_49k.json")
     index = records.write_records(spark.read.parquet(f"{sf}/documents.parquet"), folder, path, parts=3)
@@ -325,9 +510,9 @@ def test_records_round_trip(spark, sf, texts, tmp_path):
         ids = np.array([*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 1], "<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    entries = [(r["part"], r["position"], r["payload"], r["doc_id"], r["n_tokens"]) for r in index.orderBy(F.rand(3)).limit(20).collect()]
-    for (doc, ids), e in zip(records.fetch(folder, [e[:3] for e in entries]), entries, strict=True):
-        assert (doc, len(ids)) == e[3:]
+    entries = [(r["part"], r["width"], r["position"], r["payload"], r["doc_id"], r["n_tokens"]) for r in index.orderBy(F.rand(3)).limit(20).collect()]
+    for (doc, ids), e in zip(records.fetch(folder, [e[:4] for e in entries]), entries, strict=True):
+        assert (doc, len(ids)) == e[4:]
 
 
 def test_damaged_records_are_found(spark, tmp_path):
@@ -350,6 +535,14 @@ def test_records_odd_rows(spark, odd_documents, tmp_path):
     assert records.read_records(spark, str(tmp_path / "b"), index).count() == 0
 
 
+def test_hot_ids_lie_in_several_parts(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("if(id < 2900, 5, id) AS doc_id", "if(id < 1500, 'equal words', concat('words ', id)) AS text").repartition(6)
+    index = records.write_records(docs, str(tmp_path / "hot"), queries.tokenizer_path("word_bpe_49k.json"), parts=6)
+    assert index.where("doc_id = 5").select("part").distinct().count() > 3
+    rows = records.read_records(spark, str(tmp_path / "hot"), index).orderBy("start").collect()
+    assert len(rows) == 3000 and [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+
+
 def check_packing(rows, texts, tokenizer):
     for doc, own in rows.groupby("doc_id"):
         ids = np.array([*tokenizer.encode(texts[doc] or "", add_special_tokens=False).ids, 0], "<u4")
@@ -382,6 +575,13 @@ def test_packer_wastes_little():
     assert sorted(held) == list(range(len(held))) and sizes.sum() / (1024 * len(held)) > 0.93
 
 
+def test_equal_rows_are_dealt_over_blocks(spark):
+    docs = spark.range(4000).selectExpr("if(id < 3000, null, id) AS doc_id", "'one and the same text' AS text").repartition(4)
+    rows = packing.pack(docs, queries.tokenizer_path("byte_bpe_50k.json"), block_rows=500).toPandas()
+    blocks = (rows.sequence_id // 2**32).value_counts()
+    assert len(rows) == 4000 and len(blocks) == 8 and blocks.max() < 800
+
+
 def test_packing_odd_rows(spark, odd_documents):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     rows = packing.pack(odd_documents, path).toPandas()
@@ -427,6 +627,31 @@ def test_line_limit_grows_with_the_host_and_copies_count_once(spark):
     assert all(got[i]["n_boilerplate_chars"] == len(line) for i, *_ in boilerplate)
 
 
+def test_verdicts_of_lines_equal_brute_force(spark):
+    """Random documents of a small pool of lines, hosts of unlike sizes, copies under other ids."""
+    rng = np.random.default_rng(9)
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    pool = [" ".join(f"{name(i)}q{name(k)}" for k in range(int(rng.integers(3, 9)))) for i in range(40)]
+    rows = []
+    for i in range(400):
+        own = [f"u{name(i)} " + " ".join(f"v{name(i)}x{name(k)}" for k in range(int(rng.integers(2, 12))))]
+        text = "\n".join(rng.permutation(list(rng.choice(pool, int(rng.integers(0, 6)), p=np.arange(40, 0, -1) / 820)) + own))
+        rows.append((i, text, "abbcccc"[i % 7]))
+    rows += [(1000 + i, rows[3][1], "a") for i in range(30)]
+    norm = lambda x: re.sub(r"\d+", "0", " ".join(x.lower().split()))
+    texts = collections.defaultdict(set)
+    for _, t, h in rows:
+        texts[h].add(t)
+    held = {h: collections.Counter(x for t in ts for x in {norm(y) for y in t.split("\n") if y.strip()}) for h, ts in texts.items()}
+    got = {r["doc_id"]: r for r in lines.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_limit=5, line_share=0.04, least_left=0.6).collect()}
+    assert len({r["kept"] for r in got.values()}) == 2
+    for i, t, h in rows:
+        full = [y for y in t.split("\n") if y.strip()]
+        gone = sum(len(y) for y in full if held[h][norm(y)] > max(5, 0.04 * len(texts[h])))
+        kept = not got[i]["base_failed"] and (not gone or sum(map(len, full)) - gone >= 0.6 * sum(map(len, full)))
+        assert (got[i]["n_boilerplate_chars"], got[i]["kept"]) == (gone, kept)
+
+
 def test_quality_odd_rows(spark, odd_documents):
     rows = lines.quality(odd_documents).collect()
     assert len(rows) == 8 and not any(r["kept"] for r in rows)
@@ -451,13 +676,37 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     assert topk.top_k(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_large_integers_stay_exact(spark):
+    """Products beyond the 53 bits of a double are told apart; beyond 64 bits they are refused."""
+    rng = np.random.default_rng(11)
+    v = [(0, [3e7, 1 / 64]), (1, [3e7, 1 / 64]), (2, [3e7, 2 / 64]), (3, [-3e7, 0.0]), (3, [-3e7, 0.0])] + [(i, [float(x) for x in rng.integers(-(10**6), 10**6, 2)]) for i in range(4, 40)]
+    rows = topk.integer_vectors(spark.createDataFrame(v, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS v", "3 AS score", "4 AS query"))
+    exact = [(i, [int(np.floor(64 * c)) for c in x]) for i, x in v]
+    for q in (0, 20):
+        own = next(x for i, x in exact if i == q)
+        want = sorted(((sum(a * b for a, b in zip(own, x, strict=True)), i) for i, x in exact if i != q), key=lambda x: (-x[0], x[1]))[:20]
+        got = topk.top_k(rows, rows.where(F.col("id") == q), k=20).orderBy("rank").collect()
+        assert [(r["score"], r["vec_id"]) for r in got] == want
+    big = topk.integer_vectors(spark.createDataFrame([(0, [4e9, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(big, big)
+
+
+def test_queries_in_several_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = topk.integer_vectors(spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)], "vec_id long, embedding array<double>"))
+    whole = sorted(map(tuple, topk.top_k(rows, rows.where("id % 5 = 0"), k=3).collect()))
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    assert sorted(map(tuple, topk.top_k(rows, rows.where("id % 5 = 0"), k=3).collect())) == whole and len(whole) == 120
+
+
 # --- 10 mixing
 
 
 def test_raked_weights_meet_their_targets(spark):
     rows = [(s, lang, t, int(100 * (1 + i) ** 1.5)) for i, (s, lang, t) in enumerate((s, lang, t) for s in "abc" for lang in ("en", "fr") for t in ("x", "y"))]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
-    raked = mixing.rake(cells, ["source", "lang", "topic"], power=0.5, rounds=20).toPandas()
+    raked = mixing.rake(cells, ["source", "lang", "topic"], power=0.5, rounds=12).toPandas()
     total = raked.tokens.sum()
     assert abs(raked.weight.sum() - total) < 1e-6 * total
     for d in ("source", "lang", "topic"):
@@ -465,9 +714,17 @@ def test_raked_weights_meet_their_targets(spark):
         assert np.allclose(raked.groupby(d).weight.sum() / total, share / share.sum(), rtol=1e-4)
 
 
-def test_kept_share_follows_the_probability(spark, sf):
+def test_kept_tokens_meet_the_stated_share(spark, sf):
     rows = queries.op10_raked_mix(spark, sf).toPandas()
-    assert rows.probability.between(0, 1).all() and abs(rows.kept.mean() - rows.probability.mean()) < 0.12
+    assert rows.probability.between(0, 1).all() and (rows.probability * rows.tokens).sum() == pytest.approx(mixing.KEPT_SHARE * rows.tokens.sum(), rel=1e-6)
+    c = (rows.probability / rows.rate)[rows.probability < 1]
+    assert np.allclose(c, c.iloc[0], rtol=1e-5) and (rows.rate * c.iloc[0] >= 1)[rows.probability == 1].all()
+
+
+def test_topics(spark):
+    texts = ["Released under the MIT License.", "write to a@b.org or phone", "token = 1 at http://x", "licence and password and secret", "plain words", "12 34 56", "a | b", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(mixing.topic(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["legal", "contact", "technical", "technical", "prose", "figures", "markup", "empty", "empty"]
 
 
 def test_mixing_odd_rows(spark, odd_documents):
@@ -481,6 +738,8 @@ def test_a_rare_cell_does_not_shrink_the_mix(spark):
     rows = [(i, f"some words of a document {'x' * (i % 7)}", "en", "ab"[i % 2]) for i in range(2000)] + [(5000, "12 34 56 78", "fr", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     taken = mixing.mixed_documents(docs).groupBy("doc_id").count().collect()
-    rate = {r["doc_id"]: r["rate"] for r in mixing.mix(docs).collect()}
+    mix = mixing.mix(docs).collect()
+    rate = {r["doc_id"]: r["rate"] for r in mix}
+    assert abs(sum(r["tokens"] * r["kept"] for r in mix) / sum(r["tokens"] for r in mix) - mixing.KEPT_SHARE) < 0.03
     assert len(taken) > 0.95 * len(rows) and abs(sum(r["count"] for r in taken) - sum(rate.values())) < 0.02 * len(rows)
     assert all(int(rate[r["doc_id"]]) <= r["count"] <= int(rate[r["doc_id"]]) + 1 for r in taken) and rate[5000] > 2
