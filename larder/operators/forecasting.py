@@ -93,19 +93,24 @@ def _regressor(params: Mapping) -> GBTRegressor:
 
 
 def train_horizons(df: DataFrame, params: Mapping | None = None, horizons: Sequence[int] = HORIZONS, numeric: Sequence[str] = tuple(NUMERIC), categorical: Sequence[str] = tuple(CATEGORICAL), parallel: int = PARALLEL) -> dict[int, PipelineModel]:
-    """One boosted regressor with absolute loss per horizon.
+    """One boosted regressor with absolute loss per horizon; a horizon without labelled rows has none.
 
     Features are indexed and assembled once; the horizons' models are fitted side by side, as their many small jobs leave a
     cluster idle one after another.
     """
     assembler = _assembler(numeric, categorical).fit(filled := fill_features(df))
     rows = assembler.transform(filled).select(*SERIES, "date", "target", "__features").persist()
+
+    def fit(h: int):
+        labelled = horizon_dataset(rows, h).select("__features", F.col("target_h").cast("double").alias("__label"))
+        return None if labelled.isEmpty() else _regressor(params or {}).fit(labelled)
+
     try:
         with ThreadPool(max(1, min(parallel, len(horizons)))) as pool:
-            fitted = pool.map(lambda h: _regressor(params or {}).fit(horizon_dataset(rows, h).select("__features", F.col("target_h").cast("double").alias("__label"))), horizons)
+            fitted = pool.map(fit, horizons)
     finally:
         rows.unpersist()
-    return {h: PipelineModel([*assembler.stages, m]) for h, m in zip(horizons, fitted, strict=True)}
+    return {h: PipelineModel([*assembler.stages, m]) for h, m in zip(horizons, fitted, strict=True) if m is not None}
 
 
 def predict(model: PipelineModel, df: DataFrame, into: str = "forecast") -> DataFrame:
@@ -122,9 +127,9 @@ def walk_forward_eval(df: DataFrame, params: Mapping | None = None, folds: Seque
         for fold in [r["fold"] for r in fold_counts(folded).where("n_train > 0 AND n_val > 0").orderBy("fold").collect()]:
             train, val = (folded.where((F.col("fold") == fold) & (F.col("part") == p)).drop("fold", "part") for p in ("train", "val"))
             models = train_horizons(train, params, horizons, **columns)
-            with ThreadPool(max(1, min(PARALLEL, len(models)))) as pool:
+            with ThreadPool(PARALLEL) as pool:
                 scored = pool.map(lambda m, val=val: forecast_metrics(predict(m[1], horizon_dataset(val, m[0])), [], "target_h").first(), models.items())
-            out += [(fold, h, r["wape"], r["rmse"], r["bias"], r["n"]) for h, r in zip(models, scored, strict=True)]
+            out += [(fold, h, r["wape"], r["rmse"], r["bias"], r["n"]) for h, r in zip(models, scored, strict=True) if r["n"]]
     finally:
         folded.unpersist()
     return df.sparkSession.createDataFrame(out, "fold int, horizon int, wape double, rmse double, bias double, n bigint")

@@ -152,10 +152,12 @@ def _importance(r: Retail, params: Mapping | None = None, horizons: Sequence[int
     return out
 
 
-def _importance_report(r: Retail, params: Mapping | None = None, **columns) -> DataFrame:
-    """The report on the first horizon's model, fitted on the best fold's training rows."""
-    folded = fc.of_best_fold(fc.walk_forward_folds(r.feat_matrix(), FOLDS))
+def _importance_report(r: Retail, params: Mapping | None = None, folds: Sequence = FOLDS, **columns) -> DataFrame:
+    """The report on the first horizon's model, fitted on the best fold's training rows; no row if no fold has rows to validate on."""
+    folded = fc.of_best_fold(fc.walk_forward_folds(r.feat_matrix(), folds))
     train = folded.where("part = 'train'").drop("fold", "part").persist()
+    if train.isEmpty():
+        return r.spark.createDataFrame([], "scope string, feature string, value double")
     (model,) = fc.train_horizons(train, params, (1,), **columns).values()
     return fc.importance_report(model, train, **({"features": columns["numeric"]} if "numeric" in columns else {}))
 
@@ -164,9 +166,9 @@ def _importance_report(r: Retail, params: Mapping | None = None, **columns) -> D
 SPACE = {"maxDepth": (2, 3, 4, 5), "stepSize": (0.05, 0.1, 0.2), "minInstancesPerNode": (1, 5, 20), "subsamplingRate": (0.5, 0.8, 1.0), "featureSubsetStrategy": ("0.5", "0.8", "all")}
 
 
-def _tuned(r: Retail, trials: int = 2, horizons: Sequence[int] = fc.HORIZONS, fixed: Mapping | None = None, **columns) -> DataFrame:
+def _tuned(r: Retail, trials: int = 2, horizons: Sequence[int] = fc.HORIZONS, fixed: Mapping | None = None, folds: Sequence = FOLDS, **columns) -> DataFrame:
     """A search over `trials` draws; the number is what a search may spend, not a cut of the data."""
-    return fc.tune(r.feat_matrix(), {**SPACE, **{k: (v,) for k, v in (fixed or {}).items()}}, trials, FOLDS, horizons, **columns)
+    return fc.tune(r.feat_matrix(), {**SPACE, **{k: (v,) for k, v in (fixed or {}).items()}}, trials, folds, horizons, **columns)
 
 
 def _daily_bias(r: Retail) -> DataFrame:
