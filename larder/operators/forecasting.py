@@ -93,7 +93,7 @@ def _regressor(params: Mapping) -> GBTRegressor:
 
 
 def train_horizons(df: DataFrame, params: Mapping | None = None, horizons: Sequence[int] = HORIZONS, numeric: Sequence[str] = tuple(NUMERIC), categorical: Sequence[str] = tuple(CATEGORICAL), parallel: int = PARALLEL) -> dict[int, PipelineModel]:
-    """One boosted regressor with absolute loss per horizon; a horizon without labelled rows has none.
+    """One boosted regressor with absolute loss per horizon; a horizon with fewer labelled rows than a feature has categories has none (trees refuse those).
 
     Features are indexed and assembled once; the horizons' models are fitted side by side, as their many small jobs leave a
     cluster idle one after another.
@@ -101,9 +101,11 @@ def train_horizons(df: DataFrame, params: Mapping | None = None, horizons: Seque
     assembler = _assembler(numeric, categorical).fit(filled := fill_features(df))
     rows = assembler.transform(filled).select(*SERIES, "date", "target", "__features").persist()
 
+    least = max((len(x) + 1 for x in assembler.stages[0].labelsArray), default=1) if categorical else 1
+
     def fit(h: int):
         labelled = horizon_dataset(rows, h).select("__features", F.col("target_h").cast("double").alias("__label"))
-        return None if labelled.isEmpty() else _regressor(params or {}).fit(labelled)
+        return None if labelled.limit(least).count() < least else _regressor(params or {}).fit(labelled)
 
     try:
         with ThreadPool(max(1, min(parallel, len(horizons)))) as pool:
