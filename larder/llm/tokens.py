@@ -7,8 +7,13 @@ the pieces, put together, are those of the text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import sys
+import threading
+import time
 import types
 from itertools import chain, compress, islice
 
@@ -22,6 +27,7 @@ MEMO_PIECES = 500_000
 MEMO_CHARS = 48
 MEMO_LONG_CHARS = 8 << 20
 TOGETHER = 32
+IDLE_SECONDS = 3
 # Marks that end a word: both vocabularies make one of them after a letter a token of its own.
 ENDINGS = ",."
 
@@ -157,6 +163,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
+        self.used = time.monotonic()
         if len(self.index) > MEMO_PIECES:
             self._forget()
         rows = [self._pieces(t) if t else [] for t in texts]
@@ -179,11 +186,35 @@ class PieceEncoder:
 
 
 def worker_encoder(path: str) -> PieceEncoder:
-    """The encoder of this Python worker: its memo outlives a task, so later tasks of the worker start warm."""
+    """The encoder of this Python worker: its memo outlives a task, so later tasks of the worker start warm.
+
+    Workers outlive a stage too; an encoder that is not used for IDLE_SECONDS is let go, so that other stages have its memory.
+    """
     cache = sys.modules.setdefault("larder_worker_cache", types.ModuleType("larder_worker_cache")).__dict__.setdefault("encoders", {})
-    if path not in cache:
-        cache[path] = PieceEncoder(path)
-    return cache[path]
+    held = cache.get(path)
+    if held is None:
+        held = cache[path] = PieceEncoder(path)
+        _let_go_when_idle(cache, path)
+    held.used = time.monotonic()
+    return held
+
+
+def _let_go_when_idle(cache: dict, path: str) -> None:
+    def look():
+        if time.monotonic() - cache[path].used < IDLE_SECONDS:
+            wait()
+            return
+        del cache[path]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def wait():
+        timer = threading.Timer(IDLE_SECONDS, look)
+        timer.daemon = True
+        timer.start()
+
+    wait()
 
 
 def with_end(offsets: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
