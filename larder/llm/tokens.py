@@ -23,7 +23,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import ragged_arange
 
 CUT = re.compile(r"(?<=\S)(?:( )|(\n))(?=\S)")
-MEMO_PIECES = 500_000
+MEMO_PIECES = 250_000
 MEMO_CHARS = 48
 MEMO_LONG_CHARS = 8 << 20
 TOGETHER = 32
