@@ -14,7 +14,7 @@ import hashlib
 import re
 import sys
 import types
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ CUT = re.compile(r"(?<=\S)(?:( )|(\n))(?=\S)")
 ODD_END = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ɏ][,.](?=[ \n]|\Z)")
 PLAIN = re.compile(r" ?\S")
 BLANK = "▁"
-MEMO_PIECES = 150_000
-LEARN_TOGETHER = 4096
+MEMO_PIECES = 300_000
+LEARN_TOGETHER = 512
 CHUNK_CHARS = 1 << 20
 #: The most pairs that are sent to every executor: those that are more than such a share of all rows.
 HOT_PAIRS = 100_000
@@ -50,6 +50,20 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(BLANK, " ").encode() for i in range(model.get_piece_size())]
 
 
+def _merged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union and the intersection of two strictly rising arrays."""
+    every = np.sort(np.concatenate([x, y]), kind="stable")
+    twice = every[1:] == every[:-1]
+    return every[np.append(~twice, True)], every[1:][twice]
+
+
+def _holds(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values a rising array holds."""
+    if not len(x):
+        return np.zeros(len(values), bool)
+    return x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values
+
+
 def _strings(n: int) -> np.ndarray:
     return np.array([str(i) for i in range(n)], object)
 
@@ -73,6 +87,7 @@ class Aligner:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.texts: list[str] = []
+        self.fresh: list[tuple] = []
         self.counts = np.zeros((0, 4), np.int64)  # valid, tokens of a, tokens of b, groups
         self.start = self.size = self.uses = self.links = np.zeros(0, np.int64)
 
@@ -97,7 +112,8 @@ class Aligner:
         a, stop = np.array(found.ids, np.int64), np.fromiter(chain.from_iterable(found.offsets), np.int64)[1::2]
         pieces = self.b.encode(text if fresh else "\n" + text, return_type="proto").pieces
         lead = 1 if fresh else 2
-        b, end_b = np.array([p.id for p in pieces], np.int64)[lead:], np.array([p.end for p in pieces], np.int64)[lead:] + (1 - lead)
+        b, end_b = np.array([(p.id, p.end) for p in pieces], np.int64)[lead:].T
+        end_b = end_b + (1 - lead)
         if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != data or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != data:
             return None
         if len(data) > len(text):  # characters of several bytes: a token that ends within one is cut there
@@ -120,8 +136,8 @@ class Aligner:
         if fresh:
             stretch[1::2] = sizes
         ends = np.cumsum(stretch)
-        both = np.intersect1d(spans[1], spans[3]) if spans else np.zeros(0, np.int64)
-        if fresh and not np.isin(ends, both).all():  # one of them is not the tokenizers' own: each by itself
+        segments, both = _merged(spans[1], spans[3]) if spans else (ends, ends[:0])
+        if fresh and not _holds(both, ends).all():  # one of them is not the tokenizers' own: each by itself
             for p in pieces:
                 self._learn([p], False)
             return
@@ -129,7 +145,7 @@ class Aligner:
             self._add(pieces, np.zeros((1, 4), np.int64), [""], np.zeros(1, np.int64), np.zeros(0, np.int64))
             return
         a, end_a, b, end_b = spans
-        segments = np.union1d(end_a, end_b)  # each is the overlap of one token of a and one of b
+        # Each segment is the overlap of one token of a and one of b.
         links = a[np.searchsorted(end_a, segments)] << 32 | b[np.searchsorted(end_b, segments)]
         per = [np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (end_a, end_b, both, segments)]
         # Tokens by group, those of a first; each is followed by what stands between it and the next.
@@ -137,7 +153,7 @@ class Aligner:
         order = np.argsort(key, kind="stable")
         key, kind = key[order], key[order] & 1
         last = np.append(key[1:] != key[:-1], True)
-        closes = np.isin(both, ends)[key >> 1]
+        closes = _holds(ends, both)[key >> 1]
         mark = np.where(~last, ",", np.where(kind == 0, "|", np.where(closes, "\n", ";"))).astype(object)
         parts = np.empty(2 * len(order), object)
         parts[0::2], parts[1::2] = self.shown[np.concatenate([a, b])[order]], mark
@@ -153,11 +169,17 @@ class Aligner:
         for p in pieces:
             self.index[p] = len(self.index)
         self.texts += texts
+        self.fresh.append((counts, size, links))
+
+    def _gather(self) -> None:
+        """Puts what has been learned into the arrays."""
+        counts, size, links = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
+        self.fresh = []
         self.counts = np.concatenate([self.counts, counts])
         self.start = np.concatenate([self.start, len(self.links) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.links = np.concatenate([self.links, links])
-        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int64)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(size), np.int64)])
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text that begins with a blank or a line feed."""
@@ -187,45 +209,67 @@ class Aligner:
             at = m.start()
         return [*out, text[at:]]
 
-    def align(self, text: str) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
-        """(tokens of a, tokens of b, groups, links), the digest of the groups, and the linked id pairs with how often each is."""
-        totals, digest, found, times = np.zeros(4, np.int64), hashlib.sha256(), [], []
-        for chunk in self.chunks(" " + text) if text else []:
-            at = self._numbers(self.pieces(chunk))
-            counts = self.counts[at]
-            if not counts[:, 0].all():
-                totals[:] = 0
-                break
-            digest.update((";" * bool(totals[0]) + ";".join(map(self.texts.__getitem__, at.tolist()))).encode())
-            size = self.size[at]
-            links = self.links[np.repeat(self.start[at], size) + ragged_arange(size)]
-            totals += [*counts[:, 1:].sum(axis=0), len(links)]
-            own, n = np.unique(links, return_counts=True)
-            found.append(own)
-            times.append(n)
-        if not totals[0]:
-            return totals, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(found) > 1:
-            pairs, back = np.unique(np.concatenate(found), return_inverse=True)
-            return totals, digest.hexdigest(), pairs, np.bincount(back, np.concatenate(times)).astype(np.int64)
-        return totals, digest.hexdigest(), found[0], times[0]
-
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        known = self.index
-        fresh = {p: None for p in pieces if p not in known}
+    def align(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
+        """For each text (tokens of a, tokens of b, groups, links), the digest of the groups, and the linked id pairs with how often each is.
+
+        Texts go through the memo some together, so that their new pieces are learned at once.
+        """
+        out, digest, held = [], hashlib.sha256(), []
+        totals, valid, found, times = np.zeros(4, np.int64), True, [], []
+
+        def flush():
+            nonlocal totals, valid, digest, found, times, held
+            for (last, _), at in zip(held, self._numbers([pieces for _, pieces in held]), strict=True):
+                counts = self.counts[at]
+                valid = valid and bool(counts[:, 0].all())
+                if valid and len(at):
+                    digest.update((";" * bool(totals[0]) + ";".join(map(self.texts.__getitem__, at.tolist()))).encode())
+                    size = self.size[at]
+                    links = self.links[np.repeat(self.start[at], size) + ragged_arange(size)]
+                    totals += [*counts[:, 1:].sum(axis=0), len(links)]
+                    own, n = np.unique(links, return_counts=True)
+                    found.append(own)
+                    times.append(n)
+                if last:
+                    if not valid or not totals[0]:
+                        out.append((np.zeros(4, np.int64), "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    elif len(found) > 1:
+                        pairs, back = np.unique(np.concatenate(found), return_inverse=True)
+                        out.append((totals, digest.hexdigest(), pairs, np.bincount(back, np.concatenate(times)).astype(np.int64)))
+                    else:
+                        out.append((totals, digest.hexdigest(), found[0], times[0]))
+                    totals, valid, digest, found, times = np.zeros(4, np.int64), True, hashlib.sha256(), [], []
+            held = []
+
+        size = 0
+        for text in texts:
+            chunks = self.chunks(" " + text) if text else [""]
+            for k, chunk in enumerate(chunks):
+                held.append((k == len(chunks) - 1, self.pieces(chunk) if chunk else []))
+                size += len(chunk)
+                if size >= CHUNK_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return out
+
+    def _numbers(self, rows: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of the pieces of each row, after learning those that are new."""
+        fresh = {p: None for p in chain.from_iterable(rows) if p not in self.index}
         if fresh:
-            if len(known) + len(fresh) > MEMO_PIECES and known:
+            if len(self.index) + len(fresh) > MEMO_PIECES and self.index:
                 self._forget()
-                fresh = {p: None for p in pieces if p not in self.index}
+                fresh = {p: None for p in chain.from_iterable(rows) if p not in self.index}
             plain = [p for p in fresh if PLAIN.match(p) and p[-1:].strip()]
             for p in fresh.keys() - set(plain):
                 self._learn([p], False)
-            todo = iter(plain)
-            while some := list(islice(todo, LEARN_TOGETHER)):
-                self._learn(some, True)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+            for k in range(0, len(plain), LEARN_TOGETHER):
+                self._learn(plain[k : k + LEARN_TOGETHER], True)
+            self._gather()
+        counts = np.array([len(row) for row in rows], np.int64)
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(rows)), np.int64, int(counts.sum()))
         self.uses += np.bincount(at, minlength=len(self.uses))
-        return at
+        return np.split(at, np.cumsum(counts)[:-1])
 
 
 def worker_aligner(path_a: str, path_b: str) -> Aligner:
@@ -243,7 +287,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id",
     def run(batches):
         aligner = worker_aligner(path_a, path_b)
         for part in slices(batches, "text", 1 << 20):
-            totals, digests, pairs, times = zip(*map(aligner.align, part.column(1).to_pylist()), strict=True)
+            totals, digests, pairs, times = zip(*aligner.align(part.column(1).to_pylist()), strict=True)
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in pairs])]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), kind)) for x, kind in ((pairs, pa.int64()), (times, pa.int32()))]
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, np.array(totals).T), pa.array(digests), *lists], names=["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])

@@ -126,8 +126,8 @@ def test_groups_and_links_are_those_of_the_whole_text(paths, monkeypatch):
     rng = random.Random(4)
     words = ["the", "of", "and,", "über", "naïve.", "日本語", "x1", "can't", "Ünïcödé", "🜁", "...", "end."]
     prose = [" ".join(rng.choice(words) + rng.choice(["", "", "s", "ing"]) for _ in range(rng.randint(1, 300))) for _ in range(60)]
-    for text in odd_texts(3, 3000) + prose:
-        totals, digest, pairs, times = aligner.align(text)
+    texts = odd_texts(3, 3000) + prose
+    for text, (totals, digest, pairs, times) in zip(texts, aligner.align(texts), strict=True):
         counts, groups, links = brute_groups(aligner, text)
         assert tuple(totals.tolist()) == counts, text
         assert digest == (hashlib.sha256(groups.encode()).hexdigest() if counts[0] else "")
