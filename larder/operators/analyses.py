@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.scalars import bucket_of, ratio
+from larder.operators.ordering import quantile_columns
 from larder.operators.staging import tag
 
 
@@ -93,20 +94,31 @@ def union_reports(reports: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def _with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], named: dict[str, tuple[str, float]]) -> DataFrame:
+    """Statistics by key with exact quantiles beside them; NULL keys meet."""
+    own = quantile_columns(df, named, keys).withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = stats.join(own, on, "left") if keys else stats.join(F.broadcast(own))  # one row where there is no key
+    return joined.drop(*[f"__{k}" for k in keys])
+
+
 def describe_by(df: DataFrame, key: str, col: str) -> DataFrame:
     c = F.col(col).cast("double")
-    quarters = [F.percentile(c, F.lit(q)).alias(n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    return df.groupBy(key).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), *quarters, F.max(c).alias("most"))
+    stats = df.groupBy(key).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"))
+    found = _with_quantiles(stats, df, [key], {"p25": (col, 0.25), "p50": (col, 0.5), "p75": (col, 0.75)})
+    return found.select(key, "n", "mean", "std", "least", "p25", "p50", "p75", "most")
 
 
-def stats_by(df: DataFrame, keys: Sequence[str | Column], col: str, aggs: Sequence[str] = ("mean", "median", "std")) -> DataFrame:
+def stats_by(df: DataFrame, keys: Sequence[str], col: str, aggs: Sequence[str] = ("mean", "median", "std")) -> DataFrame:
     c = F.col(col).cast("double")
-    known = {"mean": F.avg(c), "median": F.median(c), "std": F.stddev_samp(c), "count": F.count(c), "sum": F.sum(c)}
-    return df.groupBy(*keys).agg(*[known[a].alias(a) for a in aggs])
+    known = {"mean": F.avg(c), "std": F.stddev_samp(c), "count": F.count(c), "sum": F.sum(c)}
+    stats = df.groupBy(*keys).agg(*[known[a].alias(a) for a in aggs if a in known])
+    return (_with_quantiles(stats, df, keys, {"median": (col, 0.5)}) if "median" in aggs else stats).select(*keys, *aggs)
 
 
 def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in cols])
+    """One row, a median a column; NULL where a column has no value."""
+    return quantile_columns(df, {c: (c, 0.5) for c in cols})
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None, log: bool = False) -> DataFrame:
@@ -115,7 +127,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None, lo
     keys = [by] if by else []
     rows = df.select(*keys, x.alias("x")).where("x IS NOT NULL")
     bounds = rows.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    joined = rows.join(bounds, by) if by else rows.join(F.broadcast(bounds))
+    # A NULL key is a group like others.
+    joined = rows.join(bounds.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by"))) if by else rows.join(F.broadcast(bounds))
     return joined.groupBy(*keys, bucket_of(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("n"))
 
 

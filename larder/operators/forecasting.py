@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import json
+import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from larder.functions.scalars import right_closed
+from larder.operators.encoding import TargetCodes, code_name, fit_codes, with_ordered_codes
 from larder.operators.features import CATEGORICAL, NUMERIC, SERIES, fill_features, horizon_label
+from larder.operators.ordering import quantile_columns
+from larder.sources.scratch import drop_written, written
 
 # Day offsets of the four folds, the first day being 1.
 FOLDS = ((1, 120, 121, 127), (2, 148, 149, 155), (3, 176, 177, 183), (4, 210, 211, 217))
@@ -82,9 +86,21 @@ def horizon_dataset(df: DataFrame, h: int) -> DataFrame:
     return horizon_label(df.where("target IS NOT NULL"), h).where("target_h IS NOT NULL")
 
 
-def _assembler(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
-    stages = [StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep")] if categorical else []
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*numeric, *(f"{c}__i" for c in categorical)], outputCol="__features")])
+@dataclass
+class HorizonModel:
+    """A boosted model of one horizon, with the codes of its categories; features are the assembler's inputs, in their order."""
+
+    codes: TargetCodes
+    assembler: VectorAssembler
+    regressor: GBTRegressionModel
+
+    @property
+    def features(self) -> list[str]:
+        return self.assembler.getInputCols()
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with its features' codes and vector and the model's __prediction."""
+        return self.regressor.transform(self.assembler.transform(self.codes.apply(df)))
 
 
 def _regressor(params: Mapping) -> GBTRegressor:
@@ -92,67 +108,150 @@ def _regressor(params: Mapping) -> GBTRegressor:
     return GBTRegressor(featuresCol="__features", labelCol="__label", predictionCol="__prediction", **settings)
 
 
-def train_horizons(df: DataFrame, params: Mapping | None = None, horizons: Sequence[int] = HORIZONS, numeric: Sequence[str] = tuple(NUMERIC), categorical: Sequence[str] = tuple(CATEGORICAL), parallel: int = PARALLEL) -> dict[int, PipelineModel]:
-    """One boosted regressor with absolute loss per horizon; a horizon with fewer labelled rows than a feature has categories has none (trees refuse those).
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.select("__features", F.col("target_h").cast("double").alias("__label"))
 
-    Features are indexed and assembled once; the horizons' models are fitted side by side, as their many small jobs leave a
-    cluster idle one after another.
-    """
-    assembler = _assembler(numeric, categorical).fit(filled := fill_features(df))
-    rows = assembler.transform(filled).select(*SERIES, "date", "target", "__features").persist()
 
-    least = max((len(x) + 1 for x in assembler.stages[0].labelsArray), default=1) if categorical else 1
+@dataclass
+class TrainingRows:
+    """Assembled training rows (keys, date, target, __features), built once for all that is fitted on them."""
+
+    codes: TargetCodes
+    assembler: VectorAssembler
+    rows: DataFrame
 
-    def fit(h: int):
-        labelled = horizon_dataset(rows, h).select("__features", F.col("target_h").cast("double").alias("__label"))
-        return None if labelled.limit(least).count() < least else _regressor(params or {}).fit(labelled)
+    def fit(self, params: Mapping, h: int, stop_by: DataFrame | None = None) -> HorizonModel | None:
+        """The model of a horizon; None where no row has a label there.  stop_by: labelled rows whose error ends the fit early."""
+        labelled, regressor = _labelled(horizon_dataset(self.rows, h)), _regressor(params)
+        if labelled.isEmpty():
+            return None
+        if stop_by is not None and not stop_by.isEmpty():
+            labelled = labelled.withColumn("__stop", F.lit(False)).unionByName(_labelled(stop_by).withColumn("__stop", F.lit(True)))
+            regressor.setValidationIndicatorCol("__stop")
+        return HorizonModel(self.codes, self.assembler, regressor.fit(labelled))
 
+
+def training_rows(df: DataFrame, numeric: Sequence[str] = tuple(NUMERIC), categorical: Sequence[str] = tuple(CATEGORICAL)) -> TrainingRows:
+    """Numeric features as they are, categories of any number as ordered codes.  The rows are written to the shared folder."""
+    filled = fill_features(df)
+    codes = fit_codes(df, categorical)
+    coded = with_ordered_codes(filled, categorical) if categorical else filled
+    assembler = VectorAssembler(inputCols=[*numeric, *map(code_name, categorical)], outputCol="__features")
+    return TrainingRows(codes, assembler, written(assembler.transform(coded).select(*SERIES, "date", "target", "__features"), "training"))
+
+
+def train_horizons(df: DataFrame, params: Mapping | None = None, horizons: Sequence[int] = HORIZONS, numeric: Sequence[str] = tuple(NUMERIC), categorical: Sequence[str] = tuple(CATEGORICAL), parallel: int = PARALLEL) -> dict[int, HorizonModel]:
+    """One boosted regressor with absolute loss per horizon; a horizon without a labelled row has none.
+
+    Features are coded and assembled once; the horizons' models are fitted side by side, as their many small jobs leave a
+    cluster idle one after another.
+    """
+    rows = training_rows(df, numeric, categorical)
     try:
-        with ThreadPool(max(1, min(parallel, len(horizons)))) as pool:
-            fitted = pool.map(fit, horizons)
+        fitted = _side_by_side(lambda h: rows.fit(params or {}, h), horizons, parallel)
     finally:
-        rows.unpersist()
-    return {h: PipelineModel([*assembler.stages, m]) for h, m in zip(horizons, fitted, strict=True) if m is not None}
+        drop_written(rows.rows)
+    return {h: m for h, m in zip(horizons, fitted, strict=True) if m is not None}
 
 
-def predict(model: PipelineModel, df: DataFrame, into: str = "forecast") -> DataFrame:
+def _side_by_side(f: Callable, items: Sequence, parallel: int = PARALLEL) -> list:
+    with ThreadPool(max(1, min(parallel, len(items)))) as pool:
+        return pool.map(f, items)
+
+
+def predict(model: HorizonModel, df: DataFrame, into: str = "forecast") -> DataFrame:
     """df with a forecast, never below 0."""
     rows = model.transform(fill_features(df))
     return rows.withColumn(into, F.greatest("__prediction", F.lit(0.0))).select(*df.columns, into)
 
 
+@dataclass
+class Fold:
+    """A fold's assembled rows: features are coded by its training part alone, once for all models that are fitted or scored."""
+
+    number: int
+    train: TrainingRows
+    val: DataFrame
+
+    def score(self, params: Mapping, h: int, stop: bool = False) -> Row | None:
+        """(wape, rmse, bias, n) of a model of horizon h on the validation part; None where it has no row, or no model.
+
+        stop: no more trees once they do not help on the validation part.  Labels are taken after the split.
+        """
+        val = horizon_dataset(self.val, h)
+        model = self.train.fit(params, h, val if stop else None)
+        if model is None:
+            return None
+        rows = model.regressor.transform(val).withColumn("forecast", F.greatest("__prediction", F.lit(0.0)))
+        found = forecast_metrics(rows, [], "target_h").first()
+        return found if found["n"] else None
+
+
+def prepared_folds(df: DataFrame, folds: Sequence, numeric: Sequence[str] = tuple(NUMERIC), categorical: Sequence[str] = tuple(CATEGORICAL)) -> list[Fold]:
+    """The folds that have rows in both parts, in their order."""
+    folded, out = written(walk_forward_folds(df, folds), "folds"), []
+    for fold in [r["fold"] for r in fold_counts(folded).where("n_train > 0 AND n_val > 0").orderBy("fold").collect()]:
+        train, val = (folded.where((F.col("fold") == fold) & (F.col("part") == p)).drop("fold", "part") for p in ("train", "val"))
+        rows = training_rows(train, numeric, categorical)
+        seen = rows.assembler.transform(rows.codes.apply(fill_features(val))).select(*SERIES, "date", "target", "__features")
+        out.append(Fold(fold, rows, written(seen, "validation")))
+    drop_written(folded)
+    return out
+
+
+def _drop_folds(folds: Sequence[Fold]) -> None:
+    for f in folds:
+        for table in (f.train.rows, f.val, *([f.train.codes.table] if f.train.codes.columns else [])):
+            drop_written(table)
+
+
 def walk_forward_eval(df: DataFrame, params: Mapping | None = None, folds: Sequence = FOLDS, horizons: Sequence[int] = HORIZONS, **columns) -> DataFrame:
-    """(fold, horizon, wape, rmse, bias, n): models fitted anew in each fold.  Labels are taken after the split.  A row a model is gathered."""
-    folded = walk_forward_folds(df, folds).persist()
-    out: list[tuple] = []
+    """(fold, horizon, wape, rmse, bias, n): models fitted anew in each fold, side by side.  A row a model is gathered."""
+    prepared = prepared_folds(df, folds, **columns)
     try:
-        for fold in [r["fold"] for r in fold_counts(folded).where("n_train > 0 AND n_val > 0").orderBy("fold").collect()]:
-            train, val = (folded.where((F.col("fold") == fold) & (F.col("part") == p)).drop("fold", "part") for p in ("train", "val"))
-            models = train_horizons(train, params, horizons, **columns)
-            with ThreadPool(PARALLEL) as pool:
-                scored = pool.map(lambda m, val=val: forecast_metrics(predict(m[1], horizon_dataset(val, m[0])), [], "target_h").first(), models.items())
-            out += [(fold, h, r["wape"], r["rmse"], r["bias"], r["n"]) for h, r in zip(models, scored, strict=True) if r["n"]]
+        todo = [(f, h) for f in prepared for h in horizons]
+        scored = _side_by_side(lambda x: x[0].score(params or {}, x[1]), todo)
     finally:
-        folded.unpersist()
+        _drop_folds(prepared)
+    out = [(f.number, h, r["wape"], r["rmse"], r["bias"], r["n"]) for (f, h), r in zip(todo, scored, strict=True) if r]
     return df.sparkSession.createDataFrame(out, "fold int, horizon int, wape double, rmse double, bias double, n bigint")
 
 
-def tune(df: DataFrame, space: Mapping[str, Sequence], trials: int, folds: Sequence = FOLDS, horizons: Sequence[int] = HORIZONS, seed: int = 42, **columns) -> DataFrame:
-    """(trial, settings, wape, best): the mean WAPE over folds and horizons of seeded random draws from `space`, settings as JSON; `best` marks the least, the first of equal ones."""
-    rng, out = random.Random(seed), []
-    for trial in range(trials):
-        params = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
-        wape = walk_forward_eval(df, params, folds, horizons, **columns).agg(F.avg("wape")).first()[0]
-        out.append((trial, json.dumps(params, sort_keys=True), wape))
-    least = min((x for x in out if x[2] is not None), key=lambda x: (x[2], x[0]), default=None)
-    return df.sparkSession.createDataFrame([(*x, x is least) for x in out], "trial int, settings string, wape double, best boolean")
+def tune(df: DataFrame, space: Mapping[str, Sequence], trials: int, folds: Sequence = FOLDS, horizons: Sequence[int] = HORIZONS, seed: int = 42, trees: int = 20, keep: int = 3, **columns) -> DataFrame:
+    """(trial, settings, rung, trees, wape, best) of a search by successive halving over seeded draws from `space`.
+
+    All draws are fitted with few trees on the latest fold's first horizon; the better one in `keep` goes on with `keep` times
+    the trees, and so on.  The last `keep` or fewer are fitted with all `trees` on every fold and horizon, and `best` marks the
+    least mean WAPE of these, the first of equal ones.  Fits stop early where trees no longer help on the validation part.
+    A draw has a row for the rung that it reached.  Features are coded and assembled once for all fits.
+    """
+    rng = random.Random(seed)
+    draws = {t: {k: rng.choice(list(v)) for k, v in sorted(space.items())} for t in range(trials)}
+    sizes = [trials]
+    while sizes[-1] > keep:
+        sizes.append(max(1, math.ceil(sizes[-1] / keep)))
+    prepared, out, left = prepared_folds(df, folds, **columns), {}, list(draws)
+    try:
+        for rung, _ in enumerate(sizes):
+            last = rung == len(sizes) - 1
+            n = max(1, round(trees / keep ** (len(sizes) - 1 - rung)))
+            scope = [(f, h) for f in prepared for h in horizons] if last else [(f, h) for f in prepared[-1:] for h in horizons[:1]]
+            todo = [(t, f, h) for t in left for f, h in scope]
+            scored = _side_by_side(lambda x, n=n: x[1].score({**draws[x[0]], "maxIter": n}, x[2], stop=True), todo)
+            for t in left:
+                own = [r["wape"] for (u, *_), r in zip(todo, scored, strict=True) if u == t and r and r["wape"] is not None]
+                out[t] = (t, json.dumps(draws[t], sort_keys=True), rung, n, sum(own) / len(own) if own else None)
+            left = sorted(left, key=lambda t: (out[t][4] is None, out[t][4], t))
+            left = left[: sizes[rung + 1]] if not last else left
+    finally:
+        _drop_folds(prepared)
+    best = left[0] if left and out[left[0]][4] is not None else None
+    return df.sparkSession.createDataFrame([(*out[t], t == best) for t in sorted(out)], "trial int, settings string, rung int, trees int, wape double, best boolean")
 
 
 def demand_levels(train: DataFrame, col: str = "target") -> list[float]:
     """Median and upper quartile of the training demand."""
-    c = F.col(col).cast("double")
-    row = train.agg(F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75))).first()
-    return [row[0], row[1]]
+    return list(quantile_columns(train, {"a": (col, 0.5), "b": (col, 0.75)}).select("a", "b").first())
 
 
 def segment_errors(scored: DataFrame, edges: Sequence[float], segments: Sequence[str] = ("category", "store_type", "day_of_week", "has_discount")) -> DataFrame:
@@ -163,25 +262,24 @@ def segment_errors(scored: DataFrame, edges: Sequence[float], segments: Sequence
     return forecast_metrics(rows, ["segment", "value"])
 
 
-def feature_importance(model: PipelineModel, df: DataFrame, top: int = 20) -> DataFrame:
+def feature_importance(model: HorizonModel, df: DataFrame, top: int = 20) -> DataFrame:
     """(feature, importance) of the ensemble's splits, the greatest first."""
-    names = model.stages[-2].getInputCols()
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(names, values, strict=True), key=lambda x: (-x[1], x[0]))[:top]
+    values = model.regressor.featureImportances.toArray().tolist()
+    rows = sorted(zip(model.features, values, strict=True), key=lambda x: (-x[1], x[0]))[:top]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def occlusion(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
+def occlusion(model: HorizonModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(keys, date, feature, effect): how far each row's forecast moves when a numeric feature takes its mean instead."""
     rows = fill_features(df)
     means = F.broadcast(rows.agg(*[F.avg(f).alias(f"__m_{f}") for f in features]))
-    rows = model.transform(rows).withColumnRenamed("__prediction", "__base").drop(*[c for c in ("__features",) if c], *[f"{c}__i" for c in CATEGORICAL]).join(means)
+    rows = model.transform(rows).withColumnRenamed("__prediction", "__base").drop("__features", *map(code_name, model.codes.columns)).join(means)
     rows = rows.withColumn("feature", F.explode(F.array(*map(F.lit, features))))
     rows = rows.withColumns({f: F.when(F.col("feature") == f, F.col(f"__m_{f}")).otherwise(F.col(f)) for f in features})
     return model.transform(rows).select(*SERIES, "date", "feature", F.abs(F.col("__prediction") - F.col("__base")).alias("effect"))
 
 
-def importance_report(model: PipelineModel, df: DataFrame, features: Sequence[str] = tuple(NUMERIC), *, sample: int = 500, top: int = 20, worst: int = 50, worst_top: int = 5) -> DataFrame:
+def importance_report(model: HorizonModel, df: DataFrame, features: Sequence[str] = tuple(NUMERIC), *, sample: int = 500, top: int = 20, worst: int = 50, worst_top: int = 5) -> DataFrame:
     """(scope, feature, value): mean effects over a bounded hash sample of rows.
 
     scope 'global': the `top` features; 'worst': the `worst_top` features over the `worst` rows that move most; 'top_feature':
@@ -206,7 +304,7 @@ def importance_report(model: PipelineModel, df: DataFrame, features: Sequence[st
     return out
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
+def permutation_importance(model: HorizonModel, df: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
     """(feature, wape_increase): how much the error grows when a column's values are dealt to other rows.
 
     The column is shifted within random blocks of rows, so no task ever holds all of them.
@@ -233,7 +331,7 @@ def _stamped(rows: DataFrame, h: Column, forecast: Column, version: str) -> Data
     return joined.select(*SERIES, F.col("__made").alias("forecast_generated_date"), h.alias("horizon_day"), F.date_add("__made", h).alias("forecast_date"), F.round(F.greatest(forecast, F.lit(0.0)), 4).alias("predicted_quantity"), F.lit(version).alias("model_version"), F.col("date").alias("last_date"))
 
 
-def generate_forecasts(models: Mapping[int, PipelineModel], df: DataFrame, version: str = "gbt_v1") -> DataFrame:
+def generate_forecasts(models: Mapping[int, HorizonModel], df: DataFrame, version: str = "gbt_v1") -> DataFrame:
     rows, out = inference_rows(df), None
     for h, model in sorted(models.items()):
         part = _stamped(predict(model, rows), F.lit(h), F.col("forecast"), version)

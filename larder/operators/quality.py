@@ -110,6 +110,16 @@ def coverage_audit(tables: Mapping[str, tuple[DataFrame, str]], start: str | Non
     return rows.groupBy("table").agg(F.min(have).alias("first_date"), F.max(have).alias("last_date"), F.count("present").alias("n_dates"), F.count_if(F.col("present").isNull()).alias("n_missing"))
 
 
+def coverage_of_dates(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, first_date, last_date, n_dates, n_missing, n_rows) of tables given by the (date_day, rows) of their folders; rows are not scanned."""
+    audit = coverage_audit({name: (df, "date_day") for name, df in tables.items()})
+    parts = [df.agg(F.lit(name).alias("table"), F.sum("rows").alias("n_rows")) for name, df in tables.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return audit.join(F.broadcast(rows), "table")  # one row a table
+
+
 def missing_days(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """(date_day, table) that a table lacks between the first and the last day of any."""
     parts = [df.select(F.lit(name).alias("table"), F.col(c).alias("date_day")).where("date_day IS NOT NULL").distinct() for name, (df, c) in tables.items()]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.scalars import at_least, effective_lead
 from larder.operators.analyses import medians, top_n
+from larder.operators.ordering import with_rank
 from larder.operators.staging import latest_rows, trailing_days
 
 
@@ -22,7 +23,7 @@ def latest_inventory(inventory: DataFrame) -> DataFrame:
 def stockout_risk(inventory: DataFrame, demand: DataFrame, products: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Replenishment days less days of stock, for each row of the latest inventory; ranked, unknown scores last.
 
-    Unknown quantities count as 0, so that a pair without a count ranks as out of stock.  No demand means infinitely many days of stock.  The rank window has one partition: it holds one snapshot's pairs.
+    Unknown quantities count as 0, so that a pair without a count ranks as out of stock.  No demand means infinitely many days of stock.  Ranks are found in ranges, so a snapshot of any size is never in one task.
     """
     rows = (
         inventory.select("store_id", "product_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("quantity_on_hand", "reorder_point", "quantity_on_order")], "is_out_of_stock", "needs_reorder")
@@ -34,9 +35,9 @@ def stockout_risk(inventory: DataFrame, demand: DataFrame, products: DataFrame,
     stock = F.when(F.col("avg_daily_demand") > 0, at_least(F.col("quantity_on_hand"), 0) / F.col("avg_daily_demand")).otherwise(F.lit(float("inf")))
     rows = rows.withColumns({"days_of_stock_remaining": stock, "expected_replenishment_days": effective_lead(F.col("avg_actual_lead_time_days"), F.col("calculated_on_time_rate"))})
     rows = rows.withColumn("risk_score", F.col("expected_replenishment_days") - F.col("days_of_stock_remaining"))
-    order = Window.orderBy(F.desc_nulls_last("risk_score"), "store_id", "product_id")
-    return rows.select(
-        F.row_number().over(order).alias("risk_rank"), "store_id", "product_id", "product_name", "category", "supplier_id", "supplier_name", "quantity_on_hand", "reorder_point", "quantity_on_order", "avg_daily_demand",
+    ranked = with_rank(rows, [F.desc_nulls_last("risk_score"), F.asc("store_id"), F.asc("product_id")], "risk_rank")
+    return ranked.select(
+        "risk_rank", "store_id", "product_id", "product_name", "category", "supplier_id", "supplier_name", "quantity_on_hand", "reorder_point", "quantity_on_order", "avg_daily_demand",
         "days_of_stock_remaining", "avg_actual_lead_time_days", "calculated_on_time_rate", "expected_replenishment_days", "risk_score", "is_out_of_stock", "needs_reorder",
     )
 

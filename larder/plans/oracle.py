@@ -177,6 +177,15 @@ SQL: dict[str, str] = {
     "eda_stockout_rate": "SELECT category, avg(coalesce(is_out_of_stock, false)::INTEGER) AS mean, count(*) AS count FROM fct_inventory_snapshots GROUP BY category",
     "eda_discount": "SELECT coalesce((total_discount_amount > 0)::INTEGER, 0) AS has_discount, avg(total_quantity_sold) AS mean, median(total_quantity_sold) AS median, count(*) AS count FROM fct_daily_sales GROUP BY 1",
     "labelled": f"SELECT *, lead(q) OVER ({_S}) AS target FROM series",
+    "code_values": "SELECT 'store_id' AS c, store_id AS g, date, q::DOUBLE AS v FROM labelled UNION ALL SELECT 'product_id', product_id, date, q FROM labelled UNION ALL SELECT 'region', coalesce(region, ''), date, q FROM labelled",
+    "code_days": "SELECT c, g, date, sum(v) AS t, count(v) AS n FROM code_values WHERE v IS NOT NULL GROUP BY ALL",
+    "code_all": "SELECT c, date, sum(sum(t)) OVER w AS all_t, sum(sum(n)) OVER w AS all_n FROM code_days GROUP BY c, date WINDOW w AS (PARTITION BY c ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "code_rows": """SELECT c, g, date, (coalesce(own_t, 0) + 10 * coalesce(all_t / all_n, 0)) / (coalesce(own_n, 0) + 10) AS code
+      FROM (SELECT *, sum(t) OVER w AS own_t, sum(n) OVER w AS own_n FROM code_days WINDOW w AS (PARTITION BY c, g ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) JOIN code_all USING (c, date)""",
+    "feat_codes": """SELECT l.date, store_id, product_id, x.code AS store_id__code, y.code AS product_id__code, z.code AS region__code FROM labelled l
+      JOIN code_rows x ON x.c = 'store_id' AND x.g = store_id AND x.date = l.date JOIN code_rows y ON y.c = 'product_id' AND y.g = product_id AND y.date = l.date
+      JOIN code_rows z ON z.c = 'region' AND z.g = coalesce(region, '') AND z.date = l.date""",
+    "codes_table": """SELECT c AS "column", g AS category, (sum(t) + 10 * (SELECT sum(v) / count(v) FROM code_values WHERE c = 'region')) / (sum(n) + 10) AS code FROM code_days GROUP BY c, g""",
     "folded": f"SELECT * FROM (SELECT *, CASE WHEN day <= te THEN 'train' WHEN day BETWEEN va AND vb THEN 'val' END AS part FROM (SELECT *, date_diff('day', min(date) OVER (), date) + 1 AS day FROM labelled WHERE target IS NOT NULL) CROSS JOIN ({_FOLD_ROWS})) WHERE part IS NOT NULL",
     "wf_folds": "SELECT fold, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'val') AS n_val FROM folded GROUP BY fold",
     "base_values": "SELECT fold, store_id, product_id, max(target) FILTER (k = 1) AS naive, coalesce(max(target) FILTER (k = 7), avg(target)) AS seasonal_naive, avg(target) AS rolling_mean FROM (SELECT *, row_number() OVER (PARTITION BY fold, store_id, product_id ORDER BY date DESC) AS k FROM folded WHERE part = 'train') WHERE k <= 7 GROUP BY ALL",
@@ -249,6 +258,8 @@ ROUNDED: dict[str, str] = {
     "feat_rolling": "roll_mean_7 roll_std_7 roll_mean_14 roll_std_14 roll_mean_28 roll_std_28",
     "feat_ewm": "ewm_mean_7 ewm_mean_14",
     "feat_trend": "demand_trend_14d",
+    "feat_codes": "store_id__code product_id__code region__code",
+    "codes_table": "code",
     "feat_promo": "discount_pct price_vs_30d_avg",
     "feat_inventory": "stockout_freq_14d",
     "feat_region": "region_avg_demand_7d",
@@ -276,7 +287,7 @@ ROUNDED: dict[str, str] = {
 }
 
 #: Helper models that are no queries themselves.
-_HELPERS = {*RAW, "held_dates", "series", "labelled", "folded", "base_values", "pair_forecast", "day_metrics"}
+_HELPERS = {*RAW, "folder_dates", "code_values", "code_days", "code_all", "code_rows", "held_dates", "series", "labelled", "folded", "base_values", "pair_forecast", "day_metrics"}
 
 
 SQL |= SINK_SQL

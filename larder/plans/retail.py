@@ -12,6 +12,7 @@ from larder.operators import features as ft
 from larder.operators import forecasting as fc
 from larder.operators import marts, monitoring, quality, reorder, risk
 from larder.operators import staging as st
+from larder.operators.encoding import code_name, fit_codes, with_ordered_codes
 from larder.sources.fixtures import raw
 
 #: Parameters of the queries.
@@ -147,7 +148,7 @@ def _importance(r: Retail, params: Mapping | None = None, horizons: Sequence[int
     """(horizon, feature, importance) of every feature in each horizon's model."""
     rows, out = r.feat_matrix().persist(), None
     for h, model in fc.train_horizons(rows, params, horizons, **columns).items():
-        part = fc.feature_importance(model, rows, len(model.stages[-2].getInputCols())).select(F.lit(h).alias("horizon"), "feature", "importance")
+        part = fc.feature_importance(model, rows, len(model.features)).select(F.lit(h).alias("horizon"), "feature", "importance")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -166,9 +167,19 @@ def _importance_report(r: Retail, params: Mapping | None = None, folds: Sequence
 SPACE = {"maxDepth": (2, 3, 4, 5), "stepSize": (0.05, 0.1, 0.2), "minInstancesPerNode": (1, 5, 20), "subsamplingRate": (0.5, 0.8, 1.0), "featureSubsetStrategy": ("0.5", "0.8", "all")}
 
 
-def _tuned(r: Retail, trials: int = 2, horizons: Sequence[int] = fc.HORIZONS, fixed: Mapping | None = None, folds: Sequence = FOLDS, **columns) -> DataFrame:
-    """A search over `trials` draws, with a quarter of the final fit's trees; both are what a search may spend, not a cut of the data."""
-    return fc.tune(r.feat_matrix(), {**SPACE, **{k: (v,) for k, v in {"maxIter": 5, **(fixed or {})}.items()}}, trials, folds, horizons, **columns)
+def _tuned(r: Retail, trials: int = 24, horizons: Sequence[int] = fc.HORIZONS, fixed: Mapping | None = None, folds: Sequence = FOLDS, trees: int = 20, **columns) -> DataFrame:
+    """A search over 24 draws; the finalists are fitted with the final fit's trees on every fold and horizon."""
+    return fc.tune(r.feat_matrix(), {**SPACE, **{k: (v,) for k, v in (fixed or {}).items()}}, trials, folds, horizons, trees=trees, **columns)
+
+
+def _codes(r: Retail) -> DataFrame:
+    """The ordered codes of every labelled row."""
+    columns = ("store_id", "product_id", "region")
+    return with_ordered_codes(r.labelled(), columns).select("date", "store_id", "product_id", *map(code_name, columns))
+
+
+def _final_codes(r: Retail) -> DataFrame:
+    return fit_codes(r.labelled(), ("store_id", "product_id", "region")).table
 
 
 def _daily_bias(r: Retail) -> DataFrame:
@@ -250,7 +261,7 @@ BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "feat_region": _features("region region_avg_demand_7d", ft.with_lags, ft.region_features),
     "wf_folds": lambda r: fc.fold_counts(r.folded()), "baselines": lambda r: fc.baselines(r.folded()), "forecast_metrics": lambda r: fc.forecast_metrics(fc.baselines(r.folded()), ["fold", "baseline"]),
     "segment_errors": _segments, "deploy_gate": _deploy_gate, "best_fold": lambda r: fc.best_fold(r.folded()),
-    "gbt_walk_forward": _gbt, "gbt_forecasts": _forecasts, "gbt_importance": _importance, "gbt_importance_report": _importance_report, "gbt_tune": _tuned,
+    "gbt_walk_forward": _gbt, "gbt_forecasts": _forecasts, "gbt_importance": _importance, "gbt_importance_report": _importance_report, "gbt_tune": _tuned, "feat_codes": _codes, "codes_table": _final_codes,
     "run_metadata": lambda r: fc.run_metadata(r.labelled(), model_version="rolling_mean_7"),
     "demand_std": lambda r: reorder.demand_std(r.labelled()), "tier_counts": lambda r: reorder.tier_counts(r.reorder()), "top_recs": lambda r: reorder.top_recs(r.reorder()),
     "ks_drift": _ks, "bias_drift": lambda r: monitoring.bias_drift(_daily_bias(r)), "wape_alarm": _wape_alarm, "missing_pairs": lambda r: monitoring.missing_pairs(r.stg_inventory(), "snapshot_date"),

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.plans.retail import Retail
-from larder.sources import io
+from larder.operators import quality
+from larder.sources import io, jdbc, manifest
 from larder.sources.scratch import fresh_path
 
 #: Days of the round trips.
-FROM, TO, SPLIT = "1996-03-01", "1996-08-31", "1998-06-01"
+FROM, TO, SPLIT, UNLISTED = "1996-03-01", "1996-08-31", "1998-06-01", "2031-01-01"
 
 
 def raw_csv(r: Retail) -> DataFrame:
@@ -51,10 +52,34 @@ def dim(r: Retail) -> DataFrame:
 def ingest(r: Retail) -> DataFrame:
     """An ingest of the first dates, another of all, which adds the rest only, and one that adds nothing: dates and rows."""
     rows, path = r.stg_sales(), fresh_path(r.spark, "ingest")
-    io.ingest_new_partitions(rows.where(F.col("sale_date") < SPLIT), path, "sale_date")
-    io.ingest_new_partitions(rows, path, "sale_date")
-    io.ingest_new_partitions(rows, path, "sale_date")
-    return io.read_mart(r.spark, path).groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count("*").alias("n"))
+    for part in (rows.where(F.col("sale_date") < SPLIT), rows, rows):
+        manifest.ingest_new_partitions(part, path, "sale_date")
+    return manifest.read_ingested(r.spark, path).groupBy("dt").agg(F.count("*").alias("n"))
+
+
+def verified(r: Retail) -> DataFrame:
+    """Every published date against its entry; one folder without an entry is there as well."""
+    rows, path = r.stg_transactions(), fresh_path(r.spark, "verify")
+    manifest.ingest_new_partitions(rows, path, "date")
+    io.write_mart(rows.limit(3), f"{path}/dt={UNLISTED}")
+    return manifest.verify_ingested(r.spark, path)
+
+
+def coverage(r: Retail) -> DataFrame:
+    """Coverage of three dated folders from their manifests: no data file is read."""
+    roots = {}
+    for name, rows, col in (("sales", r.stg_sales(), "sale_date"), ("inventory", r.stg_inventory(), "snapshot_date"), ("transactions", r.stg_transactions(), "date")):
+        roots[name] = fresh_path(r.spark, f"coverage-{name}")
+        manifest.ingest_new_partitions(rows, roots[name], col)
+    return quality.coverage_of_dates({name: manifest.published_dates(r.spark, root) for name, root in roots.items()})
+
+
+def database(r: Retail) -> DataFrame:
+    """A table of an embedded database in the session's JVM (so for sessions on one machine), written twice and read back in ranges."""
+    url, table = f"jdbc:derby:memory:{fresh_path(r.spark, 'db').rpartition('larder-')[2]};create=true", "items"
+    for rows in (r.stg_items().limit(5), r.stg_items()):
+        jdbc.write_jdbc(rows, url, table, rename="RENAME TABLE {0} TO {1}")
+    return jdbc.read_jdbc(r.spark, url, table, column='"item_nbr"', rows_a_part=500)
 
 
 def ingest_all(r: Retail) -> DataFrame:
@@ -82,7 +107,7 @@ def table(r: Retail) -> DataFrame:
     return io.read_table(r.spark, name)
 
 
-BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {"io_raw_csv": raw_csv, "io_text_table": text_table, "io_fact_days": fact_days, "io_mart": mart, "io_dim": dim, "io_ingest": ingest, "io_ingest_all": ingest_all, "io_dated": dated, "io_report": report, "io_table": table}
+BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {"io_raw_csv": raw_csv, "io_text_table": text_table, "io_fact_days": fact_days, "io_mart": mart, "io_dim": dim, "io_ingest": ingest, "io_ingest_all": ingest_all, "io_dated": dated, "io_report": report, "io_table": table, "io_verify": verified, "dq_coverage_folders": coverage, "io_jdbc": database}
 
 #: The same over the helper models of the oracle.
 SQL = {
@@ -96,4 +121,9 @@ SQL = {
     "io_dated": "SELECT store_id, '2025-01-02' AS dt FROM stg_stores UNION ALL SELECT store_id, '2025-01-01' FROM stg_stores WHERE store_id = '3'",
     "io_report": "SELECT store_id, store_name, region FROM stg_stores",
     "io_table": "SELECT * FROM stg_items",
+    "io_jdbc": "SELECT * FROM stg_items",
+    "io_verify": f"SELECT date::VARCHAR AS dt, count(*) AS rows, count(*) AS n_found, 'ok' AS status FROM stg_transactions GROUP BY 1 UNION ALL SELECT '{UNLISTED}', NULL, 3, 'unlisted'",
+    "dq_coverage_folders": """SELECT t AS "table", min(d) AS first_date, max(d) AS last_date, count(DISTINCT d) AS n_dates, date_diff('day', (SELECT min(d) FROM folder_dates), (SELECT max(d) FROM folder_dates)) + 1 - count(DISTINCT d) AS n_missing, count(*) AS n_rows
+      FROM folder_dates GROUP BY t""",
+    "folder_dates": "SELECT 'sales' AS t, sale_date AS d FROM stg_sales UNION ALL SELECT 'inventory', snapshot_date FROM stg_inventory UNION ALL SELECT 'transactions', date FROM stg_transactions",
 }

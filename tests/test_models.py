@@ -1,8 +1,12 @@
 """The registered model queries: what they ask for, and a small run."""
 
+import datetime
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from larder.operators import forecasting
+from larder.operators import encoding, forecasting
 from larder.operators.features import CATEGORICAL, NUMERIC
 from larder.plans import retail
 
@@ -42,7 +46,7 @@ def test_registered_models_use_every_fold_horizon_and_feature(spark, monkeypatch
 
 def test_small_importance_lists_each_horizon(spark):
     rows = retail._importance(retail.Retail(spark, SF), horizons=(1, 2), **SMALL).collect()
-    assert sorted((r["horizon"], r["feature"]) for r in rows) == [(h, f) for h in (1, 2) for f in ("lag_1", "lag_7", "store_id__i")]
+    assert sorted((r["horizon"], r["feature"]) for r in rows) == [(h, f) for h in (1, 2) for f in ("lag_1", "lag_7", "store_id__code")]
 
 
 def test_small_report_names_top_worst_and_ratio(spark):
@@ -56,10 +60,63 @@ def test_small_report_names_top_worst_and_ratio(spark):
     assert max(v for _, v in by["worst"]) >= max(v for _, v in by["global"])
 
 
-def test_small_search_marks_the_least_error(spark):
-    rows = retail._tuned(retail.Retail(spark, SF), 2, (1,), {"maxIter": 1, "maxDepth": 1}, EARLY, numeric=("lag_1", "lag_7"), categorical=()).collect()
-    assert [r["trial"] for r in rows] == [0, 1] and all('"maxDepth": 1' in r["settings"] for r in rows)
-    assert [r["best"] for r in rows].count(True) == 1 and min(rows, key=lambda r: (r["wape"], r["trial"]))["best"]
+def test_small_search_halves_and_marks_the_least_error(spark):
+    rows = retail._tuned(retail.Retail(spark, SF), 5, (1, 2), {"maxDepth": 1}, EARLY, 2, numeric=("lag_1", "lag_7"), categorical=("store_id",)).collect()
+    assert [r["trial"] for r in rows] == list(range(5)) and all('"maxDepth": 1' in r["settings"] for r in rows)
+    assert sorted(r["rung"] for r in rows) == [0, 0, 0, 1, 1] and {r["trees"] for r in rows if r["rung"] == 1} == {2}
+    final = [r for r in rows if r["rung"] == 1]
+    assert [r["best"] for r in rows].count(True) == 1 and min(final, key=lambda r: (r["wape"], r["trial"]))["best"]
+
+
+def test_search_without_rows_to_validate_on_has_no_best(spark):
+    rows = retail._tuned(retail.Retail(spark, SF), 2, (1,), None, ((1, 1, 9000, 9001),), 1, numeric=("lag_1",), categorical=()).collect()
+    assert len(rows) == 2 and not any(r["best"] for r in rows) and {r["wape"] for r in rows} == {None}
+
+
+def wide(spark, products: int, days: int = 3):
+    """A feature matrix of many products, NULLs among its categories."""
+    rows = spark.range(products * days).selectExpr(f"'s' AS store_id", f"cast(id % {products} AS string) AS product_id", f"date_add(DATE'2020-01-01', cast(id / {products} AS int)) AS date", "cast(id % 7 AS double) AS lag_1", f"cast(id % {products} % 5 AS double) AS quantity_sold", "if(id % 3 = 0, NULL, 'r') AS region")
+    return rows.withColumn("target", F.col("quantity_sold") + 1)
+
+
+@pytest.mark.parametrize("products", [1000, 5000])
+def test_any_number_of_categories_trains_and_predicts(spark, products):
+    rows = wide(spark, products)
+    models = forecasting.train_horizons(rows, {"maxIter": 1, "maxDepth": 2}, (1, 2), ("lag_1",), ("product_id", "region", "store_id"))
+    assert set(models) == {1, 2} and models[1].features == ["lag_1", "product_id__code", "region__code", "store_id__code"]
+    new = spark.createDataFrame([("s", "never seen", None, 1.0)], "store_id string, product_id string, region string, lag_1 double")
+    got = forecasting.predict(models[1], rows.unionByName(new, allowMissingColumns=True))
+    assert got.count() == 3 * products + 1 and got.where("forecast IS NULL OR forecast < 0").isEmpty()
+
+
+def brute_codes(rows, column, weight=10.0):
+    out = {}
+    for r in rows:
+        seen = [x for x in rows if x["date"] < r["date"] and x["q"] is not None]
+        own = [x["q"] for x in seen if (x[column] or "") == (r[column] or "")]
+        overall = sum(x["q"] for x in seen) / len(seen) if seen else 0.0
+        out[r["date"], r[column]] = (sum(own) + weight * overall) / (len(own) + weight)
+    return out
+
+
+def test_codes_know_earlier_days_only(spark):
+    rng = random.Random(5)
+    rows = [{"date": datetime.date(2020, 1, 1 + rng.randint(0, 9)), "a": rng.choice(["x", "y", "z", "", None]), "b": rng.choice("pq"), "q": rng.choice([None, 0.0, 1.0, 5.0])} for _ in range(80)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "date date, a string, b string, q double")
+    got = encoding.with_ordered_codes(df, ("a", "b"), "q").collect()
+    assert len(got) == 80
+    for c in "ab":
+        want = brute_codes(rows, c)
+        known = {(r["date"], r[c] or "") for r in rows if r["q"] is not None}
+        for r in got:
+            assert r[f"{c}__code"] == pytest.approx(want[r["date"], r[c]] if (r["date"], r[c] or "") in known else 0.0)
+    late = encoding.fit_codes(df, ("a",), "q")
+    q = [r["q"] for r in rows if r["q"] is not None]
+    for r in late.table.collect():
+        own = [x["q"] for x in rows if (x["a"] or "") == r["category"] and x["q"] is not None]
+        assert r["code"] == pytest.approx((sum(own) + 10 * sum(q) / len(q)) / (len(own) + 10))
+    assert late.unseen["a"] == pytest.approx(sum(q) / len(q))
+    assert encoding.with_ordered_codes(df.limit(0), ("a",), "q").count() == 0
 
 
 def test_small_walk_forward_and_forecasts(spark):
