@@ -105,14 +105,34 @@ def fit_network(texts: list[bytes], langs: list[str], *, dim: int = 8, filters:
     return net
 
 
+def shares(counts: DataFrame, rows: int) -> DataFrame:
+    """(lang, share, below) of (lang, n): the share that lets all languages have about `rows` rows together, and the draw (of 2^30) below which a third more than it lie.
+
+    Small languages are served first: each step's share is what is left, divided by the languages left; the greatest of
+    these is the one that all larger languages can have.
+    """
+    order = Window.orderBy("n", "lang")  # a row a language
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.count("*").over(Window.partitionBy(F.lit(1))) - F.row_number().over(order) + 1
+    stepped = counts.withColumn("each", F.floor((F.lit(rows) - before) / after))
+    share = F.greatest(F.lit(1), F.max("each").over(Window.partitionBy(F.lit(1))))
+    rows_share = stepped.withColumn("share", share.cast("bigint"))
+    return rows_share.select("lang", "share", (F.least(F.lit(1.0), (1.3 * F.col("share") + 50) / F.col("n")) * (1 << 30)).alias("below"))
+
+
 def training_windows(docs: DataFrame, text_col: str, lang_col: str, order: Column, max_docs: int) -> DataFrame:
-    """At most max_docs rows, spread evenly over the languages and chosen by `order` (a hash): text windows from the start, the middle and the end, and lang."""
+    """At most max_docs rows, chosen within each language by `order` (a hash): text windows from the start, the middle and the end, and lang.
+
+    Every language gets the same number of rows, or all that it has, and leaves the rest to the others.  Only if there are
+    more than max_docs languages, some have none.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("rank"))
     rows = rows.withColumn("draw", F.pmod("rank", F.lit(1 << 30)))
-    least = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.lit(float(max_docs)) / F.count("*").over(Window.partitionBy(F.lit(1)))  # a row a language
-    limits = least.select("lang", (F.least(F.lit(1.0), 1.3 * share / F.col("n")) * (1 << 30)).alias("below"))
-    rows = rows.join(written(limits, "languages"), "lang").where("draw < below").orderBy("draw", "rank", "text").limit(max_docs)
+    limits = written(shares(rows.groupBy("lang").agg(F.count("*").alias("n")), max_docs), "languages")
+    # The threshold lets through about a third more than a language's share, however many rows it has; its first ones are taken of them.
+    rows = rows.join(F.broadcast(limits), "lang").where("draw < below")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "rank", "text"))).where("place <= share")
+    rows = rows.orderBy("place", "draw", "lang").limit(max_docs)
     last = F.greatest(F.lit(1), F.length("text") - WINDOW + 1)
     starts = F.array_distinct(F.array(F.lit(1), F.expr("int((greatest(1, length(text) - 256 + 1) + 1) / 2)"), last.cast("int")))
     return rows.select("lang", F.explode(F.transform(starts, lambda s: F.col("text").substr(s, F.lit(WINDOW)))).alias("window"))

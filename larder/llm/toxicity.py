@@ -8,6 +8,7 @@ or report from direct abuse; hits of both kinds are separate features of a logis
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -24,11 +25,11 @@ WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
 WORD_JVM = "[\\p{L}\\p{M}\\p{N}]+"
 # Characters written for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-# Words that report speech, and marks that open or close a quotation.
-REPORTING = frozenset("said says wrote writes quoted quote called calls word term zitat sagte schrieb dit écrit citation dijo escribió cita".split())
-QUOTES = frozenset("\"“”„«»‘’`")
-#: A quotation as the learning of terms skips it: what stands between two marks on one line.
-QUOTED_JVM = "[\"“”„«»][^\"“”„«»\\n]{1,400}[\"“”„«»]"
+# Words that report speech, and marks that open a quotation with those that close it.
+REPORTING = frozenset("said says wrote writes quoted quote called calls zitat sagte schrieb dit écrit citation dijo escribió cita".split())
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "`": "`´"}
+MARK = re.compile("[\"“”„«»‘’`´]|\n\\s*\n")
+#: Characters before a hit in which reporting words are looked for.
 CONTEXT_CHARS = 48
 FEATURES = 5
 #: Weights that features keep which the labelled rows never show; the last is the bias.
@@ -174,9 +175,45 @@ class LexiconAutomaton:
         return best if edits < 0 or (best is not None and best < edits) else edits
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each quotation, marks included, within a paragraph.
+
+    A mark opens one if no letter stands before it and no space after it, and only the marks that belong to it close it, if
+    no space stands before them and no letter after.  So apostrophes within words are none, nor is what stands between two
+    quotations, and a mark that is never closed quotes nothing.
+    """
+    out, start, closing = [], -1, ""
+    for m in MARK.finditer(text):
+        c, at = m.group(), m.start()
+        before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+        if c[0] == "\n":
+            start = -1
+        elif start >= 0 and c in closing and not before.isspace() and not after.isalnum():
+            out.append((start, at + 1))
+            start = -1
+        elif start < 0 and c in QUOTES and not before.isalnum() and after and not after.isspace():
+            start, closing = at, QUOTES[c]
+    return out
+
+
+def without_quotations(text: str) -> str:
+    for a, b in reversed(quotations(text)):
+        text = f"{text[:a]} {text[b:]}"
+    return text
+
+
+def unquoted(text: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([without_quotations(t) if t else t for t in batch.to_pylist()], pa.string())
+
+    return run(text)
+
+
 def hits(text: str, automaton: LexiconAutomaton, memo: dict) -> list[tuple[int, int, int, bool]]:
     """(start, end, edits, quoted) of each word of the text that fits a term."""
-    out = []
+    out, spans = [], None
     lowered = text.lower()
     if len(lowered) != len(text):  # a letter whose lower case is longer: positions stay those of the lowered text
         text = lowered
@@ -196,9 +233,10 @@ def hits(text: str, automaton: LexiconAutomaton, memo: dict) -> list[tuple[int,
             if len(word) <= 40:
                 memo[word] = edits
         if edits is not None:
-            before, after = text[max(0, m.start() - CONTEXT_CHARS) : m.start()], text[m.end() : m.end() + CONTEXT_CHARS]
-            marks = bool(QUOTES & set(before)) and bool(QUOTES & set(after))
-            told = not REPORTING.isdisjoint(WORD.findall(before.lower())[-2:])
+            spans = quotations(text) if spans is None else spans
+            at = bisect.bisect_right(spans, (m.start(), len(text))) - 1
+            marks = at >= 0 and m.end() <= spans[at][1]
+            told = not REPORTING.isdisjoint(WORD.findall(text[max(0, m.start() - CONTEXT_CHARS) : m.start()].lower())[-2:])
             out.append((m.start(), m.end(), edits, marks or told))
     return out
 
@@ -254,7 +292,7 @@ def learn_lexicon(sample: DataFrame, *, least_gain: float = 20.0, least_contexts
     neighbours; all such terms of the bounded sample reach the driver, which keeps the shortest stem that says as much as what
     it begins.
     """
-    sample = written(unlike_rows(sample).select(F.regexp_replace("text", QUOTED_JVM, " ").alias("text"), "label"), "unlike")
+    sample = written(unlike_rows(sample).select(unquoted(F.col("text")).alias("text"), "label"), "unlike")
     base = sample.groupBy("label").count().collect()
     total = {r["label"]: r["count"] for r in base}
     npos, nneg = total.get(1, 0), total.get(0, 0)

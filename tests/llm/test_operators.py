@@ -27,6 +27,32 @@ def test_language_held_out_accuracy(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_every_language_gets_its_share_of_the_sample(spark):
+    """Nine large languages and small ones: 300 rows would be each one's share, whatever the large ones' size."""
+    sizes = {f"l{i}": n for i, n in enumerate([20_000] * 9)} | {"small": 300, "tiny": 40}
+    rows = spark.createDataFrame(list(sizes.items()), "lang string, n int").selectExpr("lang", "explode(sequence(1, n)) AS i").withColumn("text", F.concat("lang", F.lit(" text "), "i"))
+    for scale in (1, 5):
+        many = rows.unionByName(rows.where("lang LIKE 'l_'").crossJoin(spark.range(scale - 1)).select("lang", "i", F.concat("text", F.lit("-"), "id").alias("text")))
+        found = langid.training_windows(many, "text", "lang", F.xxhash64("text"), 3000).groupBy("lang").count().collect()
+        got = {r["lang"]: r["count"] for r in found}
+        assert got["tiny"] == 40 and got["small"] >= 290 and all(280 <= n <= 300 for k, n in got.items() if k[1:].isdigit()) and 2990 <= sum(got.values()) <= 3000
+    given = spark.createDataFrame([("a", 5), ("b", 100), ("c", 10**9)], "lang string, n bigint")
+    assert {r["lang"]: r["share"] for r in langid.shares(given, 3000).collect()} == dict.fromkeys("abc", 2895)
+    few = langid.training_windows(rows.where("i <= 3"), "text", "lang", F.xxhash64("text"), 4)
+    assert few.count() == 4 and few.select("lang").distinct().count() == 4
+
+
+def test_a_small_language_is_told_apart(spark):
+    rng = np.random.default_rng(3)
+    alphabets = {f"l{i}": list("abcdefghijklmnopqrstuvwxyz"[2 * i : 2 * i + 6]) for i in range(9)} | {"small": list("éàçôù")}
+    rows = [(i, " ".join("".join(rng.choice(alphabets[k], 5)) for _ in range(30)), k) for k in alphabets for i in range(400 if k == "small" else 1500)]
+    docs = spark.createDataFrame(rows, "i int, text string, lang string")
+    net = langid.train(docs.where("i % 4 > 0"), order=F.xxhash64("text"), max_docs=600)
+    assert "small" in net.languages
+    got = docs.where("i % 4 = 0 AND lang = 'small'").select(langid.identified(F.col("text"), net)["lang_pred"].alias("p")).collect()
+    assert np.mean([r["p"] == "small" for r in got]) > 0.9
+
+
 def test_language_odd_rows(spark, odd_documents):
     net = langid.fit_network([b"the cat sat on the mat", b"le chat sur la table"] * 8, ["en", "fr"] * 8, epochs=2)
     rows = langid.identify(odd_documents, net).collect()
@@ -398,6 +424,39 @@ def test_quotations_are_told_from_abuse(spark):
     assert all((got[i]["score"] >= 0.3) == bool(t) for i, _, t in rows if i % 3 == 0) and sum(r["n_quoted"] for r in got.values()) == 50
 
 
+def brute_quoted(text, start, end):
+    """Whether a quotation is open from before `start` to after `end`, the paragraph read from its beginning a character at a time."""
+    first = max((m.end() for m in re.finditer(r"\n\s*\n", text[:start])), default=0)
+    mark = None
+    for i in range(first, len(text)):
+        c, before, after = text[i], text[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
+        if i >= end and re.match(r"\n\s*\n", text[i:]):
+            return False
+        if mark is not None and c in toxicity.QUOTES[mark[0]] and not before.isspace() and not after.isalnum():
+            if i >= end:
+                return mark[1] < start
+            mark = None
+        elif mark is None and c in toxicity.QUOTES and not before.isalnum() and after and not after.isspace():
+            mark = c, i
+    return False
+
+
+@pytest.mark.parametrize(
+    ("text", "quoted"),
+    [
+        ("You are an idiot and you do not know it", 0), ("You’re an idiot and you don’t know it", 0), ("It’s you, idiot, and that’s it", 0), ('"Hi" she smiled. You idiot. "Bye"', 0), ("this term idiot", 0), ("the word idiot", 0),
+        ('a stray " mark, you idiot', 0), ('a stray " mark, you idiot" end', 0), ('"unclosed you idiot', 0), ('he wrote "you idiot" there', 1), ("sie sagt „du idiot“ oft", 1), ("« idiot »", 0), ("«idiot»", 1), ("»idiot«", 1), ("‘you idiot’", 1), ("they said idiot", 1),
+        ('"you\nidiot" over a line', 1), ('"open\n\nidiot" in another paragraph', 0), ('"' + "long " * 200 + 'idiot"', 1), ("''idiot''", 0), ("`idiot`", 1),
+    ],
+)
+def test_marks_are_paired_and_apostrophes_are_none(text, quoted):
+    automaton = toxicity.LexiconAutomaton(["idiot"], [])
+    (hit,) = toxicity.hits(text, automaton, {})
+    assert hit[3] == bool(quoted)
+    assert brute_quoted(text, hit[0], hit[1]) == (bool(quoted) and "said" not in text)
+    assert ("idiot" in toxicity.without_quotations(text)) == (not quoted or "said" in text)
+
+
 def brute_hits(text, model):
     """(start, end, edits, quoted) by edit distances to every term, without automaton or memo."""
     out, low = [], text.lower()
@@ -418,8 +477,7 @@ def brute_hits(text, model):
             found = found if found is None else max(1, found)
         if found is None or (found and word in model.automaton.exceptions):
             continue
-        before, after = text[max(0, m.start() - 48) : m.start()], text[m.end() : m.end() + 48]
-        told = (any(c in toxicity.QUOTES for c in before) and any(c in toxicity.QUOTES for c in after)) or any(w in toxicity.REPORTING for w in toxicity.WORD.findall(before.lower())[-2:])
+        told = brute_quoted(text, m.start(), m.end()) or any(w in toxicity.REPORTING for w in toxicity.WORD.findall(text[max(0, m.start() - 48) : m.start()].lower())[-2:])
         out.append((m.start(), m.end(), found, told))
     return out
 
