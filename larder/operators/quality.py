@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.marts import date_spine
+from larder.sources.scratch import written
 
 
 def _result(df: DataFrame, check: str, table: str, column: str | Column, severity: str, failed: Column | str) -> DataFrame:
@@ -144,20 +145,50 @@ def require_fresh(df: DataFrame, col: str, as_of: str, days: int = 2) -> DataFra
     return df
 
 
+#: Values that the sketch of frequent ones tracks, and the share of all rows by which its counts may be off (a bound of the sketch).
+TRACKED, SKETCH_ERROR = 10_000, 3.5 / 16_384
+
+
 def column_profile(df: DataFrame, cols: Sequence[str], k: int = 10, bins: int = 10) -> DataFrame:
-    """(column, null_fraction, avg_width, n_distinct, common_values, bounds): the k most frequent values with frequencies, and equi-depth bounds of numeric columns."""
-    parts = []
-    for c in cols:
-        text = F.col(c).cast("string")
-        base = df.agg(F.avg(F.col(c).isNull().cast("double")).alias("null_fraction"), F.avg(F.length(text)).alias("avg_width"), F.approx_count_distinct(c).alias("n_distinct"), F.count("*").alias("n"), F.percentile_approx(text.try_cast("double"), [i / bins for i in range(bins + 1)], 10_000).alias("bounds"))
-        counted = df.where(F.col(c).isNotNull()).groupBy(text.alias("value")).count().orderBy(F.desc("count"), "value").limit(k)
-        common = counted.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("less"), "value"))).alias("top"))
-        row = base.join(F.broadcast(common)).select(F.lit(c).alias("column"), "null_fraction", "avg_width", "n_distinct", F.transform("top", lambda t: F.struct(t["value"].alias("value"), (-t["less"] / F.col("n")).alias("frequency"))).alias("common_values"), "bounds")
-        parts.append(row)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(column, null_fraction, avg_width, n_distinct, common_values, bounds): the k most frequent values with frequencies, and equi-depth bounds of numeric columns.
+
+    One pass over the table builds mergeable sketches of all columns (distinct values, quantiles, frequent values), a second
+    one counts the frequent candidates exactly.  Columns whose candidates are not proven to be the most frequent ones, by the
+    sketch's error bound, are counted in full, all of them in one pass; so the values and frequencies are exact.
+    """
+    text = {c: F.col(c).cast("string") for c in cols}
+    m = 4 * k
+    sketches = []
+    for i, c in enumerate(cols):
+        x = text[c].try_cast("double")
+        sketches += [
+            F.count_if(F.col(c).isNull()).alias(f"nulls{i}"), F.avg(F.length(text[c])).alias(f"width{i}"), F.approx_count_distinct(c).alias(f"distinct{i}"),
+            F.when(F.count(x) > 0, F.kll_sketch_agg_double(x)).alias(f"kll{i}"), F.expr(f"approx_top_k(CAST(`{c}` AS STRING), {m}, {TRACKED})").alias(f"top{i}"),
+        ]
+    one = written(df.agg(F.count("*").alias("n"), *sketches), "sketches")
+    ranks = F.array(*[F.lit(j / bins) for j in range(bins + 1)])
+    items = [F.filter(F.col(f"top{i}"), lambda t: t["item"].isNotNull()) for i in range(len(cols))]
+    listed = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("place"), F.col(f"nulls{i}").alias("nulls"), F.col(f"width{i}").alias("avg_width"), F.col(f"distinct{i}").alias("n_distinct"), F.col(f"kll{i}").alias("kll"), items[i].alias("top")) for i, c in enumerate(cols)]))
+    stats = one.select("n", listed)
+    wanted = stats.select("column", F.inline("top")).select("column", F.col("item").alias("value"))  # 4 k a column
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text[c].alias("value")) for c in cols]))
+    counted = written(df.select(pairs).join(F.broadcast(wanted), ["column", "value"]).groupBy("column", "value").count(), "recounted")
+    # A value outside the candidates has at most the least candidate's estimate, and the error, unless all values are candidates.
+    floor = stats.select("column", F.when(F.size("top") < m, F.lit(0.0)).otherwise(F.array_min(F.transform("top", lambda t: t["count"])) + F.col("n") * SKETCH_ERROR).alias("floor"), (F.col("n_distinct") < F.lit(m // 2)).alias("few"))
+    place = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+    kth = counted.withColumn("at", F.row_number().over(place)).where(F.col("at") <= k).groupBy("column").agg(F.min("count").alias("kth"), F.count("*").alias("found"))
+    proof = floor.join(kth, "column", "left").where("(few AND floor = 0) OR (found = " + str(k) + " AND kth > floor)").select("column")
+    proven = {r["column"] for r in proof.collect()}
+    rest = [c for c in cols if c not in proven]
+    if rest:
+        others = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text[c].alias("value")) for c in rest]))
+        whole = df.select(others).where("value IS NOT NULL").groupBy("column", "value").count()
+        counted = counted.where(F.col("column").isin(*proven)).unionByName(whole)
+    top = counted.withColumn("at", F.row_number().over(place)).where(F.col("at") <= k)
+    top = top.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("at", "value", "count"))).alias("top"))
+    joined = stats.drop("top").join(top, "column", "left")
+    common = F.transform(F.coalesce("top", F.array().cast(top.schema["top"].dataType)), lambda t: F.struct(t["value"].alias("value"), (t["count"] / F.col("n")).alias("frequency")))
+    return joined.select("column", F.try_divide("nulls", "n").alias("null_fraction"), "avg_width", "n_distinct", common.alias("common_values"), F.when(F.col("kll").isNotNull(), F.kll_sketch_get_quantile_double("kll", ranks)).alias("bounds"))
 
 
 def defect_summary(sales: DataFrame, inventory: DataFrame, stores: DataFrame, shipments: DataFrame) -> DataFrame:

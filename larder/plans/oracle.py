@@ -61,6 +61,19 @@ def _rule(check: str, table: str, column: str, severity: str, count: str) -> str
     return f"SELECT '{check}' AS \"check\", '{table}' AS \"table\", '{column}' AS \"column\", '{severity}' AS severity, n AS n_failed, CASE WHEN n = 0 THEN 'pass' ELSE '{severity}' END AS status FROM ({count}) x"
 
 
+#: The rule set of shipments: what fails.
+_SHIPMENT_ROWS = [
+    ("not_null", "shipment_id", "error", "shipment_id IS NULL"), ("not_null", "received_date", "warn", "received_date IS NULL"), ("not_null", "supplier_id", "error", "supplier_id IS NULL"),
+    ("accepted_range", "quantity_ordered", "error", "quantity_ordered NOT BETWEEN 1 AND 40"), ("date_range", "order_date", "warn", "order_date NOT BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'"), ("condition", "fill_rate", "error", "fill_rate > 1"),
+    ("accepted_values", "store_id", "warn", "store_id::INT NOT BETWEEN 0 AND 19"),
+]
+_SHIPMENT_KEYS = [
+    ("unique", "shipment_id", "error", "SELECT count(*) AS n FROM (SELECT shipment_id FROM stg_shipments WHERE shipment_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"),
+    ("unique_combination", "store_id,product_id,order_date", "warn", "SELECT count(*) AS n FROM (SELECT 1 FROM stg_shipments GROUP BY store_id, product_id, order_date HAVING count(*) > 1)"),
+    ("relationships", "supplier_id", "warn", "SELECT count(*) AS n FROM stg_shipments WHERE supplier_id IS NOT NULL AND supplier_id NOT IN (SELECT supplier_id FROM stg_suppliers WHERE supplier_id <> '3')"),
+    ("relationships", "store_id", "error", "SELECT count(*) AS n FROM stg_shipments WHERE store_id IS NOT NULL AND store_id NOT IN (SELECT store_id FROM stg_stores)"),
+]
+
 #: Models by name; a model's text names those it reads, and they become its common table expressions.
 SQL: dict[str, str] = {
     **{name: raw_sql(name) for name in RAW},
@@ -122,6 +135,8 @@ SQL: dict[str, str] = {
     "r_summary": "SELECT count(DISTINCT saledate) AS total_days, count(DISTINCT store_nbr) AS total_stores, sum(total_units_sold) AS total_units, sum(total_units_sold) / count(DISTINCT saledate) AS units_per_day, count(*) FILTER (is_holiday) AS holiday_store_days, count(*) FILTER (is_wage_day) AS wage_store_days, count(*) FILTER (is_event_period) AS event_store_days FROM mart_store_daily_sales",
     "r_top_stores": "SELECT store_nbr, sum(total_units_sold) AS total_units, count(*) AS days_operated, sum(total_units_sold) / count(*) AS units_per_day FROM mart_store_daily_sales GROUP BY store_nbr ORDER BY total_units DESC, store_nbr LIMIT 10",
     "r_weekend": f"SELECT {_DOW} AS day_kind, sum(total_units_sold) AS total_units, count(*) AS store_days, sum(total_units_sold) / count(*) AS units_per_store_day FROM mart_store_daily_sales GROUP BY 1",
+    "dq_observed": " UNION ALL ".join(_rule(check, "stg_shipments", column, severity, f"SELECT count(*) FILTER ({bad}) AS n FROM stg_shipments") for check, column, severity, bad in _SHIPMENT_ROWS),
+    "dq_rules": " UNION ALL ".join(["SELECT * FROM dq_observed"] + [_rule(check, "stg_shipments", column, severity, count) for check, column, severity, count in _SHIPMENT_KEYS]),
     "dq_not_null": " UNION ALL ".join(_rule("not_null", "stg_shipments", c, "error", f"SELECT count(*) FILTER ({c} IS NULL) AS n FROM stg_shipments") for c in ("shipment_id", "received_date", "supplier_id")),
     "dq_unique": _rule("unique", "raw_shipments", "shipment_id", "warn", "SELECT count(*) AS n FROM (SELECT shipment_id FROM raw_shipments WHERE shipment_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"),
     "dq_unique_combo": _rule("unique_combination", "raw_train", "date,store_nbr,item_nbr", "error", "SELECT count(*) AS n FROM (SELECT 1 FROM raw_train GROUP BY date, store_nbr, item_nbr HAVING count(*) > 1)"),

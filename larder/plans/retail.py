@@ -13,7 +13,10 @@ from larder.operators import forecasting as fc
 from larder.operators import marts, monitoring, quality, reorder, risk
 from larder.operators import staging as st
 from larder.operators.encoding import code_name, fit_codes, with_ordered_codes
+from larder.operators.rules import Observed, Rule, check_table
 from larder.sources.fixtures import raw
+from larder.sources.io import write_mart
+from larder.sources.scratch import fresh_path
 
 #: Parameters of the queries.
 AS_OF = "2025-01-01"
@@ -182,6 +185,27 @@ def _final_codes(r: Retail) -> DataFrame:
     return fit_codes(r.labelled(), ("store_id", "product_id", "region")).table
 
 
+#: The rule set of shipments, but for the parents of their keys.
+SHIPMENT_RULES = (
+    Rule("not_null", ("shipment_id",)), Rule("not_null", ("received_date",), "warn"), Rule("not_null", ("supplier_id",)),
+    Rule("accepted_range", ("quantity_ordered",), low=1, high=40), Rule("date_range", ("order_date",), "warn", low="1996-01-01", high="2000-12-31"), Rule("condition", ("fill_rate",), sql="fill_rate <= 1"),
+    Rule("accepted_values", ("store_id",), "warn", values=tuple(map(str, range(20)))),
+)
+
+
+def _shipment_rules(r: Retail) -> list[Rule]:
+    keys = [Rule("unique", ("shipment_id",)), Rule("unique_combination", ("store_id", "product_id", "order_date"), "warn")]
+    parents = [Rule("relationships", ("supplier_id",), "warn", parent=r.stg_suppliers().where("supplier_id <> '3'"), parent_col="supplier_id"), Rule("relationships", ("store_id",), parent=r.stg_stores(), parent_col="store_id")]
+    return [*SHIPMENT_RULES, *keys, *parents]
+
+
+def _observed(r: Retail) -> DataFrame:
+    """The row rules of shipments, counted while they are written."""
+    seen = Observed(r.stg_shipments(), SHIPMENT_RULES, "stg_shipments")
+    write_mart(seen.df, fresh_path(r.spark, "observed"))
+    return seen.results()
+
+
 def _daily_bias(r: Retail) -> DataFrame:
     rows = fc.baselines(r.folded()).where("baseline = 'naive'")
     return fc.forecast_metrics(rows, ["date"]).select("date", "bias")
@@ -236,6 +260,7 @@ BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "horizon_rows": lambda r: fc.horizon_dataset(r.labelled(), 3).select("date", "store_id", "product_id", "target", "target_h"),
     "features_filled": lambda r: ft.fill_features(r.feat_matrix()).select("date", "store_id", "product_id", *ft.NUMERIC),
     "clean_names": lambda r: st.clean_names(r.raw("raw_stores").toDF(" Store ID", "STORE-Name", "Region", "Store.Type", "Sq Footage", "Opened Date")),
+    "dq_rules": lambda r: check_table(r.stg_shipments(), _shipment_rules(r), "stg_shipments"), "dq_observed": _observed,
     "dq_not_null": lambda r: quality.not_null(r.stg_shipments(), ["shipment_id", "received_date", "supplier_id"], "stg_shipments"),
     "dq_unique": lambda r: quality.unique(r.raw("raw_shipments"), "shipment_id", "raw_shipments", "warn"),
     "dq_unique_combo": lambda r: quality.unique_combination(r.raw("raw_train"), ["date", "store_nbr", "item_nbr"], "raw_train"),
