@@ -286,7 +286,7 @@ def importance_report(model: HorizonModel, df: DataFrame, features: Sequence[str
     the first of all; 'lag_vs_calendar': effects of the lags over those of the calendar features, 0 where these have none.
     """
     rows = df.orderBy(F.xxhash64(*SERIES, "date"), *SERIES, "date").limit(sample)
-    effects = occlusion(model, rows, features).persist()  # sample * features rows
+    effects = written(occlusion(model, rows, features), "effects")  # sample * features rows
     mean = effects.groupBy("feature").agg(F.avg("effect").alias("value"))
     order = [F.desc("value"), F.asc("feature")]
     most = effects.groupBy(*SERIES, "date").agg(F.sum("effect").alias("moved")).orderBy(F.desc("moved"), *SERIES, "date").limit(worst)

@@ -16,7 +16,7 @@ from larder.operators.encoding import code_name, fit_codes, with_ordered_codes
 from larder.operators.rules import Observed, Rule, check_table
 from larder.sources.fixtures import raw
 from larder.sources.io import write_mart
-from larder.sources.scratch import fresh_path
+from larder.sources.scratch import fresh_path, written
 
 #: Parameters of the queries.
 AS_OF = "2025-01-01"
@@ -126,7 +126,7 @@ class Retail:
 
     def reorder(self):
         """What baselines and deviations need are the last 14 labelled rows of each series and the open one after them."""
-        rows = fc.last_rows(self.labelled(), 15).persist()
+        rows = written(fc.last_rows(self.labelled(), 15), "last-rows")
         return reorder.reorder_recommendations(fc.baseline_forecasts(rows), self.pair_latest_inventory(), self.supplier_terms(), reorder.demand_std(rows), recommendation_date=AS_OF)
 
 
@@ -137,19 +137,24 @@ def _on_mart(f: Callable[[DataFrame], DataFrame]) -> Callable[[Retail], DataFram
     return lambda r: f(r.mart_store_daily_sales())
 
 
+def _union(mart: DataFrame) -> DataFrame:
+    """All nine analyses of one mart, which is built once."""
+    return an.union_reports([f(mart) for f in (an.an_summary, an.an_top_stores, an.an_weekend, an.an_monthly, an.an_holiday, an.an_store_type, an.an_wage_days, an.an_event_period, an.an_returns)])
+
+
 def _gbt(r: Retail, params: Mapping | None = None, folds: Sequence = FOLDS, horizons: Sequence[int] = fc.HORIZONS, **columns) -> DataFrame:
     """The walk-forward evaluation of the boosted model on every fold and horizon; small settings are for tests."""
     return fc.walk_forward_eval(r.feat_matrix(), params, folds, horizons, **columns)
 
 
 def _forecasts(r: Retail, params: Mapping | None = None, horizons: Sequence[int] = fc.HORIZONS, **columns) -> DataFrame:
-    rows = r.feat_matrix().persist()
+    rows = written(r.feat_matrix(), "features")
     return fc.generate_forecasts(fc.train_horizons(rows, params, horizons, **columns), rows)
 
 
 def _importance(r: Retail, params: Mapping | None = None, horizons: Sequence[int] = fc.HORIZONS, **columns) -> DataFrame:
     """(horizon, feature, importance) of every feature in each horizon's model."""
-    rows, out = r.feat_matrix().persist(), None
+    rows, out = written(r.feat_matrix(), "features"), None
     for h, model in fc.train_horizons(rows, params, horizons, **columns).items():
         part = fc.feature_importance(model, rows, len(model.features)).select(F.lit(h).alias("horizon"), "feature", "importance")
         out = part if out is None else out.unionByName(part)
@@ -159,7 +164,7 @@ def _importance(r: Retail, params: Mapping | None = None, horizons: Sequence[int
 def _importance_report(r: Retail, params: Mapping | None = None, folds: Sequence = FOLDS, **columns) -> DataFrame:
     """The report on the first horizon's model, fitted on the best fold's training rows; no row if no fold has rows to validate on."""
     folded = fc.of_best_fold(fc.walk_forward_folds(r.feat_matrix(), folds))
-    train = folded.where("part = 'train'").drop("fold", "part").persist()
+    train = written(folded.where("part = 'train'").drop("fold", "part"), "best-fold")
     if train.isEmpty():
         return r.spark.createDataFrame([], "scope string, feature string, value double")
     (model,) = fc.train_horizons(train, params, (1,), **columns).values()
@@ -254,7 +259,7 @@ BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "an_summary": _on_mart(an.an_summary), "an_top_stores": _on_mart(an.an_top_stores), "an_weekend": _on_mart(an.an_weekend), "an_monthly": _on_mart(an.an_monthly), "an_holiday": _on_mart(an.an_holiday),
     "an_store_type": _on_mart(an.an_store_type), "an_wage_days": _on_mart(an.an_wage_days), "an_event_period": _on_mart(an.an_event_period), "an_returns": _on_mart(an.an_returns),
     "r_summary": _on_mart(an.r_summary), "r_top_stores": _on_mart(an.r_top_stores), "r_weekend": _on_mart(an.r_weekend),
-    "an_union": _on_mart(lambda m: an.union_reports([f(m) for f in (an.an_summary, an.an_top_stores, an.an_weekend, an.an_monthly, an.an_holiday, an.an_store_type, an.an_wage_days, an.an_event_period, an.an_returns)])),
+    "an_union": _on_mart(lambda m: _union(written(m, "mart"))),
     "recs_by_tier": lambda r: reorder.sort_by_tier(r.reorder()), "quadrant_list": lambda r: risk.list_quadrants(risk.supplier_quadrants(r.mart_supplier_performance())),
     "series_of_region": lambda r: ft.restrict_keys(ft.min_history(r.series()), r.stg_stores().where("region = 'EUROPE'").select("store_id")).select("date", "store_id", "product_id", "quantity_sold"),
     "horizon_rows": lambda r: fc.horizon_dataset(r.labelled(), 3).select("date", "store_id", "product_id", "target", "target_h"),

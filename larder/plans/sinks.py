@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.plans.retail import Retail
 from larder.operators import quality
-from larder.sources import io, jdbc, manifest
+from larder.sources import io, jdbc, manifest, samples
 from larder.sources.scratch import fresh_path
 
 #: Days of the round trips.
@@ -107,7 +107,28 @@ def table(r: Retail) -> DataFrame:
     return io.read_table(r.spark, name)
 
 
-BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {"io_raw_csv": raw_csv, "io_text_table": text_table, "io_fact_days": fact_days, "io_mart": mart, "io_dim": dim, "io_ingest": ingest, "io_ingest_all": ingest_all, "io_dated": dated, "io_report": report, "io_table": table, "io_verify": verified, "dq_coverage_folders": coverage, "io_jdbc": database}
+def sampled_stores(r: Retail) -> DataFrame:
+    """Days and units of the stores in an exact third, counted in two facts that keep the same stores."""
+    kept = samples.sample_by_key({"sales": r.fct_daily_sales(), "inventory": r.fct_inventory_snapshots()}, r.stg_stores(), "store_id", 1 / 3)
+    sales = kept["sales"].groupBy("store_id").agg(F.count("*").alias("n_sales"), F.sum("total_quantity_sold").alias("units"))
+    return sales.join(kept["inventory"].groupBy("store_id").agg(F.count("*").alias("n_inventory")), "store_id", "full")
+
+
+def sampled_items(r: Retail) -> DataFrame:
+    """Exactly 100 items."""
+    return samples.sample_keys(r.stg_items().select("item_nbr"), 100)
+
+
+def sampled_rows(r: Retail) -> DataFrame:
+    """A twentieth of the sales, each row by its own hash."""
+    return samples.bernoulli_sample(r.stg_sales(), 0.05, "sale_id").select("sale_id", "store_id", "quantity_sold")
+
+
+BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {"io_raw_csv": raw_csv, "io_text_table": text_table, "io_fact_days": fact_days, "io_mart": mart, "io_dim": dim, "io_ingest": ingest, "io_ingest_all": ingest_all, "io_dated": dated, "io_report": report, "io_table": table, "io_verify": verified, "dq_coverage_folders": coverage, "io_jdbc": database, "sample_by_key": sampled_stores, "sample_exact": sampled_items, "sample_bernoulli": sampled_rows}
+
+def _hash(key: str) -> str:
+    return f"('0x' || substr(md5('42:' || {key}), 1, 12))::BIGINT"
+
 
 #: The same over the helper models of the oracle.
 SQL = {
@@ -122,6 +143,11 @@ SQL = {
     "io_report": "SELECT store_id, store_name, region FROM stg_stores",
     "io_table": "SELECT * FROM stg_items",
     "io_jdbc": "SELECT * FROM stg_items",
+    "sample_by_key": f"""SELECT store_id, n_sales, units, n_inventory FROM (SELECT store_id, count(*) AS n_sales, sum(total_quantity_sold)::BIGINT AS units FROM fct_daily_sales GROUP BY 1)
+      FULL JOIN (SELECT store_id, count(*) AS n_inventory FROM fct_inventory_snapshots GROUP BY 1) USING (store_id)
+      WHERE store_id IN (SELECT store_id FROM stg_stores ORDER BY {_hash('store_id')}, store_id LIMIT (SELECT ceil(count(*) / 3)::BIGINT FROM stg_stores))""",
+    "sample_exact": f"SELECT item_nbr FROM stg_items ORDER BY {_hash('item_nbr::VARCHAR')}, item_nbr::VARCHAR LIMIT 100",
+    "sample_bernoulli": f"SELECT sale_id, store_id, quantity_sold FROM stg_sales WHERE {_hash('sale_id')} < {int(0.05 * (1 << 48))}",
     "io_verify": f"SELECT date::VARCHAR AS dt, count(*) AS rows, count(*) AS n_found, 'ok' AS status FROM stg_transactions GROUP BY 1 UNION ALL SELECT '{UNLISTED}', NULL, 3, 'unlisted'",
     "dq_coverage_folders": """SELECT t AS "table", min(d) AS first_date, max(d) AS last_date, count(DISTINCT d) AS n_dates, date_diff('day', (SELECT min(d) FROM folder_dates), (SELECT max(d) FROM folder_dates)) + 1 - count(DISTINCT d) AS n_missing, count(*) AS n_rows
       FROM folder_dates GROUP BY t""",

@@ -1,6 +1,7 @@
 """Small cases with known answers."""
 
 import datetime
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import scalars as sc
 from larder.operators import analyses, features, forecasting, monitoring, quality, reorder, risk, staging
-from larder.sources import io
+from larder.sources import io, samples
 
 
 def test_text_numbers_and_dates(spark):
@@ -160,8 +161,8 @@ def test_csv_round_trip_and_samples(spark, tmp_path):
     io.write_csv(rows, str(tmp_path / "csv"))
     assert sorted(map(tuple, io.read_raw_csv(spark, str(tmp_path / "csv"), ["k", "v"]).collect())) == [("1", 'a "b", c'), ("2", None)]
     many = spark.range(1000).withColumnRenamed("id", "k")
-    kept = io.sample_by_key({"a": many, "b": many}, many, "k", 0.3)
-    assert kept["a"].exceptAll(kept["b"]).isEmpty() and 200 < kept["a"].count() < 400
+    kept = samples.sample_by_key({"a": many, "b": many}, many, "k", 0.3)
+    assert kept["a"].exceptAll(kept["b"]).isEmpty() and kept["a"].count() == 300
 
 
 def test_a_days_rows_are_written_by_several_tasks(spark, tmp_path):
@@ -177,8 +178,8 @@ def test_a_days_rows_are_written_by_several_tasks(spark, tmp_path):
 
 def test_bernoulli_and_dates(spark, monkeypatch):
     rows = spark.range(10_000)
-    some = io.bernoulli_sample(rows, 0.2, 7)
-    assert 1800 < some.count() < 2200 and some.exceptAll(io.bernoulli_sample(rows, 0.2, 7)).isEmpty()
+    some = samples.bernoulli_sample(rows, 0.2, "id", 7)
+    assert 1800 < some.count() < 2200 and some.exceptAll(samples.bernoulli_sample(rows, 0.2, "id", 7)).isEmpty()
     monkeypatch.setenv("PIPELINE_DATE", "2025-03-01")
     assert io.resolve_date("2025-02-01") == datetime.date(2025, 2, 1) and io.resolve_date() == datetime.date(2025, 3, 1)
     monkeypatch.delenv("PIPELINE_DATE")
@@ -214,3 +215,14 @@ def test_stream_takes_files_once(spark, tmp_path):
     for _ in range(2):
         ingest_available(stream_raw_csv(spark, source, ["d", "v"]), out, "d", mark).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+@pytest.mark.parametrize(("n", "step", "most"), [(0, 12, 10_000), (1, 12, 10_000), (137, 4, 5), (500, 12, 1), (900, 12, 10_000)])
+def test_samples_have_their_exact_size(spark, monkeypatch, n, step, most):
+    monkeypatch.setattr(samples, "STEP", step)
+    monkeypatch.setattr(samples, "SORTED", most)
+    keys = [f"k{i}" for i in range(500)] + ["k1", None]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    order = sorted(set(keys), key=lambda k: (int(hashlib.md5(f"7:{k or ''}".encode()).hexdigest()[:12], 16), k or ""))
+    assert {r["k"] for r in samples.sample_keys(df, n, 7).collect()} == set(order[:n])
+    assert samples.sample_keys(df.limit(0), n, 7).count() == 0

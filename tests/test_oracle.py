@@ -12,7 +12,7 @@ from larder.sources.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
 #: A query of each family; bench and the driver run them all.
-NAMES = ["stg_products", "stg_sales", "stg_shipments", "dim_date", "fct_daily_sales", "mart_supplier_performance", "mart_store_daily_sales", "an_summary", "an_monthly", "dq_not_null", "dq_coverage", "supplier_quadrants", "feat_rolling", "feat_ewm", "feat_trend", "reorder", "missing_pairs", "eda_describe", "stockout_risk", "feat_matrix", "features_filled", "horizon_rows", "series_of_region", "segment_errors", "best_fold", "an_union", "quadrant_list", "clean_names", "eda_stockout_rate", "eda_discount", *sinks.BUILDERS]
+NAMES = ["stg_products", "stg_sales", "stg_shipments", "dim_date", "fct_daily_sales", "mart_supplier_performance", "mart_store_daily_sales", "an_summary", "an_monthly", "dq_not_null", "dq_coverage", "supplier_quadrants", "feat_rolling", "feat_ewm", "feat_trend", "reorder", "missing_pairs", "eda_describe", "stockout_risk", "feat_matrix", "features_filled", "horizon_rows", "series_of_region", "segment_errors", "best_fold", "an_union", "quadrant_list", "clean_names", "eda_stockout_rate", "eda_discount", "feat_codes", "codes_table", "dq_rules", "dq_observed", *sinks.BUILDERS]
 QUERIES = {**retail.queries(), **retail.queries(sinks.BUILDERS)}
 
 
