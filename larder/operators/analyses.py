@@ -13,15 +13,18 @@ from larder.operators.staging import tag
 
 
 def an_summary(mart: DataFrame) -> DataFrame:
-    def days(condition: Column) -> Column:
-        return F.countDistinct(F.when(condition, F.col("saledate")))
-
+    """One row; days are summed up first, so that counts of distinct days are plain counts."""
     hol, wage, event = F.col("is_holiday"), F.col("is_wage_day"), F.col("is_event_period")
-    rows = mart.agg(
-        F.countDistinct("saledate").alias("total_days"), F.countDistinct("store_nbr").alias("total_stores"), F.sum("total_units_sold").alias("total_units_sold"), F.sum("returned_units").alias("total_returned_units"), F.sum("transactions_count").alias("total_transactions"),
-        days(hol).alias("holiday_days"), days(wage).alias("wage_days"), days(event).alias("event_days"), days(hol & wage).alias("holiday_wage_days"), F.avg("total_units_sold").alias("avg_daily_units"),
+    kinds = {"holiday_days": hol, "wage_days": wage, "event_days": event, "holiday_wage_days": hol & wage}
+    sums = {"total_units_sold": "total_units_sold", "total_returned_units": "returned_units", "total_transactions": "transactions_count"}
+    days = mart.groupBy("saledate").agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.count("total_units_sold").alias("n"), *[F.bool_or(c).alias(n) for n, c in kinds.items()])
+    rows = days.agg(
+        F.count("saledate").alias("total_days"), *[F.sum(n).alias(n) for n in sums], *[F.count_if(F.col(n) & F.col("saledate").isNotNull()).alias(n) for n in kinds],
+        F.try_divide(F.sum("total_units_sold"), F.sum("n")).alias("avg_daily_units"),
     )
-    return tag(rows, "summary")
+    stores = mart.where("store_nbr IS NOT NULL").select("store_nbr").distinct().agg(F.count("*").alias("total_stores"))
+    columns = ["total_days", "total_stores", "total_units_sold", "total_returned_units", "total_transactions", *kinds, "avg_daily_units"]
+    return tag(rows.join(F.broadcast(stores)).select(*columns), "summary")  # a row each
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

@@ -108,13 +108,17 @@ def enrich_store_day(daily: DataFrame, stores: DataFrame, transactions: DataFram
 
 def mart_store_daily_sales(train: DataFrame, stores: DataFrame, transactions: DataFrame, holidays: DataFrame) -> DataFrame:
     """One row per day and store; holidays count for every store."""
-    u = F.col("unit_sales")
-    daily = train.groupBy("date", "store_nbr").agg(
-        F.countDistinct("item_nbr").alias("unique_item_types_sold"), F.count("*").alias("line_items"), F.sum(u).alias("total_units_sold"),
-        F.sum(F.when(F.col("is_return"), F.abs(u)).otherwise(0.0)).alias("returned_units"), F.sum(F.when(F.col("is_return"), 0.0).otherwise(u)).alias("sold_units"),
-        F.sum(F.when(F.col("onpromotion"), u).otherwise(0.0)).alias("promo_units"), F.sum(F.when(F.col("onpromotion"), 0.0).otherwise(u)).alias("nonpromo_units"),
-        F.count_if("onpromotion").alias("items_on_promo"), F.countDistinct(F.when(F.col("onpromotion"), F.col("item_nbr"))).alias("distinct_items_on_promo"),
-        F.bool_or("is_wage_day").alias("is_wage_day"), F.bool_or("is_event_period").alias("is_event_period"),
+    u, promoted = F.col("unit_sales"), F.col("onpromotion")
+    measures = {
+        "total_units_sold": u, "returned_units": F.when(F.col("is_return"), F.abs(u)).otherwise(0.0), "sold_units": F.when(F.col("is_return"), 0.0).otherwise(u),
+        "promo_units": F.when(promoted, u).otherwise(0.0), "nonpromo_units": F.when(promoted, 0.0).otherwise(u),
+    }
+    flags = [F.bool_or(c).alias(c) for c in ("is_wage_day", "is_event_period")]
+    # A row an item first: both counts of distinct items are then plain counts, and no row is multiplied for them.
+    items = train.groupBy("date", "store_nbr", "item_nbr").agg(F.count("*").alias("lines"), *[F.sum(c).alias(n) for n, c in measures.items()], F.count_if("onpromotion").alias("promoted"), *flags)
+    daily = items.groupBy("date", "store_nbr").agg(
+        F.count("item_nbr").alias("unique_item_types_sold"), F.sum("lines").alias("line_items"), *[F.sum(n).alias(n) for n in measures],
+        F.sum("promoted").alias("items_on_promo"), F.count_if(F.col("item_nbr").isNotNull() & (F.col("promoted") > 0)).alias("distinct_items_on_promo"), *flags,
     )
     d = F.col("date")
     rows = enrich_store_day(daily, stores, store_transactions(transactions), holiday_flags(holidays))

@@ -75,3 +75,17 @@ def test_medians_and_descriptions(spark):
 def test_histogram_counts_rows_without_a_key(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, None)], "k string, v double")
     assert sorted(map(tuple, analyses.histogram(df, "v", 4, "k").collect()), key=repr) == [("a", 0, 1), ("a", 3, 1), (None, 0, 1)]
+
+
+@pytest.mark.parametrize("name", ["mart_store_daily_sales", "an_summary"])
+def test_distinct_counts_multiply_no_rows(spark, name):
+    assert "Expand" not in plan(retail.BUILDERS[name](retail.Retail(spark, SF)))
+
+
+def test_summary_of_an_empty_mart_and_of_nulls(spark):
+    mart = retail.Retail(spark, SF).mart_store_daily_sales()
+    row = analyses.an_summary(mart.limit(0)).first()
+    assert row["total_days"] == row["total_stores"] == 0 and row["avg_daily_units"] is None
+    odd = mart.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in mart.dtypes])
+    row = analyses.an_summary(odd).first()
+    assert (row["total_days"], row["total_stores"], row["holiday_days"]) == (0, 0, 0)
