@@ -28,7 +28,7 @@ SMALL_BUCKET = 40
 ROWS_A_TASK = 20_000
 BROADCAST_IDS = 500_000
 #: Rows signed together: each needs some 900 points of the processes, whatever its length.
-BLOCK_ROWS = 500
+BLOCK_ROWS = 250
 SLOTS = BANDS * ROWS
 _U = np.uint64
 

@@ -6,12 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from larder.sources.scratch import drop_written, fresh_path, shared_dir, written
+from larder.sources.scratch import ARROW, drop_written, fresh_path, shared_dir, written
 
-__all__ = ["drop_written", "fresh_path", "id_crc32", "list_parts", "mix64", "ragged_arange", "shared_dir", "slices", "text_slices", "written"]
+__all__ = ["bounded_batches", "drop_written", "fresh_path", "id_crc32", "list_parts", "mix64", "ragged_arange", "shared_dir", "slices", "text_slices", "written"]
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets the session hand few rows at a time to Python workers, wherever the result of a map over whole texts is used.
+
+    The default of 10,000 rows makes batches of many megabytes, in the worker and in the buffers that its executor keeps.
+    """
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
 
 
 def id_crc32(col: str | Column) -> Column:

@@ -85,7 +85,7 @@ def tokenize(docs: DataFrame, path: str, *, end: int, window: int, id_col: str,
 
     def run(batches):
         encoder, row = worker_encoder(path), 0
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 19):
             offsets, ids = with_end(*encoder.encode(part.column(1).to_pylist()), end)
             data = memoryview(ids.astype("<u4").tobytes())
             sizes = np.diff(offsets)

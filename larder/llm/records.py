@@ -12,6 +12,7 @@ has a record's part, bytes an id, byte offset, payload bytes, document id and to
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -65,6 +66,8 @@ def read_frames(source, kind: str, chunk: int = 8 << 20):
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder; Hadoop's names of object stores are those of the same stores here."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -83,6 +86,7 @@ def write_records(docs: DataFrame, folder: str, path: str, *, end: int = 1, part
     in several parts, as may repeated rows; an empty table gives an empty index; other columns are not read.
     """
     spark = docs.sparkSession
+    _filesystem(folder)  # a folder that tasks could not write to fails here, before any work
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = parts or part_count(rows, "text")
     order = ["id", F.xxhash64("text"), F.pmod(F.monotonically_increasing_id(), F.lit(4096))]  # the last parts equal rows only

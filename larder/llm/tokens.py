@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import re
 import sys
 import threading
@@ -23,11 +24,11 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import ragged_arange
 
 CUT = re.compile(r"(?<=\S)(?:( )|(\n))(?=\S)")
-MEMO_PIECES = 250_000
+MEMO_PIECES = 160_000
 MEMO_CHARS = 48
 MEMO_LONG_CHARS = 8 << 20
 TOGETHER = 32
-IDLE_SECONDS = 3
+IDLE_SECONDS = 1
 # Marks that end a word: both vocabularies make one of them after a letter a token of its own.
 ENDINGS = ",."
 
@@ -44,6 +45,7 @@ class PieceEncoder:
     """ids of texts as flat arrays.  keeps_blanks: a piece after a blank keeps it (byte-level vocabularies), else blanks go."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would each keep memory
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_blanks = self._plain([" a"]) != self._plain(["a"])

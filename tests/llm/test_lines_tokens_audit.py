@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import alignment, audit, linededup, queries
+from larder.llm import alignment, audit, linededup, packing, queries, records
 
 SPACES = " \t\n\v\f\r"
 LONG = "one line of many words that repeats\n" * 20_000
@@ -228,3 +228,31 @@ def test_least_squares_give_the_mean_over_orders(n):
 def test_new_queries_are_registered():
     assert {"op11_line_dedup", "op12_token_alignment", "op13_filter_audit"} <= queries.QUERIES.keys()
     assert {"op11_line_dedup", "op13_filter_audit"} <= queries.ORACLE_SQL.keys()
+
+
+# --- rules of earlier operators by brute force
+
+
+@pytest.mark.parametrize("window", [2, 7, 32])
+def test_sum_of_squares_places_as_by_trying_every_level(window):
+    rng = random.Random(window)
+    packer, levels = packing.SumOfSquares(window), [0] * (window + 1)
+    for _ in range(800):
+        length, tried = rng.randint(1, window - 1), []
+        for level in range(window - length, -1, -1):  # the fullest first: it wins among equal ones
+            if level and not levels[level]:
+                continue
+            after = list(levels)
+            after[level] -= bool(level)
+            after[level + length] += level + length < window
+            tried.append((sum(n * n for n in after[1:window]), -level))
+        level = -min(tried)[1]
+        assert packer.place(length)[1] == level
+        levels[level] -= bool(level)
+        levels[level + length] += level + length < window
+        levels[0] = levels[window] = 0
+
+
+def test_folders_of_object_stores_and_unknown_ones(spark):
+    with pytest.raises(Exception, match="nosuch"):
+        records.write_records(docs_of(spark, [(1, "a", "en")]), "nosuch://place/records", public_tokenizers.path("word_bpe_49k.json"))
