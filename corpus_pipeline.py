@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import bagminhash, langid, mixing, packing, toxicity
-from larder.llm.common import drop_written, written
+from larder.llm.common import bounded_batches, drop_written, written
 from larder.llm.queries import language_model, tokenizer_path, toxicity_model
 
 #: A document goes if it has no letter, or if no language is likelier than this.
@@ -19,6 +19,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts stay; without labels (an empty table, or no labelled row in docs) only a fixed prior scores, and no
     row goes.  Repeated rows stay or go together; null ids stay; other columns, whatever their names, are handed on.
     """
+    bounded_batches(spark)
     model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_below(docs, model, MOST_TOXICITY)
 
@@ -29,6 +30,7 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and letterless texts go; without a labelled row the one class is certain and all others stay.  Repeated rows
     stay or go together; null ids, sources and languages do not matter.
     """
+    bounded_batches(spark)
     return langid.keep_identified(docs, language_model(docs), LEAST_LANGUAGE_SCORE)
 
 
@@ -44,6 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all docs in windows of 1024 tokens; null and empty texts are their end id alone, repeated rows documents of their own."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end=0, window=1024)
 
 
