@@ -217,11 +217,11 @@ def walk_forward_eval(df: DataFrame, params: Mapping | None = None, folds: Seque
     return df.sparkSession.createDataFrame(out, "fold int, horizon int, wape double, rmse double, bias double, n bigint")
 
 
-def tune(df: DataFrame, space: Mapping[str, Sequence], trials: int, folds: Sequence = FOLDS, horizons: Sequence[int] = HORIZONS, seed: int = 42, trees: int = 20, keep: int = 3, **columns) -> DataFrame:
+def tune(df: DataFrame, space: Mapping[str, Sequence], trials: int, folds: Sequence = FOLDS, horizons: Sequence[int] = HORIZONS, seed: int = 42, trees: int = 20, keep: int = 4, least_trees: int = 3, **columns) -> DataFrame:
     """(trial, settings, rung, trees, wape, best) of a search by successive halving over seeded draws from `space`.
 
-    All draws are fitted with few trees on the latest fold's first horizon; the better one in `keep` goes on with `keep` times
-    the trees, and so on.  The last `keep` or fewer are fitted with all `trees` on every fold and horizon, and `best` marks the
+    All draws are fitted with few trees (least_trees or more) on the latest fold's first horizon; the better one in `keep` goes
+    on with `keep` times the trees, and so on.  The last `keep` or fewer are fitted with all `trees` on every fold and horizon, and `best` marks the
     least mean WAPE of these, the first of equal ones.  Fits stop early where trees no longer help on the validation part.
     A draw has a row for the rung that it reached.  Features are coded and assembled once for all fits.
     """
@@ -234,7 +234,7 @@ def tune(df: DataFrame, space: Mapping[str, Sequence], trials: int, folds: Seque
     try:
         for rung, _ in enumerate(sizes):
             last = rung == len(sizes) - 1
-            n = max(1, round(trees / keep ** (len(sizes) - 1 - rung)))
+            n = min(trees, max(least_trees, round(trees / keep ** (len(sizes) - 1 - rung))))
             scope = [(f, h) for f in prepared for h in horizons] if last else [(f, h) for f in prepared[-1:] for h in horizons[:1]]
             todo = [(t, f, h) for t in left for f, h in scope]
             scored = _side_by_side(lambda x, n=n: x[1].score({**draws[x[0]], "maxIter": n}, x[2], stop=True), todo)
