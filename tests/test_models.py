@@ -125,3 +125,11 @@ def test_small_walk_forward_and_forecasts(spark):
     made = retail._forecasts(retail.Retail(spark, SF), horizons=(1, 2), **SMALL).collect()
     pairs = {(r["store_id"], r["product_id"]) for r in made}
     assert len(made) == 2 * len(pairs) and all(r["predicted_quantity"] >= 0 and (r["forecast_date"] - r["forecast_generated_date"]).days == r["horizon_day"] for r in made)
+
+
+def test_permuting_the_telling_feature_hurts_most(spark):
+    rows = spark.range(600).selectExpr("'s' AS store_id", "cast(id % 20 AS string) AS product_id", "date_add(DATE'2020-01-01', cast(id / 20 AS int)) AS date", "cast(id * 7 % 13 AS double) AS lag_1", "cast(id % 5 AS double) AS lag_7", "1.0D AS quantity_sold")
+    rows = rows.withColumn("target", F.col("lag_1") * 3)
+    model = forecasting.train_horizons(rows, {"maxIter": 3, "maxDepth": 4}, (1,), ("lag_1", "lag_7"), ())[1]
+    found = forecasting.permutation_importance(model, rows, ["lag_7", "lag_1"]).collect()
+    assert [r["feature"] for r in found] == ["lag_1", "lag_7"] and found[0]["wape_increase"] > 0.2 > abs(found[1]["wape_increase"])
