@@ -146,17 +146,31 @@ def region_features(features: DataFrame, lagged: DataFrame | None = None) -> Dat
     return features.join(region_demand(features if lagged is None else lagged), ["region", "product_id", "date"], "left")
 
 
+def colocated_region_features(features: DataFrame, lagged: DataFrame) -> DataFrame:
+    """region_features() for rows that lie by store and product: the demand is dealt to the narrow series and joined by its keys.
+
+    So only (keys, date, value) are shuffled and the wide rows stay where they are; one row a store, product and day is assumed.
+    Rows without a region have no demand of one.
+    """
+    dealt = lagged.join(region_demand(lagged), ["region", "product_id", "date"], "left").drop("region", "lag_1", "quantity_sold")
+    return features.join(dealt, [*SERIES, "date"], "left")
+
+
 def supplier_features(features: DataFrame, products: DataFrame, suppliers: DataFrame) -> DataFrame:
     s = products.select("product_id", "supplier_id").join(suppliers.select("supplier_id", "avg_actual_lead_time_days", "calculated_on_time_rate", "avg_fill_rate"), "supplier_id", "left")
     return features.join(s.drop("supplier_id"), "product_id", "left")
 
 
-def build_features(fact: DataFrame, inventory: DataFrame, products: DataFrame, suppliers: DataFrame, least_history: int = 30) -> DataFrame:
-    """The full matrix; rows of the first 28 observations of a series are trimmed, a NULL target marks the row to forecast from."""
+def build_features(fact: DataFrame, inventory: DataFrame, products: DataFrame, suppliers: DataFrame, least_history: int = 30, colocated: bool = False) -> DataFrame:
+    """The full matrix; rows of the first 28 observations of a series are trimmed, a NULL target marks the row to forecast from.
+
+    colocated: fact and inventory are tables bucketed by SERIES, and the region's demand comes to them instead of the reverse.
+    """
     rows = daily_series(fact)
     narrow = with_lags(min_history(rows.select(*SERIES, "date", "region", "quantity_sold"), least_history), (1,))
     features = with_days_of_stock(demand_features(with_snapshot(rows, inventory), least_history))
-    return trim_warmup(supplier_features(region_features(features, narrow), products, suppliers))
+    regional = colocated_region_features if colocated else region_features
+    return trim_warmup(supplier_features(regional(features, narrow), products, suppliers))
 
 
 def trim_warmup(df: DataFrame) -> DataFrame:

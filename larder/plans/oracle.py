@@ -306,6 +306,7 @@ _HELPERS = {*RAW, "folder_dates", "code_values", "code_days", "code_all", "code_
 
 
 SQL |= SINK_SQL
+ROUNDED["feat_matrix_bucketed"] = ROUNDED["feat_matrix"]
 
 
 def _needs(name: str, seen: dict[str, None]) -> None:

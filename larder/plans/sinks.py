@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.plans.retail import Retail
+from larder.operators import features as ft
 from larder.operators import quality
+from larder.plans.retail import Retail
 from larder.sources import io, jdbc, manifest, samples
-from larder.sources.scratch import fresh_path
+from larder.sources.scratch import fresh_path, written
 
 #: Days of the round trips.
 FROM, TO, SPLIT, UNLISTED = "1996-03-01", "1996-08-31", "1998-06-01", "2031-01-01"
@@ -107,6 +108,31 @@ def table(r: Retail) -> DataFrame:
     return io.read_table(r.spark, name)
 
 
+#: A join by store, product and date may use tables that lie by store and product.
+COLOCATED = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def bucketed_facts(r: Retail) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
+    """The daily facts as tables bucketed by store and product, and (name, path) of each, for io.drop_table()."""
+    tables, kept = {}, []
+    for fact, df, day in (("sales", r.fct_daily_sales(), "sale_date"), ("inventory", r.fct_inventory_snapshots(), "snapshot_date")):
+        path = fresh_path(r.spark, fact)
+        name = "larder_" + path.rpartition("larder-")[2].replace("-", "_")
+        tables[fact] = io.write_bucketed(df, name, ft.SERIES, [day], path=path)
+        kept.append((name, path))
+    return tables, kept
+
+
+def bucketed_matrix(r: Retail) -> DataFrame:
+    """The feature matrix over bucketed facts, saved; the facts' rows are not shuffled for windows, snapshots or the region's demand."""
+    facts, kept = bucketed_facts(r)
+    rows = ft.build_features(facts["sales"], facts["inventory"], written(r.dim_products(), "products"), r.mart_supplier_performance(), colocated=True)
+    rows = written(rows, "matrix", settings=COLOCATED)
+    for name, path in kept:
+        io.drop_table(r.spark, name, path)
+    return rows
+
+
 def sampled_stores(r: Retail) -> DataFrame:
     """Days and units of the stores in an exact third, counted in two facts that keep the same stores."""
     kept = samples.sample_by_key({"sales": r.fct_daily_sales(), "inventory": r.fct_inventory_snapshots()}, r.stg_stores(), "store_id", 1 / 3)
@@ -124,7 +150,7 @@ def sampled_rows(r: Retail) -> DataFrame:
     return samples.bernoulli_sample(r.stg_sales(), 0.05, "sale_id").select("sale_id", "store_id", "quantity_sold")
 
 
-BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {"io_raw_csv": raw_csv, "io_text_table": text_table, "io_fact_days": fact_days, "io_mart": mart, "io_dim": dim, "io_ingest": ingest, "io_ingest_all": ingest_all, "io_dated": dated, "io_report": report, "io_table": table, "io_verify": verified, "dq_coverage_folders": coverage, "io_jdbc": database, "sample_by_key": sampled_stores, "sample_exact": sampled_items, "sample_bernoulli": sampled_rows}
+BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {"io_raw_csv": raw_csv, "io_text_table": text_table, "io_fact_days": fact_days, "io_mart": mart, "io_dim": dim, "io_ingest": ingest, "io_ingest_all": ingest_all, "io_dated": dated, "io_report": report, "io_table": table, "io_verify": verified, "dq_coverage_folders": coverage, "io_jdbc": database, "sample_by_key": sampled_stores, "sample_exact": sampled_items, "sample_bernoulli": sampled_rows, "feat_matrix_bucketed": bucketed_matrix}
 
 def _hash(key: str) -> str:
     return f"('0x' || substr(md5('42:' || {key}), 1, 12))::BIGINT"
@@ -142,6 +168,7 @@ SQL = {
     "io_dated": "SELECT store_id, '2025-01-02' AS dt FROM stg_stores UNION ALL SELECT store_id, '2025-01-01' FROM stg_stores WHERE store_id = '3'",
     "io_report": "SELECT store_id, store_name, region FROM stg_stores",
     "io_table": "SELECT * FROM stg_items",
+    "feat_matrix_bucketed": "SELECT * FROM feat_matrix",
     "io_jdbc": "SELECT * FROM stg_items",
     "sample_by_key": f"""SELECT store_id, n_sales, units, n_inventory FROM (SELECT store_id, count(*) AS n_sales, sum(total_quantity_sold)::BIGINT AS units FROM fct_daily_sales GROUP BY 1)
       FULL JOIN (SELECT store_id, count(*) AS n_inventory FROM fct_inventory_snapshots GROUP BY 1) USING (store_id)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +29,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
-def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.  parts: at most so many files."""
+def written(df: DataFrame, name: str, parts: int | None = None, settings: Mapping[str, str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    parts: at most so many files; settings: of the session, for this write alone.
+    """
     path, conf = fresh_path(df.sparkSession, name), df.sparkSession.conf
-    before = {k: conf.get(k) for k in ARROW}
-    for k, v in ARROW.items():
+    during = {**ARROW, **(settings or {})}
+    before = {k: conf.get(k) for k in during}
+    for k, v in during.items():
         conf.set(k, v)
     try:
         (df.coalesce(parts) if parts else df).write.parquet(path)
