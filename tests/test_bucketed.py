@@ -65,3 +65,9 @@ def test_null_keys_repeated_rows_and_empty_tables(colocated, tmp_path):
         assert exchanges(back.groupBy("s", "p").count()) == []
         io.drop_table(colocated, f"larder_odd_{n}", path)
         assert not (tmp_path / f"t{n}").exists()
+
+
+def test_matrix_reads_the_raw_lines_once_a_source(spark):
+    made = retail.Retail(spark, SF).feat_matrix()
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 2  # snapshots and shipments; sales are written before
+    assert not made.isEmpty()
