@@ -133,3 +133,39 @@ def test_permuting_the_telling_feature_hurts_most(spark):
     model = forecasting.train_horizons(rows, {"maxIter": 3, "maxDepth": 4}, (1,), ("lag_1", "lag_7"), ())[1]
     found = forecasting.permutation_importance(model, rows, ["lag_7", "lag_1"]).collect()
     assert [r["feature"] for r in found] == ["lag_1", "lag_7"] and found[0]["wape_increase"] > 0.2 > abs(found[1]["wape_increase"])
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_fits_move_no_rows_for_their_labels_and_codes_are_summed_once(spark):
+    rows = wide(spark, 40, 9)
+    built = forecasting.training_rows(rows, ("lag_1",), ("product_id", "region"), (1, 3, 7))
+    for h in (1, 3, 7):
+        assert exchanges(forecasting._labelled(built.rows, h)) == 0
+        want = sorted(r["target_h"] for r in forecasting.horizon_dataset(rows, h).collect())
+        assert sorted(r["__label"] for r in forecasting._labelled(built.rows, h).collect()) == want and len(want) == 40 * (10 - h)
+    coded = encoding.with_ordered_codes(rows, ("product_id", "region", "store_id"), "quantity_sold")
+    assert "Generate" not in coded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matrix_is_built_once_for_an_evaluation(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(retail.Retail, "feat_matrix", lambda self: spark.range(5))
+    monkeypatch.setattr(forecasting, "walk_forward_eval", lambda df, *a, **k: seen.append(df.inputFiles()) or spark.range(1))
+    monkeypatch.setattr(forecasting, "tune", lambda df, *a, **k: seen.append(df.inputFiles()) or spark.range(1))
+    retail._gbt(retail.Retail(spark, SF))
+    retail._tuned(retail.Retail(spark, SF))
+    assert len(seen) == 2 and all(seen)  # files of a written table, not a plan over the raw ones
+
+
+def test_forecasts_of_all_models_equal_each_models_own(spark):
+    rows = wide(spark, 20, 9).withColumn("target", F.when(F.col("date") < "2020-01-09", F.col("target")))
+    models = forecasting.train_horizons(rows, {"maxIter": 2, "maxDepth": 2}, (1, 2), ("lag_1",), ("product_id",))
+    made = forecasting.generate_forecasts(models, rows)
+    got = {(r["product_id"], r["horizon_day"]): r["predicted_quantity"] for r in made.collect()}
+    last = rows.where("target IS NULL")
+    want = {(r["product_id"], h): round(r["forecast"], 4) for h, m in models.items() for r in forecasting.predict(m, last).collect()}
+    assert got == pytest.approx(want) and len(got) == 40
+    assert "__features" not in made.columns and made._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1  # the date alone: no codes a model
