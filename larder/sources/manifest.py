@@ -87,13 +87,16 @@ def ingest_new_partitions(df: DataFrame, root: str, date_col: str) -> DataFrame:
     """Publishes the dates that the manifest does not have, as dt= folders; returns them as (dt).  Running it again writes nothing.
 
     Rows without a date are left out.  Rows are gathered by date, large dates in several tasks and small ones together, as
-    Spark sizes them at run time.  Counts and checksums are of what was written, and one row a date reaches the driver.
+    Spark sizes them at run time.  Counts and checksums are of what was written, and one row a date reaches the driver.  Where
+    no date is new, dates are all that is read.
     """
     spark, run = df.sparkSession, uuid.uuid4().hex
     folders = Folders(spark, root)
     folders.delete(STAGING)
     have = manifest(spark, root).select("dt")
     fresh = df.withColumn("dt", F.date_format(F.col(date_col).cast("date"), "yyyy-MM-dd")).where("dt IS NOT NULL").join(F.broadcast(have), "dt", "left_anti")
+    if fresh.select("dt").isEmpty():
+        return spark.createDataFrame([], "dt string")
     stage = f"{folders.root}/{STAGING}/{run}"
     fresh.hint("rebalance", F.col("dt")).write.partitionBy("dt").parquet(stage)
     staged = summed(spark.read.schema(StructType([*[f for f in fresh.schema if f.name != "dt"], StructField("dt", StringType())])).parquet(stage)).orderBy("dt").collect()

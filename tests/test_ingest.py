@@ -155,3 +155,18 @@ def test_entries_are_plain_json(spark, tmp_path):
     manifest.ingest_new_partitions(days(spark, 2), str(tmp_path / "f"), "d")
     (entry,) = (tmp_path / "f" / "_manifest").glob("*-0.json")
     assert json.loads(entry.read_text()).keys() == {"dt", "rows", "checksum", "run"}
+
+
+def test_a_run_without_a_new_date_reads_dates_only(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path / "fact"), days(spark, 3, 4)
+    manifest.ingest_new_partitions(rows, root, "d")
+    monkeypatch.setattr(manifest, "summed", lambda df: pytest.fail("rows were written and summed"))
+    assert manifest.ingest_new_partitions(rows, root, "d").count() == 0
+    assert manifest.ingest_new_partitions(rows.where("false"), str(tmp_path / "none"), "d").columns == ["dt"]
+
+
+def test_registered_ingest_stages_its_sales_once(spark, monkeypatch):
+    ingest, asked = manifest.ingest_new_partitions, []
+    monkeypatch.setattr(manifest, "ingest_new_partitions", lambda df, *a: asked.append(df.inputFiles()) or ingest(df, *a))
+    assert sinks.ingest(Retail(spark, SF)).count() > 0
+    assert len(asked) == 3 and not any("lineitem" in f for files in asked for f in files)
