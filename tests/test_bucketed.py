@@ -42,6 +42,17 @@ def test_windows_and_snapshots_do_not_move_the_facts(colocated):
         assert not colocated.catalog.tableExists(name)
 
 
+def test_bucketed_facts_hold_what_features_read(colocated):
+    r = retail.Retail(colocated, SF)
+    facts, kept = sinks.bucketed_facts(r)
+    assert "transaction_count" not in facts["sales"].columns  # a count of distinct sales, which no feature reads
+    for fact, whole, columns in (("sales", r.fct_daily_sales(), ft.DAILY), ("inventory", r.fct_inventory_snapshots(), ft.SNAPSHOT)):
+        assert sorted(facts[fact].columns) == sorted(columns)
+        assert sorted(map(str, facts[fact].select(*columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
+    for name, path in kept:
+        io.drop_table(colocated, name, path)
+
+
 def test_only_the_narrow_series_moves_for_the_regions_demand(colocated):
     facts, kept = sinks.bucketed_facts(retail.Retail(colocated, SF))
     rows = ft.daily_series(facts["sales"])
