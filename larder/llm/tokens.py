@@ -19,18 +19,22 @@ import types
 from itertools import chain, compress, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import ragged_arange
 
 CUT = re.compile(r"(?<=\S)(?:( )|(\n))(?=\S)")
-MEMO_PIECES = 160_000
+MEMO_PIECES = 240_000
 MEMO_CHARS = 48
 MEMO_LONG_CHARS = 8 << 20
 TOGETHER = 32
 IDLE_SECONDS = 1
 # Marks that end a word: both vocabularies make one of them after a letter a token of its own.
 ENDINGS = ",."
+#: What makes a text less than plain, besides blanks at its ends: zero characters, runs of blanks and line feeds, other white space.
+ODD = ["\0", "  ", "\n\n", " \n", "\n ", *[c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]]
 
 
 class _Numbers(dict):
@@ -81,16 +85,24 @@ class PieceEncoder:
         self.ids = self.ids[np.repeat(self.start[keep], size) + ragged_arange(size)]
         self.start, self.size, self.uses = np.cumsum(size) - size, size, (self.uses[keep] + 1) // 2
 
-    def _pieces(self, text: str) -> list[str]:
+    def _cased(self, text: str) -> str:
         if not self.keeps_blanks:
             try:  # this vocabulary has lower case only; doing it first makes more pieces equal
                 text = text.encode("latin-1").decode("latin-1").lower()
             except UnicodeEncodeError:
                 pass  # other letters are left to the tokenizer's own rules
-        if "\0" not in text and text.replace("\n", " ").split(" ") == text.split():  # only single blanks and line feeds, between words
-            if self.keeps_blanks:
-                return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            return text.replace("\n", " ").split(" ")
+        return text
+
+    def _marked(self, text: str) -> str | None:
+        """The pieces of a plain text, zero characters between them; none if it has more than single blanks and line feeds between words."""
+        if text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, ODD)):
+            return None
+        if self.keeps_blanks:
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        return text.replace("\n", "\0").replace(" ", "\0")
+
+    def _pieces(self, text: str) -> list[str]:
+        """The pieces of any text."""
         if not self.keeps_blanks:
             return [w for w in text.replace("\n", " ").split(" ") if w]
         out, at = [], 0
@@ -102,6 +114,25 @@ class PieceEncoder:
                 at += 1
         return [*out, text[at:]] if text[at:] else out
 
+    def _numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, at): how many pieces each text has, and their numbers in the index.  Equal pieces are looked up once."""
+        texts = [self._cased(t) for t in texts]
+        marked = [self._marked(t) if t else None for t in texts]
+        plain = np.array([m is not None for m in marked], bool)
+        rest = [self._pieces(t) if t else [] for t, m in zip(texts, marked, strict=True) if m is None]
+        split = pc.split_pattern(pa.array(list(compress(marked, plain.tolist())), pa.large_string()), "\0")
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain], counts[~plain] = np.diff(split.offsets.to_numpy()), [len(r) for r in rest]
+        found = pa.chunked_array([split.flatten(), pa.array(chain.from_iterable(rest), pa.large_string())]).combine_chunks().dictionary_encode()
+        names = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() makes a scalar of each
+        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[found.indices.to_numpy()]
+        if rest:  # plain texts came first
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            start = np.empty(len(texts), np.int64)
+            start[order] = np.cumsum(counts[order]) - counts[order]
+            at = at[np.repeat(start, counts) + ragged_arange(counts)]
+        return counts, at
+
     def _learn(self, known: int) -> int:
         """Adds the ids of the pieces that the index has numbered from `known` on; returns the length of the longest.
 
@@ -168,10 +199,8 @@ class PieceEncoder:
         self.used = time.monotonic()
         if len(self.index) > MEMO_PIECES:
             self._forget()
-        rows = [self._pieces(t) if t else [] for t in texts]
         known = len(self.index)
-        counts = np.array([len(row) for row in rows], np.int64)
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(rows)), np.int64, int(counts.sum()))
+        counts, at = self._numbered(texts)
         longest = self._learn(known) if len(self.index) > known else 0
         self.uses += np.bincount(at, minlength=len(self.uses))
         size = self.size[at]

@@ -558,6 +558,22 @@ def test_a_small_memo_forgets_without_a_trace(monkeypatch, name):
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [encoder.tokenizer.encode(r, add_special_tokens=False).ids for r in rows]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_piece_is_looked_up_once_for_all_its_places(name):
+    encoder, looked = PieceEncoder(queries.tokenizer_path(name)), []
+
+    class Index(type(encoder.index)):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    rows = ["the sea the sea\nthe sea", "", "a  gap\u2003and a\0zero", "the sea " * 50 + "the end", " the sea", "\n", "The SEA"]
+    encoder.index = Index()
+    offsets, ids = encoder.encode(rows)
+    assert len(looked) == len(set(looked)) < 40
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [encoder.tokenizer.encode(r, add_special_tokens=False).ids for r in rows]
+
+
 def test_records_round_trip(spark, sf, texts, tmp_path):
     folder, path = str(tmp_path / "rec"), queries.tokenizer_path("word_bpe_49k.json")
     index = records.write_records(spark.read.parquet(f"{sf}/documents.parquet"), folder, path, parts=3)
