@@ -218,12 +218,15 @@ def _classes(docs: DataFrame, *, id_col: str, text_col: str, threshold: float) -
     texts = written(signed.where("total > 0 and doc is not null").groupBy("id").agg(F.min("doc").alias("rep")), "texts", parts)
     reps = signed.join(_small(texts), "id").where("doc = rep").select("id", "rep", "total", "sig")
     reps = _once(reps, "reps", parts)
+    rows = _replaced(signed.select("doc", "id", "total"), "rows", parts, signed)
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, ROWS)))
     placed = reps.select("id", "rep", "total", F.explode(bands).alias("key"))
     shared = written(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared", parts)
     placed = _replaced(placed.join(shared, "key"), "placed", parts, shared)
     wanted = written(placed.select(F.col("rep").alias("doc"), "id").distinct(), "wanted", parts)
+    # Signatures are held against each other in every round: only those of texts that share a bucket stay.
+    reps = _replaced(reps.join(_small(wanted.select("id")), "id", "left_semi"), "signatures", parts, reps)
     bags = _once(_bags(docs, id_col, text_col, wanted), "bags")
 
     links, roots = None, placed.select("id", F.col("id").alias("root")).limit(0)
@@ -248,8 +251,8 @@ def _classes(docs: DataFrame, *, id_col: str, text_col: str, threshold: float) -
     named = written(texts.join(roots, "id").groupBy("root").agg(F.min("rep").alias("class_id")), "named", parts)
     joined = roots.join(named, "root").join(degree, "id").select("id", "class_id", "n_links")
     classes = texts.join(joined, "id", "left").select("id", "rep", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows, classes = written(signed.select("doc", "id", "total"), "rows"), written(classes, "classes", parts)
-    for t in (signed, reps, placed, wanted, bags, rest, texts, links, roots, named):
+    classes = written(classes, "classes", parts)
+    for t in (reps, placed, wanted, bags, rest, texts, links, roots, named):
         drop_written(t)
     return rows, classes
 

@@ -235,6 +235,21 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs(np.mean(found) - want) < 0.03
 
 
+def test_only_texts_in_shared_buckets_keep_their_signatures(spark, monkeypatch):
+    held, plausible = [], bagminhash._plausible
+
+    def seen(pairs, reps, threshold):
+        held.append(reps.count())
+        return plausible(pairs, reps, threshold)
+
+    monkeypatch.setattr(bagminhash, "_plausible", seen)
+    texts = [" ".join(f"w{k}x{i}" for i in range(100)) for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in bagminhash.near_duplicates(docs).collect()}
+    assert held and set(held) == {2}
+    assert found == {**{i: (i, 0) for i in range(1, 6)}, 0: (0, 1), 6: (0, 1)}
+
+
 def test_near_duplicates_odd_rows(spark, odd_documents):
     rows = bagminhash.near_duplicates(odd_documents).collect()
     got = [(r["doc_id"], r["class_id"]) for r in rows]
