@@ -30,6 +30,8 @@ BROADCAST_IDS = 500_000
 #: Rows signed together: each needs some 900 points of the processes, whatever its length.
 BLOCK_ROWS = 250
 SLOTS = BANDS * ROWS
+#: Parts of the items' range in which a bag's items are counted; a bag with more than MOST in one of them has no counts.
+CELLS, MOST = 256, 127
 _U = np.uint64
 
 
@@ -147,7 +149,10 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bags(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(id, bag) of the wanted texts (doc, id), each read from the row of that doc: a shingle's n-th copy is an item of its own, so that bags intersect as sets."""
+    """(id, n, cells, bag) of the wanted texts (doc, id), each read from the row of that doc: a shingle's n-th copy is an item of its own, so that bags intersect as sets.
+
+    n: the bag's items; cells: how many lie in each of CELLS equal parts of the items' range (null where a count is above MOST).
+    """
 
     def run(batches):
         for part in slices(batches, "words", 6 << 17):
@@ -155,12 +160,17 @@ def _bags(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
             offsets, words = list_parts(part.column(2))
             row, value, weight = shingle_bags(offsets, words)
             items = mix64(np.repeat(value, weight) + ragged_arange(weight).astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, weight, part.num_rows).astype(np.int64))])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items))], names=["id", "bag"])
+            n = np.bincount(row, weight, part.num_rows).astype(np.int64)
+            bags = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(items))
+            place = np.repeat(np.arange(part.num_rows) * CELLS, n) + (items.view(_U) >> _U(56)).astype(np.int64)
+            cells = np.bincount(place, minlength=part.num_rows * CELLS)
+            full = cells.reshape(-1, CELLS).max(axis=1, initial=0) > MOST
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * CELLS, pa.int32()), pa.array(np.minimum(cells, MOST).astype(np.int8)), mask=pa.array(full))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), cells, bags], names=["id", "n", "cells", "bag"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     rows = rows.join(_small(wanted), "doc").select("id", _word_hashes("text").alias("words")).select("id", _node("words").alias("node"), "words")
-    return rows.mapInArrow(run, "id bigint, bag array<bigint>")
+    return rows.mapInArrow(run, "id bigint, n int, cells array<tinyint>, bag array<bigint>")
 
 
 def _once(df: DataFrame, name: str, parts: int | None = None, keys: Sequence[str] = ("id",)) -> DataFrame:
@@ -201,11 +211,27 @@ def components(edges: DataFrame, name: str, parts: int) -> DataFrame:
             return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
-def _similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bags have a weighted Jaccard similarity of at least `threshold`."""
-    rows = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
+def _within(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Drops pairs (a, b) whose bags cannot overlap by `threshold`: in a cell they share the smaller count at most."""
+    x, y = (bags.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}")) for c in "ab")
+    rows = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") >= F.lit(threshold - 1e-12) * F.greatest("na", "nb"))
+    most = F.aggregate(F.zip_with("ca", "cb", lambda i, k: F.least(i, k)), F.lit(0), lambda total, i: total + i)
+    most = F.coalesce(most, F.least("na", "nb"))
+    return rows.where(most >= F.lit(threshold - 1e-12) * (F.col("na") + F.col("nb") - most)).select("a", "b")
+
+
+def _similar(pairs: DataFrame, bags: DataFrame, threshold: float, name: str, parts: int) -> DataFrame:
+    """The pairs (a, b), written, whose bags have a weighted Jaccard similarity of at least `threshold`.
+
+    Counts are compared first, and bags move only for the pairs that these leave.
+    """
+    near = written(_within(pairs, bags, threshold), f"{name}-near", parts)
+    ids = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids", parts)
+    held = bags.join(_small(ids), "id", "left_semi")
+    rows = near.join(held.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return rows.where(common >= F.lit(threshold - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    rows = rows.where(common >= F.lit(threshold - 1e-12) * (F.size("x") + F.size("y") - common))
+    return _replaced(rows.select("a", "b"), name, parts, near, ids)
 
 
 def _classes(docs: DataFrame, *, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -221,12 +247,14 @@ def _classes(docs: DataFrame, *, id_col: str, text_col: str, threshold: float) -
     rows = _replaced(signed.select("doc", "id", "total"), "rows", parts, signed)
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, ROWS)))
-    placed = reps.select("id", "rep", "total", F.explode(bands).alias("key"))
-    shared = written(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared", parts)
-    placed = _replaced(placed.join(shared, "key"), "placed", parts, shared)
-    wanted = written(placed.select(F.col("rep").alias("doc"), "id").distinct(), "wanted", parts)
+    keys = reps.select("id", F.explode(bands).alias("key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared", parts)
+    keys = _replaced(keys.join(_small(shared), "key"), "keys", parts, shared)
     # Signatures are held against each other in every round: only those of texts that share a bucket stay.
-    reps = _replaced(reps.join(_small(wanted.select("id")), "id", "left_semi"), "signatures", parts, reps)
+    known = written(keys.select("id").distinct(), "known", parts)
+    reps = _replaced(reps.join(_small(known), "id", "left_semi"), "signatures", parts, reps, known)
+    wanted = written(reps.select(F.col("rep").alias("doc"), "id"), "wanted", parts)
+    placed = _replaced(keys.join(reps.select("id", "rep", "total"), "id"), "placed", parts, keys)
     bags = _once(_bags(docs, id_col, text_col, wanted), "bags")
 
     links, roots = None, placed.select("id", F.col("id").alias("root")).limit(0)
@@ -238,7 +266,9 @@ def _classes(docs: DataFrame, *, id_col: str, text_col: str, threshold: float) -
         leads = written(mixed.groupBy("key").agg(F.min_by(F.struct("id", *([] if n == 0 else ["root"])), order).alias("lead")), f"leads-{n}", parts)
         pairs = mixed.join(leads, "key").where("id <> lead.id" if n == 0 else "root <> lead.root").select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct().coalesce(parts)
         likely = written(_plausible(pairs, reps, threshold), f"likely-{n}", parts)
-        fresh = _replaced(_similar(likely, bags, threshold), f"links-{n}", parts, likely, leads)
+        fresh = _similar(likely, bags, threshold, f"links-{n}", parts)
+        for t in (likely, leads):
+            drop_written(t)
         if n and fresh.isEmpty():
             break
         links = fresh if links is None else _replaced(links.unionByName(fresh), f"all-links-{n}", parts, links, fresh)
@@ -335,16 +365,16 @@ def _across_classes(bags: DataFrame, rest: DataFrame, threshold: float, parts: i
     first; one order for all.  Bags of n and m items that overlap by the threshold share at least o = t (n + m) / (1 + t)
     items, and so one of the first n - o + 1 and m - o + 1; and where the first shared item stands at i and j, they share
     min(n - i, m - j) items at most.  Sizes are put into steps of ratio 1 / t, so that a bag has three steps of partners, and
-    gives each step only the items that o allows for it.
+    gives each step only the items that o allows for it; a bag with so many other items that none is left is not gathered.
     """
     t = threshold
     held = bags.join(_small(rest), "id")
     items = held.select("id", "root", F.explode("bag").alias("item"))
     common = items.groupBy("item").agg(F.count("*").alias("count"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("item", "count")
     common = written(common, "common", parts)
-    ranked = items.select("id", "item").join(_small(common), "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("shared"))
-    ranked = _replaced(ranked, "ranked", parts, common)
-    rows = ranked.join(held.select("id", "root", F.size("bag").alias("n")), "id").withColumn("own", F.col("n") - F.size("shared"))
+    pool = _replaced(items.select("id", "item").join(_small(common), "item"), "pool", parts, common)
+    tally = written(pool.groupBy("id").agg(F.count("*").cast("int").alias("n_shared")), "tally", parts)
+    rows = tally.join(held.select("id", "root", "n"), "id").withColumn("own", F.col("n") - F.col("n_shared")).drop("n_shared")
 
     def step(n: Column) -> Column:
         return F.floor(F.log(n) / F.lit(-math.log(t)) + 1e-9).cast("int")
@@ -353,12 +383,18 @@ def _across_classes(bags: DataFrame, rest: DataFrame, threshold: float, parts: i
     rows = rows.withColumn("to", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])))
     smallest = F.greatest(F.pow(F.lit(1 / t), F.col("to")) - 1e-6, t * F.col("n"))  # the least size of a partner in that step
     first = F.col("n") - F.ceil(t / (1 + t) * (F.col("n") + smallest) - 1e-6) + 1 - F.col("own")
-    heads = rows.select("id", "root", "n", "own", "step", "to", F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("k", "x"))
-    heads = written(heads.select("id", "root", "n", "step", "to", (F.col("own") + F.col("k")).alias("at"), F.col("x.item").alias("item")), "heads", parts)
+    short = written(rows.withColumn("first", first.cast("int")).where("first > 0").select("id", "root", "n", "own", "step", "to", "first"), "short", parts)
+    few = written(short.select("id").distinct(), "few", parts)
+    ranked = pool.join(_small(few), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("shared"))
+    heads = short.join(ranked, "id").select("id", "root", "n", "own", "step", "to", F.posexplode(F.slice("shared", F.lit(1), F.col("first"))).alias("k", "x"))
+    heads = heads.select("id", "root", "n", "step", "to", (F.col("own") + F.col("k")).alias("at"), F.col("x.item").alias("item"))
+    heads = _replaced(heads, "heads", parts, pool, tally, short, few)
     x = heads.select("item", "step", "to", *[F.col(c).alias(f"{c}a") for c in ("id", "root", "n", "at")])
     y = heads.select("item", F.col("to").alias("step"), F.col("step").alias("to"), *[F.col(c).alias(f"{c}b") for c in ("id", "root", "n", "at")])
     most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
     fits = (F.col("roota") < F.col("rootb")) & (most >= F.lit(t / (1 + t) - 1e-9) * (F.col("na") + F.col("nb")))
     pairs = x.join(y, ["item", "step", "to"]).where(fits).select(F.greatest("ida", "idb").alias("a"), F.least("ida", "idb").alias("b")).distinct()
-    pairs = _replaced(pairs, "across", parts, heads, ranked)
-    return _replaced(_similar(pairs, bags, threshold), "across-links", parts, pairs)
+    pairs = _replaced(pairs, "across", parts, heads)
+    links = _similar(pairs, bags, threshold, "across-links", parts)
+    drop_written(pairs)
+    return links

@@ -250,6 +250,30 @@ def test_only_texts_in_shared_buckets_keep_their_signatures(spark, monkeypatch):
     assert found == {**{i: (i, 0) for i in range(1, 6)}, 0: (0, 1), 6: (0, 1)}
 
 
+def test_bags_move_only_for_pairs_that_counts_leave(spark, monkeypatch):
+    base = [f"w{i}" for i in range(400)]
+    texts = {k: " ".join(base[: 400 - 12 * k] + [f"u{k}x{i}" for i in range(12 * k)]) for k in range(8)}
+    long = [f"l{i}" for i in range(40_000)]  # too long for counts
+    texts |= {20: " ".join(long), 21: " ".join([*long, "end"]), 22: " ".join(long[:20_000] + [f"m{i}" for i in range(20_000)])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    names = bagminhash.sign(docs, "doc_id", "text").select("doc", "id")
+    doc = {r["id"]: r["doc"] for r in names.collect()}
+    bags = bagminhash.written(bagminhash._bags(docs, "doc_id", "text", names), "t")
+    rows = {doc[r["id"]]: r for r in bags.collect()}
+    assert {k for k, r in rows.items() if r["cells"] is None} == {20, 21, 22}
+    assert all(r["n"] == len(r["bag"]) == sum(r["cells"] or r["bag"] and [r["n"]]) for r in rows.values())
+    pairs = spark.createDataFrame([(rows[a]["id"], rows[b]["id"]) for a in rows for b in rows if a > b], "a bigint, b bigint")
+    share = {(a, b): len({*rows[a]["bag"]} & {*rows[b]["bag"]}) for a in rows for b in rows if a > b}
+    want = {k for k, c in share.items() if c >= 0.8 * (rows[k[0]]["n"] + rows[k[1]]["n"] - c)}
+    moved, written = {}, bagminhash.written
+    monkeypatch.setattr(bagminhash, "written", lambda df, name, *a, **k: moved.setdefault(name, written(df, name, *a, **k)))
+    monkeypatch.setattr(bagminhash, "drop_written", lambda df: None)
+    assert {(doc[r["a"]], doc[r["b"]]) for r in bagminhash._similar(pairs, bags, 0.8, "x", 4).collect()} == want
+    near = {(doc[r["a"]], doc[r["b"]]) for r in moved["x-near"].collect()}
+    assert want <= near and {k for k in near if k[0] < 20} <= {k for k, c in share.items() if c >= 0.7 * (rows[k[0]]["n"] + rows[k[1]]["n"] - c)}
+    assert {k for k in near if k[0] >= 20} == {(21, 20), (22, 20), (22, 21)} and (1, 0) in want and (7, 0) not in near
+
+
 def test_near_duplicates_odd_rows(spark, odd_documents):
     rows = bagminhash.near_duplicates(odd_documents).collect()
     got = [(r["doc_id"], r["class_id"]) for r in rows]
