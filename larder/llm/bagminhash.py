@@ -211,6 +211,20 @@ def components(edges: DataFrame, name: str, parts: int) -> DataFrame:
             return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
+def _regrouped(roots: DataFrame, fresh: DataFrame, name: str, parts: int) -> DataFrame:
+    """The (id, root) of components(), written, after edges `fresh` have come to those of `roots`.
+
+    Only the fresh edges are gone through, as edges between roots; a vertex without a root is its own.
+    """
+    x, y = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root{c}")) for c in "ab")
+    edges = fresh.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("roota", "a").alias("a"), F.coalesce("rootb", "b").alias("b"))
+    moved = components(edges, f"{name}-moved", parts)
+    moved = _replaced(moved, f"{name}-new", parts, moved)
+    to = moved.select(F.col("id").alias("root"), F.col("root").alias("to"))
+    rows = roots.join(_small(to), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return _replaced(rows.unionByName(moved.join(roots, "id", "left_anti")), name, parts, roots, moved)
+
+
 def _within(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """Drops pairs (a, b) whose bags cannot overlap by `threshold`: in a cell they share the smaller count at most."""
     x, y = (bags.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}")) for c in "ab")
@@ -263,20 +277,21 @@ def _classes(docs: DataFrame, *, id_col: str, text_col: str, threshold: float) -
         if n and (mixed.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= SMALL_BUCKET:
             break
         order = [F.struct("rep", "id"), F.struct("total", "rep", "id")][n] if n < 2 else F.struct(F.xxhash64("id", F.lit(n)), "id")
-        leads = written(mixed.groupBy("key").agg(F.min_by(F.struct("id", *([] if n == 0 else ["root"])), order).alias("lead")), f"leads-{n}", parts)
-        pairs = mixed.join(leads, "key").where("id <> lead.id" if n == 0 else "root <> lead.root").select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct().coalesce(parts)
+        leads = written(mixed.groupBy("key").agg(F.min_by(F.struct("id", "total", *([] if n == 0 else ["root"])), order).alias("lead")), f"leads-{n}", parts)
+        pairs = mixed.join(leads, "key").where("id <> lead.id" if n == 0 else "root <> lead.root").where(_near_sizes("total", "lead.total", threshold)).select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct().coalesce(parts)
         likely = written(_plausible(pairs, reps, threshold), f"likely-{n}", parts)
         fresh = _similar(likely, bags, threshold, f"links-{n}", parts)
         for t in (likely, leads):
             drop_written(t)
         if n and fresh.isEmpty():
             break
+        roots = components(fresh, f"roots-{n}", parts) if n == 0 else _regrouped(roots, fresh, f"roots-{n}", parts)
         links = fresh if links is None else _replaced(links.unionByName(fresh), f"all-links-{n}", parts, links, fresh)
-        roots = components(links, f"roots-{n}", parts)
     rest = written(_mixed(placed, roots, ROUNDS, parts).select("id", "root").distinct(), "rest", parts)
     if not rest.isEmpty():
-        links = _replaced(links.unionByName(_across_classes(bags, rest, threshold, parts)), "all-links", parts, links)
-        roots = components(links, "all-roots", parts)
+        fresh = _across_classes(bags, rest, threshold, parts)
+        roots = _regrouped(roots, fresh, "all-roots", parts)
+        links = _replaced(links.unionByName(fresh), "all-links", parts, links, fresh)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = written(texts.join(roots, "id").groupBy("root").agg(F.min("rep").alias("class_id")), "named", parts)
     joined = roots.join(named, "root").join(degree, "id").select("id", "class_id", "n_links")
@@ -343,11 +358,15 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return single.unionByName(odd.select(*docs.columns)).unionByName(bare)
 
 
+def _near_sizes(x: str, y: str, threshold: float) -> Column:
+    return F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
+
+
 def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Drops pairs whose sizes rule the threshold out, or whose signatures agree in six standard deviations fewer slots than it implies."""
     least = math.floor(SLOTS * threshold - 6 * math.sqrt(SLOTS * threshold * (1 - threshold)))
     x, y = (reps.select(F.col("id").alias(c), F.col("total").alias(f"t{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-    rows = pairs.join(x, "a").join(y, "b").where(F.least("ta", "tb") >= F.lit(threshold) * F.greatest("ta", "tb"))
+    rows = pairs.join(x, "a").join(y, "b").where(_near_sizes("ta", "tb", threshold))
     return rows.where(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b")
 
 

@@ -274,6 +274,50 @@ def test_bags_move_only_for_pairs_that_counts_leave(spark, monkeypatch):
     assert {k for k in near if k[0] >= 20} == {(21, 20), (22, 20), (22, 21)} and (1, 0) in want and (7, 0) not in near
 
 
+def test_links_are_grouped_once_and_sizes_come_before_signatures(spark, monkeypatch):
+    """Later rounds go through their own links only, and no pair that sizes rule out is joined with signatures."""
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(60):
+        base = base[:]
+        base[(i * 7) % 120] = f"x{i}"
+        texts[i] = " ".join(base)
+        if i % 6 == 0:
+            texts[100 + i] = " ".join([*base, *(f"y{i}x{k}" for k in range(60))])
+    total = {i: len(t.split()) - 4 for i, t in texts.items()}
+    edges, pairs_held, components, plausible = [], [], bagminhash.components, bagminhash._plausible
+
+    def grouped(found, *a):
+        edges.append(found.count())
+        return components(found, *a)
+
+    def held(pairs, reps, threshold):
+        size = {r["id"]: total[r["rep"]] for r in reps.collect()}
+        pairs_held.extend((size[r["a"]], size[r["b"]]) for r in pairs.collect())
+        return plausible(pairs, reps, threshold)
+
+    monkeypatch.setattr(bagminhash, "components", grouped)
+    monkeypatch.setattr(bagminhash, "_plausible", held)
+    monkeypatch.setattr(bagminhash, "SMALL_BUCKET", 0)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in bagminhash.near_duplicates(docs).collect()}
+    assert {i: c for i, (c, _) in found.items()} == brute_classes(texts)
+    assert len(edges) > 1 and 2 * sum(edges) == sum(n for _, n in found.values())
+    assert pairs_held and all(min(p) >= 0.8 * max(p) for p in pairs_held)
+
+
+def test_regrouped_equals_components_of_all_edges(spark):
+    rng = np.random.default_rng(5)
+    parts = [[(int(a), int(b)) for a, b in rng.integers(-40 - 20 * k, 40 + 20 * k, (25, 2)) if a != b] for k in range(4)]
+    frames = [spark.createDataFrame(p, "a bigint, b bigint") for p in parts]
+    roots = bagminhash.components(frames[0], "r", 4)
+    for k in range(1, 4):
+        roots = bagminhash._regrouped(roots, frames[k], f"r{k}", 4)
+        whole = bagminhash.components(spark.createDataFrame(sum(parts[: k + 1], []), "a bigint, b bigint"), "w", 4)
+        assert sorted(map(tuple, roots.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, bagminhash._regrouped(roots, frames[0].limit(0), "e", 4).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_near_duplicates_odd_rows(spark, odd_documents):
     rows = bagminhash.near_duplicates(odd_documents).collect()
     got = [(r["doc_id"], r["class_id"]) for r in rows]
